@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, near_dedup
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
+    "op3_minhash_near_dedup": near_dedup,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}
