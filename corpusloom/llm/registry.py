@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup
+from . import line_dedup, near_dedup, substring_dedup, toxicity
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
     "op3_minhash_near_dedup": near_dedup,
+    "op4_substring_dedup": substring_dedup,
+    "op10_toxicity": toxicity,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.SQL for name, module in _MODULES.items() if getattr(module, "SQL", None)}
