@@ -6,9 +6,10 @@ Jaccard similarity of at least ``threshold`` with it, whether that line itself s
 
 Plan: (1) one scan hashes each line's set and counts tokens; (2) lines with equal sets collapse by
 hash; (3) a second scan orders each set's tokens by rarity and emits only its prefix, with set
-size, position and 128 parity bits; (4) a self-join on the token applies the length, positional and
-bitmap filters, all lossless; (5) the remaining pairs are verified on their tokens; (6) removed line
-numbers join the documents once, on doc_id.
+size, position and 128 parity bits, dealt by token to the partitions as packed arrays; (4) each
+partition joins its postings on the token under the length, positional and bitmap filters, all
+lossless; (5) the remaining pairs are verified on their tokens; (6) removed line numbers join the
+documents once, on doc_id.
 
 Rarity is a class of the token's count in a 16 MB table of counts (dense.py), then the hash: any
 fixed total order keeps the join exact, sharing a cell only weakens it. A token counted once in the
@@ -22,21 +23,20 @@ line of a text leaves ''.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import dense
 from . import textvec as tv
-from .shared import materialize
+from .shared import materialize, parts
 
 THRESHOLD = 0.8
 WIDTH = 1 << 24
-_SHIFT = np.uint64(64 - 24)
+_SHIFT = np.uint64(48 - 24)
 SPACES = "[ \\t\\r\\f\\u000b]+"
 
 
@@ -70,9 +70,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column(0).to_numpy(zero_copy_only=False)
         for t, row, number, _, h, _, n, key in _sets(b.column(1)):
-            counts += np.bincount((h >> _SHIFT).astype(np.int64), minlength=WIDTH).astype(np.uint32) if len(h) > WIDTH >> 4 else 0
-            if len(h) <= WIDTH >> 4:
-                np.add.at(counts, (h >> _SHIFT).astype(np.int64), 1)
+            np.add.at(counts, (h >> _SHIFT).astype(np.int64), 1)
             has = n > 0
             m = int(has.sum())
             yield pa.RecordBatch.from_arrays([pa.array(ids[t.first : t.last][row[has]]), pa.array(number[has].astype(np.int32)), pa.array(tv.signed(key[has])), *(pa.nulls(m, k) for k in types[3:])], names=names)
@@ -81,28 +79,72 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([*(pa.nulls(m, k) for k in types[:3]), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(types[3:]))], names=names)
 
 
-def _postings(rarity, threshold: float):
+POSTING = np.dtype([("token", "<u8"), ("key", "<u8"), ("n", "<u4"), ("pos", "<u4"), ("b1", "<u8"), ("b2", "<u8")])
+
+
+def _postings(rarity, threshold: float, n_parts: int):
+    def of_slice(classes, seen: set, h, bounds, n, key) -> np.ndarray:
+        fresh = np.zeros(len(n), dtype=bool)
+        for i, k in enumerate(key.tolist()):  # equal lines of a task are emitted once
+            if n[i] and k not in seen:
+                seen.add(k)
+                fresh[i] = True
+        b1, b2 = tv.parity_bitmaps(h, bounds)
+        run_of = np.repeat(np.arange(len(n)), n)
+        level = classes[(h >> _SHIFT).astype(np.int64)]
+        # By class, then hash, within a line: of no line are there more than 2 ** 31 tokens.
+        order = np.argsort((run_of << 8) | level, kind="stable")
+        pos = tv.ragged_range(np.zeros(len(n), dtype=np.int64), n)
+        prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+        take = fresh[run_of] & (pos < prefix[run_of]) & (level[order] > 1)
+        line, out = run_of[take], np.empty(int(take.sum()), dtype=POSTING)
+        out["token"], out["key"], out["n"], out["pos"], out["b1"], out["b2"] = h[order[take]], key[line], n[line], pos[take], b1[line], b2[line]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = rarity.value, set()
         for b in batches:
-            for _, _, _, _, h, bounds, n, key in _sets(b.column(1)):
-                fresh = np.zeros(len(n), dtype=bool)
-                for i, k in enumerate(key.tolist()):  # equal lines of a task are emitted once
-                    if n[i] and k not in seen:
-                        seen.add(k)
-                        fresh[i] = True
-                b1, b2 = tv.parity_bitmaps(h, bounds)
-                run_of = np.repeat(np.arange(len(n)), n)
-                level = classes[(h >> _SHIFT).astype(np.int64)]
-                order = np.argsort((run_of << 8) | level, kind="stable")  # by hash within a class
-                pos = tv.ragged_range(np.zeros(len(n), dtype=np.int64), n)
-                prefix = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-                take = fresh[run_of] & (pos < prefix[run_of]) & (level[order] > 1)
-                line = run_of[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tv.signed(h[order[take]])), pa.array(tv.signed(key[line])), pa.array(n[line].astype(np.int32)), pa.array(pos[take].astype(np.int32)), pa.array(tv.signed(b1[line])), pa.array(tv.signed(b2[line]))],
-                    names=["token", "key", "n", "pos", "b1", "b2"],
-                )
+            found = [of_slice(classes, seen, h, bounds, n, key) for _, _, _, _, h, bounds, n, key in _sets(b.column(1))]
+            rows = np.concatenate(found) if found else np.empty(0, dtype=POSTING)
+            part = (rows["token"] % np.uint64(n_parts)).astype(np.int64)
+            order = np.argsort(part.astype(np.uint16) if n_parts < 1 << 16 else part, kind="stable")
+            rows, cut = rows[order], np.searchsorted(part[order], np.arange(n_parts + 1))
+            filled = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int32()), pa.array([rows[cut[p] : cut[p + 1]].tobytes() for p in filled], pa.binary())], names=["part", "rows"])
+
+    return run
+
+
+def _joined(threshold: float):
+    share = threshold / (1 + threshold)
+
+    def run(group):
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), dtype=POSTING) for x in group["rows"]])
+        rows = rows[np.argsort(rows["token"], kind="stable")]
+        same = rows["token"][1:] == rows["token"][:-1]
+        rows = rows[np.append(same, False) | np.append(False, same)]
+        rows = rows[np.lexsort((rows["key"], rows["n"], rows["token"]))]
+        token, key, n = rows["token"], rows["key"], rows["n"].astype(np.int64)
+        fresh = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[: len(rows)]
+        rows, token, key, n = rows[fresh], token[fresh], key[fresh], n[fresh]
+        left, b1, b2 = n - rows["pos"], rows["b1"], rows["b2"]
+        i, step, found = np.arange(len(rows)), 0, []
+        while len(i):  # sets of a token ascend in size: the length filter ends each one's run
+            step += 1
+            i = i[i + step < len(rows)]
+            j = i + step
+            i = i[(token[i] == token[j]) & (n[i] >= threshold * n[j] - 1e-9)]
+            j = i + step
+            total = n[i] + n[j]
+            least = np.ceil(share * total - 1e-9).astype(np.int64)
+            ok = np.minimum(left[i], left[j]) >= least
+            a, b = i[ok], j[ok]
+            differ = np.bitwise_count(b1[a] ^ b1[b]).astype(np.int64) + np.bitwise_count(b2[a] ^ b2[b])
+            ok = differ <= (total - 2 * least)[ok]
+            x, y = tv.signed(key[a[ok]]), tv.signed(key[b[ok]])
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+        return pa.table({"left": pairs[:, 0], "right": pairs[:, 1]})
 
     return run
 
@@ -111,48 +153,28 @@ def _texts(bits, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = bits.value, set()
         for b in batches:
-            for t, _, _, start, _, _, n, key in _sets(b.column(1)):
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for t, row, number, start, _, _, n, key in _sets(b.column(1)):
                 take = np.flatnonzero((n > 0) & dense.has_bit(wanted, width, key))
-                first = [i for i, k in zip(take.tolist(), key[take].tolist()) if not (k in seen or seen.add(k))]
-                data = t.data.tobytes()
-                lines = [data[start[i] : start[i + 1]].rstrip(b"\n") for i in first]
-                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(key[first]) if first else np.empty(0, dtype=np.int64)), pa.array(lines, pa.binary()).cast(pa.string())], names=["key", "line"])
+                data = t.data.tobytes() if len(take) else b""
+                first = [not (k in seen or seen.add(k)) for k in key[take].tolist()]
+                lines = [data[start[i] : start[i + 1]].rstrip(b"\n") if new else None for i, new in zip(take.tolist(), first)]
+                yield pa.RecordBatch.from_arrays([pa.array(tv.signed(key[take])), pa.array(ids[t.first : t.last][row[take]]), pa.array(number[take].astype(np.int32)), pa.array(lines, pa.binary()).cast(pa.string())], names=["key", "doc_id", "line_no", "line"])
 
     return run
 
 
-def candidates(postings: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of set keys (left < right) that pass the length, positional and bitmap filters."""
-    one = postings.repartition("token").dropDuplicates(["token", "key"])
-    a, b = one.alias("a"), one.alias("b")
-    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-9)
-    rest = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    differ = F.bit_count(F.col("a.b1").bitwiseXOR(F.col("b.b1"))) + F.bit_count(F.col("a.b2").bitwiseXOR(F.col("b.b2")))
-    return (
-        a.join(
-            b,
-            (F.col("a.token") == F.col("b.token"))
-            & (F.col("a.key") < F.col("b.key"))
-            & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9)
-            & (rest >= least)
-            & (differ <= F.col("a.n") + F.col("b.n") - 2 * least),
-        )
-        .select(F.col("a.key").alias("left"), F.col("b.key").alias("right"))
-        .distinct()
-    )
-
-
-def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose token sets have Jaccard similarity of at least threshold."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, SPACES), lambda w: w != ""))
-    left = lines.select(F.col("key").alias("left"), words("line").alias("x"))
-    right = lines.select(F.col("key").alias("right"), words("line").alias("y"))
+def later_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """key of the later set of every pair whose Jaccard similarity is at least threshold."""
+    words = F.array_distinct(F.filter(F.split("line", SPACES), lambda w: w != ""))
+    side = lambda name, w, at: sets.select(F.col("key").alias(name), words.alias(w), F.col("first").alias(at))
     both = F.size(F.array_intersect("x", "y"))
     return (
-        pairs.join(left, "left")
-        .join(right, "right")
+        pairs.join(side("left", "x", "f"), "left")
+        .join(side("right", "y", "g"), "right")
         .where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9)
-        .select("left", "right")
+        .select(F.when(F.col("f") < F.col("g"), F.col("right")).otherwise(F.col("left")).alias("key"))
+        .distinct()
     )
 
 
@@ -160,29 +182,24 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line_no of every line that an earlier line matches."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     scan = materialize(text.mapInArrow(_scan, f"doc_id long, line_no int, key long, {dense.SCHEMA}"), "line-scan")
     lines = scan.where("key is not null").select("doc_id", "line_no", "key")
-    rarity = sc.broadcast(dense.merge(scan.where("key is null").select("block", "cells", "counts"), WIDTH, "class"))
-    postings = text.mapInArrow(_postings(rarity, threshold), "token long, key long, n int, pos int, b1 long, b2 long")
-    pairs = materialize(candidates(postings, threshold), "line-pairs")
+    rarity = spark.sparkContext.broadcast(dense.merge(scan.where("key is null").select("block", "cells", "counts"), WIDTH, "class"))
+    postings = text.mapInArrow(_postings(rarity, threshold, 3 * parts(spark)), "part int, rows binary")
+    pairs = postings.groupBy("part").applyInArrow(_joined(threshold), "left long, right long").distinct()
+    pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("left", "right")).alias("key"))
     bits, width = dense.key_bits(wanted, "key", 2 * pairs.count())
-    sets = text.mapInArrow(_texts(sc.broadcast(bits), width), "key long, line string").dropDuplicates(["key"])
-    near = verified(pairs, sets, threshold)
-    first = lines.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    later = (
-        near.join(first.select(F.col("key").alias("left"), F.col("first").alias("f")), "left")
-        .join(first.select(F.col("key").alias("right"), F.col("first").alias("g")), "right")
-        .select(F.when(F.col("f") < F.col("g"), F.col("right")).otherwise(F.col("left")).alias("key"))
-        .distinct()
-        .withColumn("later", F.lit(True))
-    )
+    found = text.mapInArrow(_texts(spark.sparkContext.broadcast(bits), width), "key long, doc_id long, line_no int, line string")
+    sets = found.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("line").alias("line"))
+    later = later_sets(pairs, sets, threshold).withColumn("later", F.lit(True))
+    at = F.struct("doc_id", "line_no")
     return (
-        lines.join(first, "key")
+        lines.withColumn("first", F.min(at).over(Window.partitionBy("key")))
         .join(later, "key", "left")
-        .where(F.col("later") | (F.struct("doc_id", "line_no") != F.col("first")))
+        .where(F.col("later") | (at != F.col("first")))
         .select("doc_id", "line_no")
     )
 

@@ -72,7 +72,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = b.column(0).slice(t.first, t.last - t.first).take(pa.array(has))
             d, cut = tv.distinct_in_runs(h, np.append(bounds[has], len(h)))
             s1, s2 = tv.sum_runs(tv.mix64(d), cut), tv.sum_runs(tv.mix64(d ^ np.uint64(0x5BD1E995)), cut)
-            regs = registers(d, cut) if len(has) else np.empty((0, M), dtype=np.uint16)
+            regs = registers(tv.mix64(d), cut) if len(has) else np.empty((0, M), dtype=np.uint16)
             yield pa.RecordBatch.from_arrays([ids, pa.array(tv.signed(s1)), pa.array(tv.signed(s2)), pa.array(np.diff(cut).astype(np.int64)), pa.array([r.tobytes() for r in regs], pa.binary())], names=["doc_id", "s1", "s2", "n", "regs"])
 
 
