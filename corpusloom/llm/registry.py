@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, license_scan, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, toxicity, warc
+from . import ann, chat, decontaminate, license_scan, line_dedup, near_dedup, sentencepiece_codec, substring_dedup, toxicity, warc
 
 _MODULES = {
     "op1_line_dedup": line_dedup,
@@ -10,6 +10,7 @@ _MODULES = {
     "op3_minhash_near_dedup": near_dedup,
     "op4_substring_dedup": substring_dedup,
     "op5_license_scan": license_scan,
+    "op6_ann": ann,
     "op7_benchmark_decontamination": decontaminate,
     "op8_chat_formatting": chat,
     "op9_warc": warc,
