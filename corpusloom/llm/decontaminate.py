@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 WORDS = 13
 MAX_CHARS = 64_000_000
 _SEPARATOR = re.compile(r"\W+")
@@ -111,8 +113,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, max_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark passage; rows with null doc_id stay."""
-    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import dense
 from . import textvec as tv
-from .shared import materialize, parts
+from .shared import fresh, materialize, parts
 
 THRESHOLD = 0.8
 WIDTH = 1 << 24
@@ -204,31 +204,33 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the later matches cut from text, and the column n_removed."""
-    gone = removed_lines(docs, threshold).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
+def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, n_removed: str = "n_removed") -> DataFrame:
+    """docs with the later matches cut from text, and their number in a new column n_removed."""
+    if n_removed in docs.columns:
+        raise ValueError(f"docs has a column {n_removed} already")
+    by, cut = fresh(docs, "by_doc"), fresh(docs, "cut_lines")
+    gone = removed_lines(docs, threshold).groupBy(F.col("doc_id").alias(by)).agg(F.collect_set("line_no").alias(cut))
     kept = F.array_join(
         F.transform(
             F.filter(
                 F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                lambda e: ~F.array_contains("__gone", e["i"]),
+                lambda e: ~F.array_contains(cut, e["i"]),
             ),
             lambda e: e["x"],
         ),
         "\n",
     )
-    by_id = gone.select(F.col("doc_id").alias("__doc"), "__gone")
     return (
-        docs.join(by_id, docs["doc_id"].cast("long") == by_id["__doc"], "left")
-        .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)))
-        .drop("__doc", "__gone")
+        docs.join(gone, docs["doc_id"].cast("long") == gone[by], "left")
+        .withColumn("text", F.when(F.col(cut).isNull(), F.col("text")).otherwise(kept))
+        .withColumn(n_removed, F.coalesce(F.size(cut), F.lit(0)).cast("long"))
+        .drop(by, cut)
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup_lines(docs).select("doc_id", "text", F.col("n_removed").cast("long").alias("n_removed"))
+    return dedup_lines(docs).select("doc_id", "text", "n_removed")
 
 
 SQL = f"""

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import dense
 from . import textvec as tv
 from .components import components
-from .shared import materialize
+from .shared import fresh, materialize
 
 K = 3
 THRESHOLD = 0.5
@@ -188,8 +188,9 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    gone = duplicates(docs, threshold).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    name = fresh(docs, "gone")
+    gone = duplicates(docs, threshold).select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -342,9 +343,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, codec: Codec | None =
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 ids = codec.encode(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.compute.list_value_length(ids).cast(pa.int64()), codec.decode(ids)], names=["doc_id", "ids", "n_tokens", "decoded"])
-
-    import pyarrow.compute  # noqa: F401
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, pc.list_value_length(ids).cast(pa.int64()), codec.decode(ids)], names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
 
