@@ -64,7 +64,7 @@ def automaton(found: dict[str, list[int]]):
 def passages(text: str, machine) -> list[tuple[int, int, int]]:
     """item_id, start, end (characters of text, end exclusive) of each passage."""
     norm = normalise(text)
-    hits = list(machine.iter(norm))
+    hits = list(machine.iter(norm)) if len(machine) else []
     if not hits:
         return []
     spaces = np.flatnonzero(np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), dtype="<u4") == 32)
