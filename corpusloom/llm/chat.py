@@ -16,7 +16,7 @@ conversation larger than memory's batch is carried over from batch to batch. Fin
 text cannot forge a turn.
 
 Defined results: events with null conv_id or seq are dropped; exact repetitions of an event count
-once; events with equal seq apply in order of kind, target, role, text; null text is ''; null role
+once; events with equal seq apply messages first, then in order of kind, target, role, text; null text is ''; null role
 is "user"; a target that does not exist (any more) makes edit, regenerate and delete void; unknown
 kinds are void; a conversation without a remaining message renders ''. Other columns are ignored.
 """
@@ -98,7 +98,8 @@ def rebuild(events: DataFrame) -> DataFrame:
     """conv_id, n_messages, rendered of every conversation in the log."""
     kinds = {"conv_id": "long", "seq": "long", "kind": "string", "target": "long", "role": "string", "text": "string"}
     log = events.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).where("conv_id is not null and seq is not null")
-    return log.repartition("conv_id").sortWithinPartitions(*COLUMNS).mapInArrow(_fold, "conv_id long, n_messages long, rendered string")
+    order = ["conv_id", "seq", F.coalesce(F.col("kind") != "message", F.lit(True)), *COLUMNS[2:]]
+    return log.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_fold, "conv_id long, n_messages long, rendered string")
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
