@@ -7,7 +7,7 @@ characters) within a span of five, DECAY to the power of both gaps, each term sc
 depends on its length. A skipped character costs weight, not the match: "id-iot", "i d i o t" and
 "idxiot" stay close to "idiot".
 
-Training, on the driver, over a bounded sample of labelled documents (``max_toxic``,
+Training, in one task, over a bounded sample of labelled documents (``max_toxic``,
 ``max_clean``, least hashes of doc_id first): sentences of clean documents are clean; of a toxic
 document's sentences at least one has a toxic term, which terms do is settled by rounds of
 multiple-instance training. Terms are mapped to their kernels with the landmarks, whitened; the SVM
@@ -19,7 +19,7 @@ a term costs six table look-ups a character, whatever the number of landmarks. A
 toxic if its pooled score is above 0. Whole texts are scored.
 
 Defined results: null or empty texts and texts of white space are clean; documents with null
-doc_id are not reported; without a toxic or without a clean label nothing is rejected; labels
+doc_id are neither reported nor dropped; without a toxic or without a clean label nothing is rejected; labels
 without a document, null labels and repeated labels (any toxic one counts) do no harm.
 """
 
@@ -30,10 +30,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 DECAY = 0.5
 LANDMARKS = 256
@@ -222,18 +225,17 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
         own = order[label == side]
         held[own[::3]] = len(own) >= 15  # every third is kept apart for the pooling
     bag: dict[bytes, int] = {}
-    of_doc: list[set[int]] = []
-    for i in range(0, len(texts), 500):
-        t = terms([x or "" for x in texts[i : i + 500]])
-        own: list[set[int]] = [set() for _ in texts[i : i + 500]]
-        for d, s in zip(t.doc.tolist(), _strings(t)):
-            own[d].add(bag.setdefault(s, len(bag)))
-        of_doc += own
+    docs: list[np.ndarray] = []
+    for i in range(0, len(texts), 100):
+        t = terms([x or "" for x in texts[i : i + 100]])
+        ids = np.array([bag.setdefault(s, len(bag)) for s in _strings(t)], dtype=np.int64)
+        cut = np.searchsorted(t.doc, np.arange(len(texts[i : i + 100]) + 1))
+        docs += [np.unique(ids[a:b]).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
     strings = list(bag)
     n_toxic, n_clean = np.zeros(len(bag)), np.zeros(len(bag))
-    for i, own in enumerate(of_doc):
+    for i, own in enumerate(docs):
         if not held[i]:
-            (n_toxic if label[i] else n_clean)[list(own)] += 1
+            (n_toxic if label[i] else n_clean)[own] += 1
     seen_toxic, seen_clean = max(1, (label & ~held).sum()), max(1, (~label & ~held).sum())
     odds = (n_toxic + 0.05) / (seen_toxic + 1) / ((n_clean + 0.5) / (seen_clean + 1))
     odds[n_toxic == 0] = 0
@@ -246,12 +248,11 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     common = clean[np.argsort(-n_clean[clean], kind="stable")]
     spread = common[:: max(1, len(common) // (LANDMARKS // 4))][: LANDMARKS // 4]
     marks = list(dict.fromkeys([*telling.tolist(), *common[: LANDMARKS // 4].tolist(), *spread.tolist()]))
-    tables = np.stack([_profile(strings[i]) for i in marks]).astype(np.float32)
-    value, vector = np.linalg.eigh((tables @ tables.T).astype(float))
+    tables = np.stack([_profile(strings[i]).astype(np.float32) for i in marks])
+    value, vector = np.linalg.eigh((tables @ tables.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     whiten = vector[:, good] / np.sqrt(value[good])
 
-    docs = [np.array(sorted(own)) for own in of_doc]
     positives = np.zeros(len(bag), dtype=bool)
     for i, own in enumerate(docs):
         if label[i] and not held[i] and len(own):
@@ -266,7 +267,7 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
 
     def features(own: list[bytes]) -> np.ndarray:
         t = _joined(own)
-        k = np.stack([term_scores(t, w) for w in tables], axis=1).astype(float)
+        k = np.stack([term_scores(t, w) for w in tables], axis=1)
         return np.hstack([k @ whiten, np.ones((len(own), 1))])
 
     weights, scores = None, None
@@ -341,31 +342,43 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         own = per_doc.where(F.col("__toxic") == side).orderBy(F.xxhash64("__id"), "__id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     sample = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
-    rows = sorted(sample.collect(), key=lambda r: (r["__id"], r["__text"] or ""))  # at most max_toxic + max_clean labelled documents
-    return train([r["__text"] or "" for r in rows], [r["__toxic"] for r in rows])
+    ordered = sample.select("__id", F.coalesce("__text", F.lit("")).alias("__text"), "__toxic").repartition(1).sortWithinPartitions("__id", "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(1).to_pylist()
+            toxic += b.column(2).to_pylist()
+        model = train(texts, toxic)
+        if model:
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.cut]), pa.array([model.pool.astype("<f8").tobytes()], pa.binary())], names=["weights", "cut", "pool"])
 
+    row = ordered.mapInArrow(run, "weights binary, cut double, pool binary").first()
+    return row and Model(np.frombuffer(row["weights"], "<f4"), row["cut"], np.frombuffer(row["pool"], "<f8"))
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with __score (above 0: toxic)."""
+
+def score(docs: DataFrame, model: Model | None, column: str = "toxic_score") -> DataFrame:
+    """docs with the column toxic_score, above 0 for toxic documents."""
     if model is None:
-        return docs.withColumn("__score", F.lit(float("-inf")).cast("float"))
+        return docs.withColumn(column, F.lit(float("-inf")).cast("float"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("float")
-    def run(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             yield pd.Series(document_scores(x.fillna("").tolist(), shared.value))
 
-    return docs.withColumn("__score", run(F.col("text").cast("string")))
+    return docs.withColumn(column, run(F.col("text").cast("string")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels)).where("__score <= 0").drop("__score")
+    column = fresh(docs, "toxic_score")
+    scored = score(docs, fit(docs, labels), column)
+    return scored.where((F.col(column) <= 0) | F.col("doc_id").isNull()).drop(column)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.where("doc_id is not null"), model).where("__score > 0").select("doc_id", F.round(F.col("__score").cast("double"), 4).alias("score"), F.lit(1).alias("toxic"))
+    found = score(docs.where("doc_id is not null").select("doc_id", "text"), model).where("toxic_score > 0")
+    return found.select("doc_id", F.round(F.col("toxic_score").cast("double"), 4).alias("score"), F.lit(1).alias("toxic"))
