@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def sha256_hex(c: Column) -> Column:
@@ -51,7 +52,7 @@ def short_id(prefix: str, value: object) -> str:
     return f"{prefix}_{base32_lower(hashlib.sha256(canonical(value).encode()).digest())}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unit_id(digest: pd.Series) -> pd.Series:
     """Identifier of a unit from the hexadecimal digest of its content."""
     return digest.map(lambda x: None if x is None else "u_" + base32_lower(bytes.fromhex(x)))

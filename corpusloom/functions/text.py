@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 CHARS_PER_TOKEN = 3.8
 #: White space as in scripts, no-break and ideographic spaces included.
@@ -198,7 +199,7 @@ def edit_distance(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def grapheme_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """text_similarity of grapheme clusters, which SQL cannot cut."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .gates import bag_overlap
 
@@ -78,7 +79,7 @@ def tree_distance(labels_a: list[str], parents_a: list[int], labels_b: list[str]
     return dist[-1][-1]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def structural_similarity(labels_a: pd.Series, parents_a: pd.Series, labels_b: pd.Series, parents_b: pd.Series) -> pd.Series:
     """1 - distance / nodes; -1 where a tree is too large to compare."""
 

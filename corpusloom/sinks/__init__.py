@@ -1 +1 @@
-
+"""Writers: the node table to text."""
