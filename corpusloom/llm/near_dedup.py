@@ -6,7 +6,7 @@ registers of a union are the maxima of the parts' registers, and equal registers
 likely as the sets' Jaccard similarity is high. Documents are in one group if they are connected
 by pairs of Jaccard similarity of at least ``threshold``; all but the least doc_id of a group go.
 
-Plan: (1) one scan makes sketch and set hash; (2) equal sets collapse by hash; (3) 40 bands of 4
+Plan: (1) one scan makes sketch and set hash; (2) equal sets collapse by hash; (3) 80 bands of 4
 registers are shuffled once; each bucket links its members to its least one; (4) links are
 estimated by joint likelihood from both sketches and cardinalities, each document's best link is
 verified on the texts, and the verified links connect; (5) of all pairs of a bucket, only those
@@ -34,11 +34,11 @@ from .components import components
 from .shared import fresh, materialize
 
 K = 3
-THRESHOLD = 0.5
-BANDS, ROWS = 40, 4
+THRESHOLD = 0.45
+BANDS, ROWS = 80, 4
 M = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
-MARGIN = 0.12  # three standard errors of the estimate
+MARGIN = 0.09  # three standard errors of the estimate
 _SLICE = 1 << 18
 _FACTORS = tv.mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 

@@ -110,7 +110,7 @@ def brute_groups(docs, threshold):
 def test_near_dedup(frame, corpus):
     docs = corpus + [(2000 + i, corpus[1][1] + f" tail{i % 7}") for i in range(60)]
     df = frame(docs)
-    found = brute_groups(docs, 0.5)
+    found = brute_groups(docs, near_dedup.THRESHOLD)
     assert len(found) > 60 and {tuple(r) for r in near_dedup.duplicates(df).collect()} == found
     kept = near_dedup.drop_near_duplicates(df)
     assert kept.columns == df.columns
