@@ -173,7 +173,7 @@ def merge_verdict(a: Column, b: Column) -> Column:
 def authority(reviewed: Column) -> Column:
     """Trust in a source by the date of its last review; half without one."""
     when = F.year(reviewed) + F.month(reviewed) / F.lit(12.0) - 2020
-    return F.coalesce(F.greatest(F.lit(0.25), F.least(F.lit(0.85), F.lit(0.3) + when * 0.05)), F.lit(0.5))
+    return F.when(reviewed.isNull(), 0.5).otherwise(F.greatest(F.lit(0.25), F.least(F.lit(0.85), F.lit(0.3) + when * 0.05)))
 
 
 def text_similarity(a: Column, b: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 SECTIONS = "section string, section_idx int, categories array<string>, weight double, max_units int"
 OVERFLOW = ("linkToSecondary", "truncateLowestValue", "fail")
@@ -39,7 +40,7 @@ def fill(units: DataFrame, group: str, order: list, primary: int, secondary: int
     that a group may be larger than memory."""
     if overflow not in OVERFLOW:
         raise ValueError(f"overflow must be one of {OVERFLOW}")
-    schema = units.schema.add("place", "string")
+    schema = StructType([*units.schema.fields, StructField("place", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used, spare, count = object(), 0, 0, {}

@@ -28,7 +28,7 @@ def merge_restatements(units: DataFrame, key: list[str], order: list[str]) -> Da
         )
 
     grouped = units.groupBy(*key).agg(F.array_sort(F.collect_list(unit)).alias("units"))
-    folded = grouped.withColumn("m", F.aggregate(F.slice("units", 2, 2147483647), state(F.element_at("units", 1)), step))
+    folded = grouped.withColumn("m", F.aggregate(F.slice("units", F.lit(2), F.size("units")), state(F.element_at("units", 1)), step))
     sources = F.array_sort(F.array_distinct(F.transform("units", lambda e: e["source"])))
     return folded.select(*key, F.element_at("units", 1).getField(order[0]).alias(order[0]), "m.*", F.size("units").alias("n_units"), sources.alias("sources"))
 

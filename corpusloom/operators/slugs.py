@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def next_slug(base: str, used: set[str]) -> str:
@@ -38,4 +39,4 @@ def unique(headings: DataFrame, scope: str, order: str, base: str) -> DataFrame:
                 out.append(slug)
             yield b.append_column("slug", pa.array(out, pa.string()))
 
-    return headings.repartition(scope).sortWithinPartitions(scope, order).mapInArrow(run, headings.schema.add("slug", "string"))
+    return headings.repartition(scope).sortWithinPartitions(scope, order).mapInArrow(run, StructType([*headings.schema.fields, StructField("slug", StringType())]))

@@ -61,7 +61,7 @@ def renumber(nodes: DataFrame) -> DataFrame:
 def text_content(nodes: DataFrame) -> DataFrame:
     """doc_id, text: inline text in order, blocks apart by a blank line; html and math are no text."""
     w = Window.partitionBy("doc_id", "root_kind").orderBy("ord")
-    block = F.col("type").isin(*BLOCK_TYPES)
+    block = F.col("type").isin(*(t for t in BLOCK_TYPES if t != "html"))
     # A new part starts at each block, and after a block's subtree has ended.
     owner = F.last(F.when(block, F.col("ord")), ignorenulls=True).over(w)
     closed = F.max(F.when(block & F.col("type").isin("paragraph", "heading", "code", "caption", "descriptionTerm"), F.col("last_ord"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -88,7 +88,7 @@ def misplaced(nodes: DataFrame) -> DataFrame:
     bad = F.lit(False)
     for p, allowed in CONTENT.items():
         bad = bad | ((F.col("parent_type") == p) & ~F.col("type").isin(*allowed))
-    bad = bad | (F.col("parent_type").isin("paragraph", "heading") & block & (F.col("type") != "unknown"))
+    bad = bad | (F.col("parent_type").isin("paragraph", "heading") & block & ~F.col("type").isin("unknown", "html"))
     bad = bad | (F.col("type").isin("listItem") & (F.col("parent_type") != "list")) | (F.col("type").isin("tableRow") & (F.col("parent_type") != "table"))
     return pairs.where(bad).select("doc_id", "ord", "parent_type", "type")
 

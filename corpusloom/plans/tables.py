@@ -179,3 +179,48 @@ def merge_verdicts(spark, d):
     w = Window.partitionBy("doc_id").orderBy("line_no")
     pairs = rows.withColumn("next", F.lead("line").over(w)).where("next is not null")
     return pairs.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.merge_verdict(F.col("line"), F.col("next")).alias("verdict"))
+
+
+@query("q39_page_node_census", None)
+def page_node_census(spark, d):
+    """Nodes of all pages by type, from the tree parser."""
+    return fidelity.census(H.read_html(table(spark, d, "pages"))).select("type", "n")
+
+
+@query("q40_page_markdown", None)
+def page_markdown(spark, d):
+    """Every page converted to Markdown."""
+    from ..sinks import markdown
+
+    out = markdown.render(H.read_html(table(spark, d, "pages")))
+    return out.select(F.col("doc_id").cast("long").alias("page_id"), F.length("rendered").cast("long").alias("n_chars"), F.sha2("rendered", 256).alias("digest"))
+
+
+@query("q41_round_trip_fidelity", None)
+def round_trip_fidelity(spark, d):
+    """Documents as Markdown, rendered and read again: are the trees the same?"""
+    from ..sinks import markdown as sink
+    from ..sources.markdown import read_markdown
+
+    first = read_markdown(table(spark, d, "documents"))
+    second = read_markdown(sink.render(first), column="rendered")
+    delta = fidelity.census_delta(fidelity.census(first, "doc_id"), fidelity.census(second, "doc_id"), ["doc_id"])
+    return first.select("doc_id").distinct().join(delta.groupBy("doc_id").agg(F.count("*").alias("n_changed")), "doc_id", "left").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("n_changed", F.lit(0)).alias("n_changed"))
+
+
+@query("q42_compiled_context", None)
+def compiled_context(spark, d):
+    """The compiler over all documents: emitted fragments and whether they stand in their units."""
+    from ..operators.profiles import BASE
+    from .compile import compile_corpus
+
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text", F.lit(None).cast("date").alias("reviewed"))
+    done = compile_corpus(docs, BASE | {"budget": BASE["budget"] | {"primary": 4000}})
+    return done.checked.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("q43_page_audits", None)
+def page_audits(spark, d):
+    from ..operators import tree
+
+    return tree.audit(H.read_html(table(spark, d, "pages")))

@@ -48,6 +48,8 @@ class Node:
                 parts[-1] += n.value or ""
             elif n.type == "break":
                 parts[-1] += "\n"
+            elif n.type == "html":
+                pass
             elif n.type == "code":
                 parts.extend([n.value or "", ""])
             else:

@@ -383,7 +383,7 @@ def _shared(e: ET.Element) -> str:
 
 def parse_xlsx(data: bytes, max_rows: int = MAX_ROWS) -> Node:
     p = Package(data)
-    strings = [_shared(e) for e in p.xml("xl/sharedStrings.xml") or ()] if "xl/sharedStrings.xml" in p.names else []
+    strings = [_shared(e) for e in p.xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in p.names else []
     rel = p.relations("xl/workbook.xml")
     root = Node("root")
     for s in child(p.xml("xl/workbook.xml"), "sheets"):
