@@ -35,14 +35,44 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, 0.0).otherwise(both / F.size(F.array_union(a, b)))
 
 
+GRID = 1024
+
+
 def similar_in_block(rows: DataFrame, block: str, words: str, threshold: float, key: str = "doc_id") -> DataFrame:
-    """a, b, jaccard of the pairs of a block with word-set similarity of at least threshold; pairs
-    whose sizes rule it out are not compared."""
-    sized = rows.withColumn("n", F.size(words)).where("n > 0")
-    p, q = sized.alias("p"), sized.alias("q")
-    fits = F.least("p.n", "q.n") >= F.greatest("p.n", "q.n") * F.lit(threshold) - 1e-9
-    pairs = p.join(q, (F.col(f"p.{block}") == F.col(f"q.{block}")) & (F.col(f"p.{key}") < F.col(f"q.{key}")) & fits)
-    return pairs.select(F.col(f"p.{key}").alias("a"), F.col(f"q.{key}").alias("b"), jaccard(F.col(f"p.{words}"), F.col(f"q.{words}")).alias("jaccard")).where(F.col("jaccard") >= threshold - 1e-9)
+    """a, b, jaccard of the pairs of a block with word-set similarity of at least threshold. A block is
+    cut into a grid of at most about GRID rows a side; within a cell of the grid the intersections
+    are one matrix product per slice of the vocabulary. Words are compared by 64-bit hash."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = rows.where(F.size(words) > 0).select(F.col(key).cast("long").alias("id"), F.col(block).alias("block"), F.transform(words, lambda w: F.xxhash64(w)).alias("ws"))
+    sizes = own.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block", F.ceil(F.col("n") / GRID).cast("int").alias("side"))
+    placed = own.join(sizes, "block").withColumn("at", F.pmod(F.xxhash64("id"), F.col("side")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")).select("block", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "id", "ws")
+
+    def run(key, group):
+        ids, at = group["id"].to_numpy(), group["at"].to_numpy()
+        lists = group["ws"].combine_chunks()
+        n = np.diff(lists.offsets.to_numpy())
+        word = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        doc = np.repeat(np.arange(len(ids)), n)
+        p, q = np.flatnonzero(at == key[1].as_py()), np.flatnonzero(at == key[2].as_py())
+        both = np.zeros((len(p), len(q)), dtype=np.float32)
+        order = np.argsort(word, kind="stable")
+        word, doc = word[order], doc[order]
+        for lo in range(0, int(word[-1]) + 1, 8192):
+            i, j = np.searchsorted(word, (lo, lo + 8192))
+            m = np.zeros((len(ids), 8192), dtype=np.float32)
+            m[doc[i:j], word[i:j] - lo] = 1
+            both += m[p] @ m[q].T
+        share = both / (n[p][:, None] + n[q][None, :] - both).astype(np.float64)
+        r, c = np.nonzero((share >= threshold - 1e-9) & (ids[p][:, None] != ids[q][None, :]))
+        a, b = ids[p][r], ids[q][c]
+        if key[1].as_py() == key[2].as_py():
+            r, c, a, b = (x[ids[p][r] < ids[q][c]] for x in (r, c, a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "jaccard": share[r, c]})
+
+    return cells.groupBy("block", "p", "q").applyInArrow(run, "a long, b long, jaccard double")
 
 
 def bag_overlap(expected: DataFrame, actual: DataFrame, pair: list[str], key: str) -> DataFrame:

@@ -24,9 +24,8 @@ class Compiled:
     files: DataFrame
 
 
-def features(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def features(blocks: DataFrame, docs: DataFrame) -> DataFrame:
     """What the signals read: path, headings, body and counts of structures."""
-    blocks = tree.blocks_in_order(nodes)
     per = blocks.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("type") == "heading", F.struct("ord", "text")))).alias("h"),
         F.sum((F.col("type") == "code").cast("int")).alias("n_fences"),
@@ -39,14 +38,14 @@ def features(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def compile_corpus(docs: DataFrame, profile: dict = profiles.BASE, signals=classify.SIGNALS, extra_units: DataFrame | None = None) -> Compiled:
     """docs: doc_id, path, text, reviewed (date or null)."""
     spark = docs.sparkSession
-    nodes = read_markdown(docs)
-    roles = classify.classify(features(nodes, docs), signals)
-    units = extract.extract_units(tree.blocks_in_order(nodes), roles)
+    blocks = tree.blocks_in_order(read_markdown(docs)).persist()  # five extractors read it
+    roles = classify.classify(features(blocks, docs), signals)
+    units = extract.extract_units(blocks, roles)
     about = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", T.authority(F.col("reviewed")).alias("authority")).join(roles.select("doc_id", "role"), "doc_id")
     units = units.join(about, "doc_id")
     if extra_units is not None:
         units = units.unionByName(extra_units, allowMissingColumns=True)
-    keyed = units.withColumn("norm", T.normalize_unit(F.col("text"), compose=False)).withColumn("source", F.struct("path", "unit_order"))
+    keyed = units.withColumn("norm", T.normalize_unit(F.col("text"), compose=False)).withColumn("source", F.struct("path", "unit_order")).persist()
     first = ["path", "unit_order"]
     merged = dedup.merge_restatements(keyed, ["category", "norm"], first)
     heads = keyed.groupBy("category", "norm").agg(F.min(F.struct("path", "unit_order", "unit_id", "role", "entity_key", "entity_value", "content_hash")).alias("f"))

@@ -214,8 +214,15 @@ def compiled_context(spark, d):
     from ..operators.profiles import BASE
     from .compile import compile_corpus
 
-    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text", F.lit(None).cast("date").alias("reviewed"))
-    done = compile_corpus(docs, BASE | {"budget": BASE["budget"] | {"primary": 4000}})
+    from ..functions import hashing
+    from ..operators import extract
+
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text", F.lit(None).cast("date").alias("reviewed"))
+    # Invented prose has no rules or definitions: what it has is first sentences.
+    said = F.element_at(extract.all_sentences(F.col("text")), 1)
+    first = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", said.alias("text"), F.lit("convention").alias("category"), F.lit("unknown").alias("role"), F.lit(0.7).alias("confidence"), F.lit(0.5).alias("authority"), F.lit(0).alias("unit_order"))
+    units = first.where(F.size(F.split("text", " ")).between(4, 40)).withColumn("content_hash", hashing.unit_digest(F.col("category"), F.col("text"))).withColumn("unit_id", hashing.unit_id(hashing.sha256_hex(F.concat_ws("\n", "doc_id", "content_hash"))))
+    done = compile_corpus(docs, BASE | {"budget": BASE["budget"] | {"primary": 4000}}, extra_units=units)
     return done.checked.groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -222,6 +222,14 @@ def test_gates(spark):
     assert got(gates.contamination(docs, items)) == [(1, 9, 1, True)]
     rows = spark.createDataFrame([(1, "b", ["x", "y", "z"]), (2, "b", ["x", "y", "q"]), (3, "c", ["x"]), (4, "b", [])], "doc_id int, block string, w array<string>")
     assert got(gates.similar_in_block(rows, "block", "w", 0.5)) == [(1, 2, 0.5)]
+    r = random.Random(1)
+    many = [(i, "b" if i % 3 else "c", sorted({r.choice("abcdefgh") for _ in range(5)})) for i in range(40)]
+    want = sorted((a, b) for a, x, v in many for b, y, w in many if a < b and x == y and len(set(v) & set(w)) >= 0.6 * len(set(v) | set(w)))
+    old = gates.GRID
+    for size in (1024, 4):
+        gates.GRID = size
+        assert got(gates.similar_in_block(spark.createDataFrame(many, rows.schema), "block", "w", 0.6), "a", "b") == sorted(want, key=repr)
+    gates.GRID = old
     pages = spark.createDataFrame([("b", i, f"Page {i}") for i in range(5)] + [("b", 0, "once")], "book string, page int, line string")
     assert got(gates.furniture(pages, "book", "page", "line"), "shape", "support") == [("page #", 5)]
     assert gates.repeated_keys(docs.union(docs), "doc_id").count() == 2 and gates.orphans(docs, docs.where("doc_id = 1"), "doc_id").count() == 1
