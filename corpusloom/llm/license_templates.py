@@ -1,62 +1,160 @@
 """License texts and notices to look for, as (template, license, text)."""
 
-_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met: Redistributions of source code must retain the above
-copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form
-must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
-documentation and/or other materials provided with the distribution."""
-_BSD_NAME = """Neither the name of the copyright holder nor the names of its contributors may be used to
-endorse or promote products derived from this software without specific prior written permission."""
-_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS
-OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
-FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the
-GNU {name} as published by the Free Software Foundation, either version {version} of the License, or
-(at your option) any later version."""
-
 TEMPLATES = [
-    ("mit-text", "MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this
-software and associated documentation files (the "Software"), to deal in the Software without restriction,
-including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
-and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
-subject to the following conditions: The above copyright notice and this permission notice shall be
-included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
-WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
-FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""),
-    ("isc-text", "ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or
-without fee is hereby granted, provided that the above copyright notice and this permission notice appear
-in all copies."""),
-    ("bsd-2-text", "BSD-2-Clause", f"{_BSD} {_BSD_END}"),
-    ("bsd-3-text", "BSD-3-Clause", f"{_BSD} {_BSD_NAME} {_BSD_END}"),
-    ("apache-2-header", "Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may
-not use this file except in compliance with the License. You may obtain a copy of the License at
-http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
-software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
-CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing
-permissions and limitations under the License."""),
-    ("gpl-2-header", "GPL-2.0-or-later", _GPL.format(name="General Public License", version=2)),
-    ("gpl-3-header", "GPL-3.0-or-later", _GPL.format(name="General Public License", version=3)),
-    ("agpl-3-header", "AGPL-3.0-or-later", _GPL.format(name="Affero General Public License", version=3)),
-    ("lgpl-3-header", "LGPL-3.0-or-later", _GPL.format(name="Lesser General Public License", version=3)),
-    ("mpl-2-header", "MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License,
-v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
-https://mozilla.org/MPL/2.0/."""),
-    ("unlicense-text", "Unlicense", """This is free and unencumbered software released into the public domain.
-Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source
-code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
-    ("zlib-text", "Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event
-will the authors be held liable for any damages arising from the use of this software. Permission is granted
-to anyone to use this software for any purpose, including commercial applications, and to alter it and
-redistribute it freely."""),
+    (
+        "mit-text", "MIT",
+        "Permission is hereby granted, free of charge, to any "
+        "person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the '
+        "Software without restriction, including without limitation "
+        "the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice "
+        "shall be included in all copies or substantial portions of "
+        'the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT '
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+        "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS "
+        "FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ),
+    (
+        "isc-text", "ISC",
+        "Permission to use, copy, modify, and/or distribute this "
+        "software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies.",
+    ),
+    (
+        "bsd-2-text", "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or "
+        "without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source "
+        "code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions "
+        "in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT "
+        'HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+        "PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "bsd-3-text", "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or "
+        "without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source "
+        "code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions "
+        "in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in "
+        "the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or "
+        "promote products derived from this software without "
+        "specific prior written permission. THIS SOFTWARE IS "
+        'PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" '
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    (
+        "apache-2-header", "Apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the "
+        '"License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required "
+        "by applicable law or agreed to in writing, software "
+        'distributed under the License is distributed on an "AS IS" '
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied. See the License for the "
+        "specific language governing permissions and limitations "
+        "under the License.",
+    ),
+    (
+        "gpl-2-header", "GPL-2.0-or-later",
+        "This program is free software: you can redistribute it "
+        "and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, "
+        "either version 2 of the License, or (at your option) any "
+        "later version.",
+    ),
+    (
+        "gpl-3-header", "GPL-3.0-or-later",
+        "This program is free software: you can redistribute it "
+        "and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any "
+        "later version.",
+    ),
+    (
+        "agpl-3-header", "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it "
+        "and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "lgpl-3-header", "LGPL-3.0-or-later",
+        "This program is free software: you can redistribute it "
+        "and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software "
+        "Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    ),
+    (
+        "mpl-2-header", "MPL-2.0",
+        "This Source Code Form is subject to the terms of the "
+        "Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "unlicense-text", "Unlicense",
+        "This is free and unencumbered software released into the "
+        "public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in "
+        "source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means.",
+    ),
+    (
+        "zlib-text", "Zlib",
+        "This software is provided 'as-is', without any express or "
+        "implied warranty. In no event will the authors be held "
+        "liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this "
+        "software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely.",
+    ),
     ("apache-2-notice", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("mit-notice", "MIT", "Released under the MIT License."),
     ("mit-notice-2", "MIT", "Licensed under the MIT License."),
-    ("gpl-2-notice", "GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
-    ("gpl-3-notice", "GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
+    (
+        "gpl-2-notice", "GPL-2.0-only",
+        "This work is licensed under the GNU General Public "
+        "License, version 2.",
+    ),
+    (
+        "gpl-3-notice", "GPL-3.0-only",
+        "This work is licensed under the GNU General Public "
+        "License, version 3.",
+    ),
     ("cc-by-4-notice", "CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-sa-4-notice", "CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-nc-4-notice", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4-text", "CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("cc0-notice", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    (
+        "cc-by-4-text", "CC-BY-4.0",
+        "This work is licensed under a Creative Commons Attribution "
+        "4.0 International License.",
+    ),
+    (
+        "cc0-notice", "CC0-1.0",
+        "To the extent possible under law, the author has waived "
+        "all copyright and related or neighboring rights to this "
+        "work.",
+    ),
     ("reserved", "proprietary", "All rights reserved."),
 ]
