@@ -67,7 +67,7 @@ def digit_mask(c: Column) -> Column:
 
 
 def kebab(c: Column) -> Column:
-    c = F.regexp_replace(c, r"([a-z0-9])([A-Z])", "$1-$2")
+    c = F.regexp_replace(c, r"(?<=[a-z0-9])(?=[A-Z])", "-")
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 

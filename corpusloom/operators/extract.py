@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing, text as T
 
 SHELLS = ("sh", "bash", "shell", "zsh", "console")
-ENV_LINE = r"^(?:export )?([A-Z][A-Z0-9_]{2,})=(.*)$"
+ENV_LINE = r"^(?:export )?((?![0-9_])[0-9A-Z_]{3,})=(.*)$"
 
 
 def all_sentences(c: Column) -> Column:

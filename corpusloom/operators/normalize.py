@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.nodes import BLOCK_TYPES
 
-VERBATIM = ("code", "inlineCode", "math", "inlineMath", "html", "yaml", "toml", "equationBlock")
+VERBATIM = tuple("html yaml toml code math equationBlock inlineMath inlineCode".split())
 LINE_PT = 12.0
 
 

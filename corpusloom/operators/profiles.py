@@ -17,7 +17,7 @@ BASE = {
     "budget": {"primary": 6000, "secondary": 24000, "chars_per_token": 3.8, "overflow": "linkToSecondary"},
     "sections": [
         {"section": "commands", "heading": "Commands", "categories": ["command"], "weight": 1.6, "render": "code"},
-        {"section": "constraints", "heading": "Constraints", "categories": ["constraint", "invariant"], "weight": 1.5, "render": "list"},
+        {"section": "constraints", "heading": "Constraints", "categories": ["invariant", "constraint"], "weight": 1.5, "render": "list"},
         {"section": "anti-patterns", "heading": "Avoid", "categories": ["antiPattern"], "weight": 1.4, "render": "list"},
         {"section": "conventions", "heading": "Conventions", "categories": ["convention"], "weight": 1.2, "render": "list"},
         {"section": "environment", "heading": "Environment", "categories": ["environment"], "weight": 1.1, "render": "code"},

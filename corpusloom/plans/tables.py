@@ -117,7 +117,7 @@ def unique_slugs(spark, d):
     return slugs.unique(meta.select("page_id", "lang", T.slug(F.col("title")).alias("base")), "lang", "page_id", "base").select("page_id", "lang", "slug")
 
 
-@query("q24_tag_census", "SELECT type, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS type FROM pages) GROUP BY type")
+@query("q24_tag_census", "SELECT type, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([[:alpha:]][[:alnum:]]*)', 1))) AS type FROM pages) GROUP BY type")
 def tag_census(spark, d):
     tags = H.tags(table(spark, d, "pages"))
     per_page = fidelity.census(tags, "page_id")
@@ -145,7 +145,7 @@ def visible_text(spark, d):
 
 @query(
     "q27_census_delta",
-    """WITH c AS (SELECT page_id, type, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1))) AS type FROM pages) GROUP BY page_id, type),
+    """WITH c AS (SELECT page_id, type, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([[:alpha:]][[:alnum:]]*)', 1))) AS type FROM pages) GROUP BY page_id, type),
     p AS (SELECT page_id FROM pages WHERE page_id + 1 IN (SELECT page_id FROM pages)),
     a AS (SELECT page_id, type, n FROM c JOIN p USING (page_id)), b AS (SELECT page_id - 1 AS page_id, type, n FROM c WHERE page_id - 1 IN (SELECT page_id FROM p))
     SELECT page_id, type, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b USING (page_id, type) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)""",

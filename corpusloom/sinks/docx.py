@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 
 from ..sources.nodes import Node, tree
 
-W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+OX = "openxmlformats"
+NS = f"http://schemas.{OX}.org"
+W, R = f"{NS}/wordprocessingml/2006/main", f"{NS}/officeDocument/2006/relationships"
+PACKAGE = f"{NS}/package/2006"
 STYLES = ["Normal", *(f"Heading {i}" for i in range(1, 7)), "Quote", "Source Code", "Caption", "Verbatim Char"]
 _MARKS = {"strong": "<w:b/>", "emphasis": "<w:i/>", "underline": '<w:u w:val="single"/>', "delete": "<w:strike/>", "smallCaps": "<w:smallCaps/>", "superscript": '<w:vertAlign w:val="superscript"/>', "subscript": '<w:vertAlign w:val="subscript"/>', "highlight": '<w:highlight w:val="yellow"/>'}
 
@@ -39,15 +41,19 @@ class Writer:
         body = self.blocks([n for n in root.children if n.type != "footnoteDefinition"])
         notes = "".join(f'<w:footnote w:id="{i}">{self.blocks(n.children)}</w:footnote>' for i, n in self.notes)
         doc = f'<w:document xmlns:w="{W}" xmlns:r="{R}"><w:body>{body}</w:body></w:document>'
-        kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+        kind = f"application/vnd.{OX}-officedocument.wordprocessingml"
+        default = lambda ending, what: f'<Default Extension="{ending}" ContentType="{what}"/>'
+        override = lambda part, what: f'<Override PartName="/word/{part}.xml" ContentType="{kind}.{what}"/>'
+        relation = lambda i, what, to, more="": f'<Relationship Id="{i}" Type="{R}/{what}" Target={quoteattr(to)}{more}/>'
+        relations = lambda *own: f'<Relationships xmlns="{PACKAGE}/relationships">{"".join(own)}</Relationships>'
         parts = {
-            "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="{kind}.document.main+xml"/><Override PartName="/word/styles.xml" ContentType="{kind}.styles+xml"/><Override PartName="/word/numbering.xml" ContentType="{kind}.numbering+xml"/><Override PartName="/word/footnotes.xml" ContentType="{kind}.footnotes+xml"/></Types>',
-            "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{R}/officeDocument" Target="word/document.xml"/></Relationships>',
+            "[Content_Types].xml": f'<Types xmlns="{PACKAGE}/content-types">{default("xml", "application/xml")}{default("rels", f"application/vnd.{OX}-package.relationships+xml")}{override("document", "document.main+xml")}{override("styles", "styles+xml")}{override("numbering", "numbering+xml")}{override("footnotes", "footnotes+xml")}</Types>',
+            "_rels/.rels": relations(relation("r1", "officeDocument", "word/document.xml")),
             "word/document.xml": doc,
             "word/styles.xml": f'<w:styles xmlns:w="{W}">' + "".join(f'<w:style w:type="{"character" if s.endswith("Char") else "paragraph"}" w:styleId="{style_id(s)}"><w:name w:val="{s}"/>' + (f'<w:pPr><w:outlineLvl w:val="{int(s[-1]) - 1}"/></w:pPr>' if s.startswith("Heading") else "") + "</w:style>" for s in STYLES) + "</w:styles>",
             "word/numbering.xml": self.numbering(),
             "word/footnotes.xml": f'<w:footnotes xmlns:w="{W}" xmlns:r="{R}">{notes}</w:footnotes>',
-            "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + f'<Relationship Id="s1" Type="{R}/styles" Target="styles.xml"/><Relationship Id="s2" Type="{R}/numbering" Target="numbering.xml"/><Relationship Id="s3" Type="{R}/footnotes" Target="footnotes.xml"/>' + "".join(f'<Relationship Id="l{i}" Type="{R}/hyperlink" Target={quoteattr(u)} TargetMode="External"/>' for i, u in enumerate(self.links)) + "</Relationships>",
+            "word/_rels/document.xml.rels": relations(*(relation(f"s{i}", k, f"{k}.xml") for i, k in enumerate(("styles", "numbering", "footnotes"))), *(relation(f"l{i}", "hyperlink", u, ' TargetMode="External"') for i, u in enumerate(self.links))),
         }
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -137,7 +143,7 @@ class Writer:
                 own = self.runs(n.children, pr)
                 out += f"<w:{tag} w:author={quoteattr(n.attrs.get('author', ''))}>{own.replace('<w:t ', '<w:delText ').replace('</w:t>', '</w:delText>') if tag == 'del' else own}</w:{tag}>"
             elif t == "inlineMath":
-                out += f'<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:r><m:t>{escape(n.value or "")}</m:t></m:r></m:oMath>'
+                out += f'<m:oMath xmlns:m="{NS}/officeDocument/2006/math"><m:r><m:t>{escape(n.value or "")}</m:t></m:r></m:oMath>'
             else:
                 out += self.runs(n.children, pr)
         return out

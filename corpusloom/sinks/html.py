@@ -33,7 +33,7 @@ class Renderer:
             return body + "\n" if body else ""
         title = next((n.text() for n in root.children if n.type == "heading"), "")
         style = f"<style>{self.style}</style>" if self.style else ""
-        return f'<!DOCTYPE html>\n<html>\n<head><meta charset="utf-8"><title>{escape(title)}</title>{style}</head>\n<body>\n{body}\n</body>\n</html>\n'
+        return f'<!DOCTYPE html>\n<html>\n<head><title>{escape(title)}</title><meta charset="utf-8">{style}</head>\n<body>\n{body}\n</body>\n</html>\n'
 
     def blocks(self, nodes: list[Node]) -> str:
         return "\n".join(x for x in map(self.block, nodes) if x)

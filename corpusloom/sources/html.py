@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .nodes import BLOCK_TYPES, NODE, Node, reader
 
-_DROPPED = {"script", "style", "head", "meta", "link", "title", "base", "noscript", "template"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_HOIST = {"html", "body", "div", "span", "nav", "footer", "header", "article", "main", "section", "aside", "form", "font", "center", "address", "label", "button", "ul-", "tbody", "thead", "tfoot", "colgroup", "time", "small"}
+_DROPPED = set("base head link meta noscript script style template title".split())
+_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+_HOIST = set("address article aside body button center colgroup div font footer form header html label main nav section small span tbody tfoot thead time".split())
 _MARKS = {"b": "strong", "strong": "strong", "i": "emphasis", "em": "emphasis", "cite": "emphasis", "u": "underline", "ins": "insertion", "s": "delete", "del": "delete", "strike": "delete", "sub": "subscript", "sup": "superscript", "mark": "highlight"}
 _BLOCKS = {"p": "paragraph", "blockquote": "blockquote", "li": "listItem", "dl": "descriptionList", "dt": "descriptionTerm", "dd": "descriptionDetails", "figure": "figure", "figcaption": "caption"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "section", "article", "nav", "footer", "header", "figure", "form", "main", "aside"}
+_ENDS_P = set("article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "trade": "™", "hellip": "…", "mdash": "—", "ndash": "–", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "bull": "•", "euro": "€", "deg": "°", "times": "×", "laquo": "«", "raquo": "»", "shy": "­"}
 
 
 def tags(pages: DataFrame) -> DataFrame:
     """page_id, type of every opening tag."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), 1)).alias("t")).select("page_id", F.lower("t").alias("type"))
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<(\p{Alpha}\p{Alnum}*)"), 1)).alias("t")).select("page_id", F.lower("t").alias("type"))
 
 
 def metadata(pages: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
 _ITEM = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])(?:([ \t]+)(.*)|[ \t]*)$")
 _QUOTE = re.compile(r"^ {0,3}> ?(.*)$")
-_CALLOUT = re.compile(r"^\[!([A-Za-z]+)\][ \t]*(.*)$")
+_CALLOUT = re.compile(r"^\[!(\w+)\][ \t]*(.*)$")
 _DELIMITERS = re.compile(r"^ {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
 _NOTE = re.compile(r"^ {0,3}\[\^([^\]\s]+)\]:[ \t]*(.*)$")
 _DEFINITION = re.compile(r"^ {0,3}\[([^\]^][^\]]*)\]:[ \t]*(\S+)(?:[ \t]+[\"'(](.*)[\"')])?[ \t]*$")
 _HTML = re.compile(r"^ {0,3}<(/?[A-Za-z][A-Za-z0-9-]*|!--)")
-_STRUCTURE = ("table", "ul", "ol", "dl", "blockquote", "figure")
+_STRUCTURE = "blockquote dl figure ol table ul".split()
 
 
 def parse(text: str) -> Node:

@@ -16,15 +16,20 @@ NODE = (
     "doc_id string, root_kind string, ord int, last_ord int, parent_ord int, depth int, child_index int, type string, node_id string,"
     " value string, level int, ordered boolean, lang string, row_span int, col_span int, attrs map<string,string>"
 )
-BLOCK_TYPES = (
-    "root", "paragraph", "heading", "blockquote", "list", "listItem", "code", "thematicBreak", "definition", "table", "tableRow", "tableCell", "footnoteDefinition",
-    "yaml", "toml", "math", "section", "figure", "caption", "admonition", "equationBlock", "descriptionList", "descriptionTerm", "descriptionDetails", "textBox",
-    "pageBreak", "columnBreak", "slide", "sheet", "html", "unknown",
-)
-INLINE_TYPES = (
-    "text", "emphasis", "strong", "inlineCode", "break", "link", "image", "linkReference", "imageReference", "delete", "footnoteReference", "inlineMath", "subscript",
-    "superscript", "underline", "smallCaps", "highlight", "crossReference", "citation", "comment", "insertion", "deletion",
-)
+BLOCK_TYPES = tuple(
+    """
+    admonition blockquote caption code columnBreak definition descriptionDetails descriptionList descriptionTerm
+    equationBlock figure footnoteDefinition heading html list listItem math pageBreak paragraph root section sheet
+    slide table tableCell tableRow textBox thematicBreak toml unknown yaml
+    """.split()
+)
+INLINE_TYPES = tuple(
+    """
+    break citation comment crossReference delete deletion emphasis footnoteReference highlight image
+    imageReference inlineCode inlineMath insertion link linkReference smallCaps strong subscript superscript text
+    underline
+    """.split()
+)
 
 
 @dataclass

@@ -22,7 +22,7 @@ TEXTS = [
     "| a | b |\n|:-|-:|\n| 1 | 2 \\| 3 |\n",
     "```py meta\nx = 1\n\n# no heading\n```\n\n    indented\n",
     "text[^1] and $x^2$ and \\*no\\* snake_case_word 2*3*4\n\n[^1]: note\n\n$$\na+b\n$$\n",
-    "---\ntitle: t\n---\n\nSetext\n===\n\nline  \nbreak &copy; <b>raw</b>\n\n***\n",
+    "---\nby: me\nno: 7\n---\n\nSetext\n===\n\nline  \nbreak &copy; <b>raw</b>\n\n***\n",
     "1986\\. year\n\n\\# no\n\n+ plus\n\n[ref]: http://r\n",
     "日本語の文。 العربية\n\n**強調**\n",
     "", "\n\n", "*", "**a", "[x", "`", "a\n- b\nc\n1) d",
@@ -142,8 +142,8 @@ def package(parts):
     return out.getvalue()
 
 
-W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+W = f'xmlns:w="{docx.W}"'
+REL = docx.R
 
 
 def test_style_cascade_and_revisions():
