@@ -176,11 +176,13 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = materialize(_verified(first, text, threshold), "verified")
     root = components(edges)
 
-    tagged = members.join(root, members["doc_id"] == root["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    known = members.join(root, members["doc_id"] == root["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    tagged = known.join(sketched.select("doc_id", "n").distinct(), "doc_id")
     split = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
     open_ = tagged.join(split, "band")
     p, q = open_.alias("p"), open_.alias("q")
-    pairs = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.root") != F.col("q.root")))
+    fits = F.least("p.n", "q.n") >= F.lit(threshold) * F.greatest("p.n", "q.n")  # before any sketch is sent
+    pairs = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.root") != F.col("q.root")) & fits)
     pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = materialize(_likely(pairs, sketched, threshold).select("a", "b"), "rest")
     every = copies.select("u", "v").unionByName(edges).unionByName(_verified(more, text, threshold))
