@@ -52,3 +52,16 @@ def strict(bag: DataFrame) -> DataFrame:
 
 def summary(bag: DataFrame) -> DataFrame:
     return bag.groupBy("code", "severity").agg(F.count("*").alias("n"), F.sum((F.col("lossy") | F.col("degraded")).cast("long")).alias("n_strict"))
+
+
+def call_report(calls: DataFrame) -> DataFrame:
+    """Totals over a log of model calls (task, cached, failed, repairs, tokens_in, tokens_out) by task."""
+    count = lambda c: F.sum(F.col(c).cast("long"))
+    return calls.groupBy("task").agg(F.count("*").alias("calls"), count("cached").alias("hits"), count("failed").alias("failures"), count("repairs").alias("repairs"), count("tokens_in").alias("tokens_in"), count("tokens_out").alias("tokens_out"))
+
+
+def answers(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests (task, input) with the cached answer for their digest, null where none is held: a read-only
+    cache of model calls as a table (cache_key, answer)."""
+    key = F.sha2(F.to_json(F.struct("input", "task")), 256)
+    return requests.withColumn("cache_key", key).join(cache, "cache_key", "left")

@@ -99,3 +99,11 @@ def extract_units(blocks: DataFrame, roles: DataFrame) -> DataFrame:
     place = Window.partitionBy("doc_id").orderBy("extractor", "ord", "pos")
     digest = hashing.unit_digest(F.col("category"), F.col("text"))
     return unique.withColumn("unit_order", F.row_number().over(place) - 1).withColumn("content_hash", digest).withColumn("unit_id", hashing.unit_id(hashing.sha256_hex(F.concat_ws("\n", "doc_id", "content_hash")))).drop("n", "extractor", "pos")
+
+
+def locate(source: Column, text: Column) -> Column:
+    """Offset (from 0) of a unit in its source text: by its first 60 characters, else its first 20, else
+    both without marks of emphasis and code (then the offset is that in the bare source); null if absent."""
+    bare = lambda c: F.regexp_replace(c, r"[*_`~]+", "")
+    at = lambda s, t, n: F.nullif(F.instr(s, F.substring(t, 1, n)), F.lit(0)) - 1
+    return F.coalesce(at(source, text, 60), at(source, text, 20), at(bare(source), bare(text), 60))

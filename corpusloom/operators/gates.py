@@ -104,3 +104,29 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
 
 def repeated_keys(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).count().where("count > 1")
+
+
+def reader_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """doc_id, only_a, only_b: words that one reader's text (doc_id, text) has and the other's has not."""
+    both = a.select("doc_id", T.words(F.col("text")).alias("x")).join(b.select("doc_id", T.words(F.col("text")).alias("y")), "doc_id", "full_outer")
+    x, y = (F.coalesce(c, F.array().cast("array<string>")) for c in ("x", "y"))
+    return both.select("doc_id", F.array_sort(F.array_except(x, y)).alias("only_a"), F.array_sort(F.array_except(y, x)).alias("only_b"))
+
+
+def style_chains(styles: DataFrame, most: int = 32) -> DataFrame:
+    """style_id, depth, ancestor of every style (style_id, based_on), the style itself at depth 0; a chain
+    that comes back to itself, or is longer than most, is broken and left out."""
+    edges = styles.select(F.col("style_id").alias("from_id"), "based_on").where("based_on is not null").persist()
+    level = styles.select("style_id", F.lit(0).alias("depth"), F.col("style_id").alias("ancestor"))
+    found, depth = level, 0
+    broken = styles.select("style_id").limit(0)
+    while depth <= most:
+        depth += 1
+        level = level.join(edges, level["ancestor"] == edges["from_id"]).select("style_id", F.lit(depth).alias("depth"), F.col("based_on").alias("ancestor")).persist()
+        back = level.where("ancestor = style_id")
+        if level.isEmpty():
+            return found.join(broken, "style_id", "left_anti")
+        broken = broken.union(back.select("style_id"))
+        level = level.where("ancestor <> style_id")
+        found = found.union(level)
+    return found.join(broken.union(level.select("style_id")).distinct(), "style_id", "left_anti")
