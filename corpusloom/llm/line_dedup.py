@@ -37,7 +37,6 @@ from .shared import fresh, materialize, parts
 THRESHOLD = 0.8
 WIDTH = 1 << 24
 _SHIFT = np.uint64(48 - 24)
-SPACES = "[ \\t\\r\\f\\u000b]+"
 
 
 def _lines(t: tv.Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,18 +163,31 @@ def _texts(bits, width: int):
     return run
 
 
+def _similar(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                sides, sizes = [], []
+                for c in ("x", "y"):
+                    t = next(tv.tokenize(b.column(c), tv.SPACE_TOKENS, 1 << 40))
+                    h, bounds = tv.distinct_in_runs(t.hashes, t.bounds)
+                    sizes.append(np.diff(bounds))
+                    sides.append((np.repeat(np.arange(b.num_rows, dtype=np.uint64), sizes[-1]) << np.uint64(48)) | h)
+                shared = np.intersect1d(*sides, assume_unique=True) >> np.uint64(48)
+                both = np.bincount(shared.astype(np.int64), minlength=b.num_rows)
+                near = both >= threshold * (sizes[0] + sizes[1] - both) - 1e-9
+                yield pa.RecordBatch.from_arrays([b.column("key")], names=["key"]).filter(pa.array(near))
+
+    return run
+
+
 def later_sets(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """key of the later set of every pair whose Jaccard similarity is at least threshold."""
-    words = F.array_distinct(F.filter(F.split("line", SPACES), lambda w: w != ""))
-    side = lambda name, w, at: sets.select(F.col("key").alias(name), words.alias(w), F.col("first").alias(at))
-    both = F.size(F.array_intersect("x", "y"))
-    return (
-        pairs.join(side("left", "x", "f"), "left")
-        .join(side("right", "y", "g"), "right")
-        .where(both >= F.lit(threshold) * (F.size("x") + F.size("y") - both) - 1e-9)
-        .select(F.when(F.col("f") < F.col("g"), F.col("right")).otherwise(F.col("left")).alias("key"))
-        .distinct()
-    )
+    side = lambda name, line, at: sets.select(F.col("key").alias(name), F.col("line").alias(line), F.col("first").alias(at))
+    later = F.when(F.col("f") < F.col("g"), F.col("right")).otherwise(F.col("left"))
+    joined = pairs.join(side("left", "x", "f"), "left").join(side("right", "y", "g"), "right").select(later.alias("key"), "x", "y")
+    return joined.mapInArrow(_similar(threshold), "key long").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
