@@ -354,8 +354,17 @@ def sentences(spark, d):
 )
 def text_similarity(spark, d):
     ascii_ = lambda df, c: df.where(F.col(c).rlike(r"^[ -~\n]*$"))
-    rows = ascii_(L.lines(table(spark, d, "documents")), "line").select(F.struct("doc_id", "line_no").alias("doc_id"), F.col("line").alias("text"))
-    items = ascii_(table(spark, d, "benchmark"), "text")
+    return _similar_lines(ascii_(L.lines(table(spark, d, "documents")), "line"), ascii_(table(spark, d, "benchmark"), "text"))
+
+
+@query("q44_text_similarity_all")
+def text_similarity_all(spark, d):
+    """q35 of all lines and items. DuckDB's levenshtein counts bytes, so this has no counterpart."""
+    return _similar_lines(L.lines(table(spark, d, "documents")), table(spark, d, "benchmark"))
+
+
+def _similar_lines(lines, items):
+    rows = lines.select(F.struct("doc_id", "line_no").alias("doc_id"), F.col("line").alias("text"))
     pairs = gates.shared_ngrams(rows, items).select("doc_id", "item_id").join(rows, "doc_id").join(gates.checked_broadcast(items.select("item_id", F.col("text").alias("item"))), "item_id")
     return pairs.select("doc_id.doc_id", F.col("doc_id.line_no").cast("long").alias("line_no"), "item_id", F.round(T.text_similarity(F.col("text"), F.col("item")), 6).alias("similarity"))
 
