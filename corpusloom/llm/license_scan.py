@@ -7,7 +7,7 @@ summed per diagonal; diagonals of a document and template that lie within SLACK
 (an inserted or dropped word moves the rest to a neighbouring diagonal). A merged span whose votes
 reach MIN_VOTES of the template's k-grams is verified: its words, with some to either side, are
 aligned with the template's, and the share of the template's words found in order must reach
-COVERAGE; a template under SHORT words must be there word for word. Of verified spans that overlap,
+COVERAGE; a template under SHORT words must be there word for word, and each place where it is counts. Of verified spans that overlap,
 those with the most words found are reported.
 
 Plan: one scan explodes the k-grams into the join, whose template side is broadcast after a check
@@ -21,9 +21,11 @@ reported; of templates with equal claims to a span all are reported; other colum
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import namedtuple
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +91,8 @@ def _verify(templates):
             for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
                 t = next(tv.tokenize(pa.array([text]), tv.WORD_TOKENS))
                 key = int(tv.signed(text_keys(t))[0])
-                own = [(s["template"], align(t, words[s["template"]], s["lo"], s["hi"])) for s in spans if s["text_key"] == key]
-                out += [(doc, *templates[i][:2], *x[:3]) for i, x in foremost([(i, x) for i, x in own if x])]
+                own = [(s["template"], x) for s in spans if s["text_key"] == key for x in matches(t, words[s["template"]], s["lo"], s["hi"])]
+                out += [(doc, *templates[i][:2], *x[:3]) for i, x in foremost(own)]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(kinds)], names=names)
 
@@ -100,17 +102,42 @@ def _verify(templates):
 def foremost(found: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
     """Without those that overlap one with more words found, each once."""
     kept: list[tuple[int, tuple]] = []
-    for i, x in sorted(set(found), key=lambda f: (-f[1][3], f[1][0], f[0])):
-        if all(x[3] == y[3] or x[1] <= y[0] or y[1] <= x[0] for _, y in kept):
-            kept.append((i, x))
+    taken: list[tuple[int, int]] = []  # disjoint spans, in order, of those with more words
+    for _, same in groupby(sorted(set(found), key=lambda f: (-f[1][3], f[1][0], f[0])), key=lambda f: f[1][3]):
+        starts = [s for s, _ in taken]
+        free = [f for f in same if not (n := bisect_left(starts, f[1][1])) or taken[n - 1][1] <= f[1][0]]
+        kept += free
+        spans, taken = sorted(taken + [f[1][:2] for f in free]), []
+        for s, e in spans:
+            if taken and s <= taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]))
+            else:
+                taken.append((s, e))
     return kept
 
 
+def matches(t: tv.Tokens, template: list[bytes], lo: int, hi: int) -> list[tuple[int, int, float, int]]:
+    """As align, but of a template under SHORT words every place where it is."""
+    if len(template) >= SHORT:
+        x = align(t, template, lo, hi)
+        return [x] if x else []
+    a, words = _around(t, lo, hi)
+    n = len(template)
+    at = [a + i for i in range(len(words) - n + 1) if words[i : i + n] == template]
+    chars = np.append(0, np.cumsum((t.data & 0xC0) != 0x80))  # code points before each byte
+    return [(int(chars[t.starts[i]]), int(chars[t.ends[i + n - 1]]), 1.0, n) for i in at]
+
+
+def _around(t: tv.Tokens, lo: int, hi: int) -> tuple[int, list[bytes]]:
+    """Number of the first of words lo to hi and some to either side, and the words."""
+    a, z = max(0, lo - SLACK - 1), min(len(t.starts), hi + SLACK + 1)
+    return a, [t.data[s:e].tobytes().lower() for s, e in zip(t.starts[a:z].tolist(), t.ends[a:z].tolist())]
+
+
 def align(t: tv.Tokens, template: list[bytes], lo: int, hi: int) -> tuple[int, int, float, int] | None:
     """start, end (characters), coverage and number of words found of the template in words lo to
     hi of the one text of t, if it reaches what verification asks."""
-    a, z = max(0, lo - SLACK - 1), min(len(t.starts), hi + SLACK + 1)
-    words = [t.data[s:e].tobytes().lower() for s, e in zip(t.starts[a:z].tolist(), t.ends[a:z].tolist())]
+    a, words = _around(t, lo, hi)
     blocks = [Block(x.b, x.size) for x in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if x.size]
     found = sum(x.size for x in blocks)
     share = found / len(template)
