@@ -5,7 +5,9 @@ word k-grams of all documents are hashed and joined, in Spark, to the positions
 the templates; a hit votes for the diagonal document position minus template position. Votes are
 summed per diagonal; diagonals of a document and template that lie within SLACK of the next merge
 (an inserted or dropped word moves the rest to a neighbouring diagonal). A merged span whose votes
-reach MIN_VOTES of the template's k-grams is verified: its words, with some to either side, are
+reach MIN_VOTES of the template's k-grams is verified; where that finds nothing, so are spans that
+follow each other in the order of the template and together are no longer than verification allows
+(a page header within a license moves the rest to a far diagonal). To verify: its words, with some to either side, are
 aligned with the template's, and the share of the template's words found in order must reach
 COVERAGE; a template under SHORT words must be there word for word, and each place where it is counts. Of verified spans that overlap,
 those with the most words found are reported.
@@ -81,7 +83,7 @@ def template_rows(templates, k: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _verify(templates):
+def _verify(templates, k: int):
     names = ["doc_id", "template", "license", "start", "end", "coverage"]
     words = [_words(text) for _, _, text in templates]
 
@@ -91,7 +93,9 @@ def _verify(templates):
             for doc, text, spans in zip(*(b.column(i).to_pylist() for i in range(3))):
                 t = next(tv.tokenize(pa.array([text]), tv.WORD_TOKENS))
                 key = int(tv.signed(text_keys(t))[0])
-                own = [(s["template"], x) for s in spans if s["text_key"] == key for x in matches(t, words[s["template"]], s["lo"], s["hi"])]
+                own = []
+                for i, group in groupby((s for s in spans if s["text_key"] == key), key=lambda s: s["template"]):
+                    own += [(i, x) for x in verified(t, words[i], list(group), k)]
                 out += [(doc, *templates[i][:2], *x[:3]) for i, x in foremost(own)]
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], x) for i, x in enumerate(kinds)], names=names)
@@ -116,6 +120,52 @@ def foremost(found: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
     return kept
 
 
+def longest(template_words: int) -> float:
+    """Words that a text with so many words of a template may have."""
+    return 1.5 * template_words + SLACK
+
+
+def verified(t: tv.Tokens, template: list[bytes], spans: list, k: int) -> list[tuple[int, int, float, int]]:
+    """What is found in spans of one template, by itself or, if it has SHORT words, joined."""
+    least = MIN_VOTES * (len(template) - k + 1)
+    found, taken = [], []
+    for s in spans:
+        if s["votes"] >= least and (own := matches(t, template, s["lo"], s["hi"])):
+            found += own
+            taken.append((s["lo"], s["hi"]))
+    if len(template) < SHORT:
+        return found
+    for _, lo, hi in sorted(chains(spans, least, longest(len(template)), k), key=lambda c: (-c[0], c[1])):
+        if all(hi <= a or z <= lo for a, z in taken) and (x := align(t, template, lo, hi)):
+            found.append(x)
+            taken.append((lo, hi))
+    return found
+
+
+def chains(spans: list, least: float, most: float, k: int) -> set[tuple[int, int, int]]:
+    """votes, lo, hi: for each first span, the spans that follow in the order of text and template
+    (words that by chance continue a part may make them overlap by less than k), within ``most``
+    words, with the most votes, if there are two or more and they have the least votes."""
+    spans = sorted(spans, key=lambda s: (s["lo"], s["hi"]))
+    lo, hi, tlo, thi, votes = (np.array([s[c] for s in spans], dtype=np.int64) for c in ("lo", "hi", "tlo", "thi", "votes"))
+    out = set()
+    for i, end in enumerate(np.searchsorted(lo, lo + most, side="right").tolist()):
+        if end - i < 2 or votes[i:end].sum() < least:
+            continue
+        best = np.zeros(end - i, dtype=np.int64)  # votes of the best chain from i to each span; 0 if none
+        best[0] = votes[i]
+        for j in range(i + 1, end):
+            if hi[j] - lo[i] > most:
+                continue
+            before = best[: j - i] * ((hi[i:j] - k < lo[j]) & (thi[i:j] - k < tlo[j]))
+            if before.any():
+                best[j - i] = before.max() + votes[j]
+        last = int(best[1:].argmax()) + 1
+        if best[last] >= least:
+            out.add((int(best[last]), int(lo[i]), int(hi[i + last])))
+    return out
+
+
 def matches(t: tv.Tokens, template: list[bytes], lo: int, hi: int) -> list[tuple[int, int, float, int]]:
     """As align, but of a template under SHORT words every place where it is."""
     if len(template) >= SHORT:
@@ -148,7 +198,7 @@ def align(t: tv.Tokens, template: list[bytes], lo: int, hi: int) -> tuple[int, i
     if not blocks or share < COVERAGE:
         return None
     first, last = a + blocks[0].b, a + blocks[-1].b + blocks[-1].size - 1
-    if last - first + 1 > 1.5 * len(template) + SLACK:
+    if last - first + 1 > longest(len(template)):
         return None
     chars = lambda n: len(t.data[:n].tobytes().decode())
     return chars(t.starts[first]), chars(t.ends[last]), round(share, 4), found
@@ -173,12 +223,18 @@ def licenses(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
         votes.withColumn("fresh", fresh)
         .withColumn("island", F.sum("fresh").over(order))
         .groupBy(*by, "island")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(F.col("lo") - F.col("diagonal")).alias("tlo"), F.max(F.col("hi") - F.col("diagonal")).alias("thi"))
     )
-    n_grams = F.create_map(*(F.lit(x) for i, (_, _, own) in enumerate(templates) for x in (i, len(_words(own)) - k + 1)))
-    spans = merged.where(F.col("votes") >= F.lit(MIN_VOTES) * n_grams[F.col("template")])
-    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("text_key", "template", "lo", "hi"))).alias("spans"))
-    return text.join(per_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(_verify(templates), "doc_id long, template string, license string, start long, end long, coverage double")
+    sizes = [len(_words(own)) for _, _, own in templates]
+    of = lambda values: F.create_map(*(F.lit(x) for pair in enumerate(values) for x in pair))[F.col("template")]
+    least = F.lit(MIN_VOTES) * of([n - k + 1 for n in sizes])
+    # Spans that could be joined start less than a text's longest length apart: 1000 of these parts.
+    part = F.floor(F.col("lo") * 1000 / of([longest(n) for n in sizes])).cast("long")
+    near = F.sum("votes").over(Window.partitionBy(*by).orderBy("part").rangeBetween(-1001, 1001))
+    joinable = of([n >= SHORT for n in sizes]) & (F.col("near") >= least)
+    spans = merged.withColumn("part", part).withColumn("near", near).where((F.col("votes") >= least) | joinable)
+    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("text_key", "template", "lo", "hi", "tlo", "thi", "votes"))).alias("spans"))
+    return text.join(per_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(_verify(templates, k), "doc_id long, template string, license string, start long, end long, coverage double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,3 +34,31 @@ def test_foremost():
             if all(x[3] == y[3] or x[1] <= y[0] or y[1] <= x[0] for _, y in kept):
                 kept.append((i, x))
         assert license_scan.foremost(found) == kept
+
+
+def test_interrupted_license(frame):
+    texts = {name: text for name, _, text in license_scan.TEMPLATES}
+    mit, bsd = texts["mit-text"].split(), texts["bsd-2-text"].split()
+    head = "page 17 of some long report about quite other matters entirely".split()
+    docs = [
+        (1, mit[:50] + head + mit[50:]),
+        (2, mit[:30] + head + mit[30:70] + head + mit[70:]),
+        (3, bsd[:45] + head + bsd[45:]),
+        (4, mit[:50] + head * 12 + mit[50:]),  # longer than a text may be
+        (5, mit[60:] + head + mit[:60]),  # not in order
+        (6, mit[:50] + head + mit[50:] + head + mit),
+        (7, mit + head + mit[:40]),
+    ]
+    docs = [(i, "intro é\n" + " ".join(ws) + "\noutro") for i, ws in docs]
+    full = len(" ".join(mit))
+    joined = lambda n=1: len(" ".join(mit)) + n * len(" " + " ".join(head))
+    got = sorted(tuple(r) for r in license_scan.licenses(frame(docs)).select("doc_id", "template", "start", "end", "coverage").collect())
+    second = 8 + joined(2) + 1
+    assert got == [
+        (1, "mit-text", 8, 8 + joined() - 1, 1.0),
+        (2, "mit-text", 8, 8 + joined(2) - 1, 1.0),
+        (3, "bsd-2-text", 8, 8 + len(" ".join(bsd)) + len(" " + " ".join(head)) - 1, 1.0),
+        (6, "mit-text", 8, 8 + joined() - 1, 1.0),
+        (6, "mit-text", second, second + full - 1, 1.0),
+        (7, "mit-text", 8, 8 + full - 1, 1.0),
+    ]
