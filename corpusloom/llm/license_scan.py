@@ -10,7 +10,7 @@ follow each other in the order of the template and together are no longer than v
 (a page header within a license moves the rest to a far diagonal). To verify: its words, with some to either side, are
 aligned with the template's, and the share of the template's words found in order must reach
 COVERAGE; a template under SHORT words must be there word for word, and each place where it is counts. Of verified spans that overlap,
-those with the most words found are reported.
+those with the most words found are reported, of equal ones those with the highest share.
 
 Plan: one scan explodes the k-grams into the join, whose template side is broadcast after a check
 of its size (it depends on the templates alone); what remains is a few rows for the documents with
@@ -104,10 +104,10 @@ def _verify(templates, k: int):
 
 
 def foremost(found: list[tuple[int, tuple]]) -> list[tuple[int, tuple]]:
-    """Without those that overlap one with more words found, each once."""
+    """Without those that overlap one with more words found, or as many and more of its template, each once."""
     kept: list[tuple[int, tuple]] = []
-    taken: list[tuple[int, int]] = []  # disjoint spans, in order, of those with more words
-    for _, same in groupby(sorted(set(found), key=lambda f: (-f[1][3], f[1][0], f[0])), key=lambda f: f[1][3]):
+    taken: list[tuple[int, int]] = []  # disjoint spans, in order, of those with a better claim
+    for _, same in groupby(sorted(set(found), key=lambda f: (-f[1][3], -f[1][2], f[1][0], f[0])), key=lambda f: (f[1][3], f[1][2])):
         starts = [s for s, _ in taken]
         free = [f for f in same if not (n := bisect_left(starts, f[1][1])) or taken[n - 1][1] <= f[1][0]]
         kept += free

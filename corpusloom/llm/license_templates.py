@@ -158,3 +158,76 @@ TEMPLATES = [
     ),
     ("reserved", "proprietary", "All rights reserved."),
 ]
+
+_BSD_REST = (
+    " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE "
+    "FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT "
+    "OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
+    "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH "
+    "DAMAGE."
+)
+
+#: What follows the leading part of a text where it stands whole, as (its template, the rest).
+_RESTS = [
+    (
+        "mit-text",
+        " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER "
+        "IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+        "OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "isc-text",
+        ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS '
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO "
+        "EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+        "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+        "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+        "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+        "USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("bsd-2-text", _BSD_REST),
+    ("bsd-3-text", _BSD_REST),
+    (
+        "zlib-text",
+        ", subject to the following restrictions: The origin of "
+        "this software must not be misrepresented; you must not "
+        "claim that you wrote the original software. If you use "
+        "this software in a product, an acknowledgment in the "
+        "product documentation would be appreciated but is not "
+        "required. Altered source versions must be plainly marked "
+        "as such, and must not be misrepresented as being the "
+        "original software. This notice may not be removed or "
+        "altered from any source distribution.",
+    ),
+    (
+        "unlicense-text",
+        " In jurisdictions that recognize copyright laws, the author "
+        "or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make "
+        "this dedication for the benefit of the public at large and "
+        "to the detriment of our heirs and successors. We intend "
+        "this dedication to be an overt act of relinquishment in "
+        "perpetuity of all present and future rights to this "
+        'software under copyright law. THE SOFTWARE IS PROVIDED "AS '
+        'IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+        "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT "
+        "OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+]
+# The leading parts stay: a document may quote no more.
+for _name, _rest in _RESTS:
+    _license, _text = next((x, t) for n, x, t in TEMPLATES if n == _name)
+    TEMPLATES.append((_name.replace("-text", "-full-text"), _license, (_text.rstrip(".") if _rest[0] == "," else _text) + _rest))

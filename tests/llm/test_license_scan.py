@@ -62,3 +62,14 @@ def test_interrupted_license(frame):
         (6, "mit-text", second, second + full - 1, 1.0),
         (7, "mit-text", 8, 8 + full - 1, 1.0),
     ]
+
+
+def test_whole_texts_end_with_their_last_words(frame):
+    lasts = {"mit": "DEALINGS IN THE SOFTWARE", "isc": "PERFORMANCE OF THIS SOFTWARE", "bsd-2": "POSSIBILITY OF SUCH DAMAGE", "bsd-3": "POSSIBILITY OF SUCH DAMAGE", "zlib": "from any source distribution", "unlicense": "DEALINGS IN THE SOFTWARE"}
+    texts = {name: text for name, _, text in license_scan.TEMPLATES}
+    docs = [(i, f"intro\n{texts[n + '-full-text']}\noutro") for i, n in enumerate(lasts)] + [(9, texts["mit-text"])]
+    got = {r["doc_id"]: r for r in license_scan.licenses(frame(docs)).collect()}
+    assert len(got) == 7 and got[9]["template"] == "mit-text"
+    for i, (n, last) in enumerate(lasts.items()):
+        assert docs[i][1][got[i]["start"] : got[i]["end"]].endswith(last) and got[i]["template"] == n + "-full-text"
+        assert got[i]["start"] == 6 and got[i]["coverage"] == 1.0
