@@ -57,7 +57,7 @@ def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> byte
     if size < 256 or len(records) < 8:
         return b""
     try:
-        return zstandard.train_dictionary(size, records, k=512, d=8, f=18, accel=4, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, records, k=512, d=8, f=18, accel=1, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, TypeError):
         return b""
 
