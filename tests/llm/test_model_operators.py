@@ -11,7 +11,7 @@ import pytest
 from corpusloom.llm import ann, chat, license_scan, near_dedup, toxicity, warc
 from corpusloom.llm import sentencepiece_codec as sp
 
-from .test_text_operators import brute_groups, brute_leaks, brute_lines, rows
+from .test_text_operators import brute_groups, brute_leaks, brute_lines, cut_lines, rows
 
 # SentencePiece
 
@@ -332,7 +332,7 @@ def test_pipeline(spark, frame, corpus, codec, tmp_path):
     now = [(d, t) for d, t in docs if d is None or toxicity.document_scores([t or ""], model)[0] <= 0]
     steps = [now]
     gone = brute_lines(now, 0.8)
-    cut = [(d, t if t is None or d is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)) for d, t in now]
+    cut = cut_lines(now, gone)
     steps.append([(d, t) for (d, t), (_, old) in zip(cut, now) if t == old or t.strip()])
     dropped = {d for d, _ in brute_groups(steps[-1], near_dedup.THRESHOLD)}
     steps.append([(d, t) for d, t in steps[-1] if d not in dropped])

@@ -1,5 +1,6 @@
 """Line dedup, near dedup, repeated passages and decontamination against brute force."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -51,39 +52,64 @@ def test_windows_and_distinct():
     assert np.diff(cut).tolist() == [1] * len(many)
 
 
+def row_key(text):
+    return int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
+
+
 def brute_lines(docs, threshold):
-    at = sorted((d, n, frozenset(space_words(x))) for d, t in docs if d is not None and t is not None for n, x in enumerate(t.split("\n")))
+    """(doc_id, text, line_no) of every line that goes."""
+    own = {(d, t) for d, t in docs if d is not None and t is not None}
+    at = sorted((d, row_key(t), n, t, frozenset(space_words(x))) for d, t in own for n, x in enumerate(t.split("\n")))
     gone = set()
-    for i, (d, n, x) in enumerate(at):
-        for e, m, y in at[:i]:
-            if x and y and (d, n) != (e, m) and len(x & y) >= threshold * len(x | y) - 1e-9:
-                gone.add((d, n))
-                break
+    for i, (d, _, n, t, x) in enumerate(at):
+        if x and any(y and len(x & y) >= threshold * len(x | y) - 1e-9 for *_, y in at[:i]):
+            gone.add((d, t, n))
     return gone
 
 
-@pytest.mark.parametrize("threshold", [0.8, 0.5, 1.0])
-def test_line_dedup(frame, corpus, threshold):
+def cut_lines(docs, gone):
+    return [(d, t if t is None or d is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, t, n) not in gone)) for d, t in docs]
+
+
+@pytest.mark.parametrize("threshold,cells,group_bytes,hot", [(0.8, 1 << 24, 1 << 26, 1 << 17), (0.5, 1 << 16, 2000, 2), (1.0, 1 << 16, 1 << 26, 1)])
+def test_line_dedup(frame, corpus, threshold, cells, group_bytes, hot):
     r = random.Random(1)
     docs = list(corpus)
     for i, t in corpus[:30]:  # lines changed by a word
         lines = [" ".join(w if r.random() > 0.08 else "new" for w in x.split(" ")) for x in t.split("\n")]
         docs.append((1000 + i, "\n".join(lines)))
+    docs += [(2000, corpus[1][1]), (2000, "quite another text\n" + corpus[2][1]), (2000, "a third"), (2000, "a third"), (5, "same id as another")]
     df = frame(docs)
     gone = brute_lines(docs, threshold)
-    assert gone and {tuple(x) for x in line_dedup.removed_lines(df, threshold).collect()} == gone
-    with pytest.raises(ValueError):
-        line_dedup.dedup_lines(df, threshold)
-    done = line_dedup.dedup_lines(df, threshold, "n_cut")
-    assert done.columns == [*df.columns, "n_cut"]
-    cut = lambda d, t: t if t is None or d is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d, n) not in gone)
-    assert rows(done, "doc_id", "text") == sorted(((d, cut(d, t)) for d, t in docs), key=repr)
+    found = line_dedup.removed_lines(df, threshold, cells, group_bytes, hot).distinct().collect()
+    assert gone and {tuple(x) for x in found} == {(d, row_key(t), n) for d, t, n in gone}
+    if threshold == 0.8:
+        done = line_dedup.dedup_lines(df, threshold)  # df has a column n_removed
+        assert done.columns == [*df.columns, "n_removed_"] and done.where("n_removed <> 7").isEmpty()
+        assert rows(done, "doc_id", "text") == sorted(cut_lines(docs, gone), key=repr)
+
+
+def test_rows_that_share_a_doc_id_keep_what_is_theirs(frame):
+    docs = [(1, "alpha beta gamma"), (2, "alpha beta gamma\nx1"), (2, "unique words here\ny1"), (3, None), (None, "alpha beta gamma")]
+    done = line_dedup.dedup_lines(frame(docs))
+    assert rows(done, "doc_id", "text", "n_removed_") == sorted([(1, docs[0][1], 0), (2, "x1", 1), (2, docs[2][1], 0), (3, None, 0), (None, docs[4][1], 0)], key=repr)
+
+
+def test_line_dedup_of_long_texts(frame):
+    long = "\n".join(f"line {i} of {i * 7919 % 5003} words" for i in range(5000))
+    docs = [(1, long), (2, long + "\nnew at the end"), (3, "w " * 30000)]
+    done = {r["doc_id"]: (r["text"], r["n_removed_"]) for r in line_dedup.dedup_lines(frame(docs)).collect()}
+    assert done[1][0].startswith("line 0 of 0 words") and done[2] == ("new at the end", 5000) and done[3] == (docs[2][1], 0)
 
 
 def test_line_dedup_of_nothing(frame):
-    assert line_dedup.dedup_lines(frame([]), n_removed="n_cut").count() == 0
+    assert line_dedup.dedup_lines(frame([])).count() == 0
     only = [(1, None), (2, ""), (3, " \n "), (None, "a")]
-    assert rows(line_dedup.dedup_lines(frame(only), n_removed="n_cut"), "doc_id", "text", "n_cut") == sorted(((d, t, 0) for d, t in only), key=repr)
+    assert rows(line_dedup.dedup_lines(frame(only)), "doc_id", "text", "n_removed_") == sorted(((d, t, 0) for d, t in only), key=repr)
+    with pytest.raises(ValueError):
+        line_dedup.removed_lines(frame([]), 0)
+    with pytest.raises(ValueError):
+        line_dedup.removed_lines(frame([]), cells=1000)
 
 
 def brute_groups(docs, threshold):
