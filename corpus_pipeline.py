@@ -3,6 +3,12 @@
 Toxic documents go; lines that an earlier line matches go, and with them documents of which nothing
 is left; of near-duplicate documents one stays; documents with benchmark passages go; what remains is
 encoded. Every stage but the last returns the columns of its input, n_chars brought up to date.
+
+Defined results: rows with null doc_id pass every filter; null texts are kept, and encode to null;
+empty texts are kept as long as no line was cut from them; repeated rows and rows that share a
+doc_id are judged as each operator's docstring says (line dedup by row, near dedup by doc_id);
+texts of any length are read whole; ties fall to the least doc_id; empty tables give empty results;
+further columns of documents, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    n = shared.fresh(docs, "n_removed")
-    done = line_dedup.dedup_lines(docs, n_removed=n).where((F.col(n) == 0) | F.col("text").rlike("[^ \\t\\n\\r\\f\\u000b]"))
+    done = line_dedup.dedup_lines(docs)
+    n = done.columns[-1]
+    done = done.where((F.col(n) == 0) | F.col("text").rlike("[^ \\t\\n\\r\\f\\u000b]"))
     changed = F.when(F.col(n) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return done.withColumn("n_chars", changed).select(docs.columns)
 
