@@ -197,6 +197,10 @@ def test_chat(spark):
         (3, 2, "delete", 1, None, None),
         (None, 1, "message", None, "user", "lost"),
         (4, None, "message", None, "user", "lost"),
+        (5, 1, "message", None, "user", "first"),
+        (5, 2, "delta", 2, "assistant", "answer"),
+        (5, 3, "edit", 1, None, "second"),
+        (5, 4, "delta", 2, "assistant", "late"),
     ]
     random.Random(1).shuffle(log)
     df = spark.createDataFrame([(*x, "extra") for x in log], "conv_id long, seq long, kind string, target long, role string, text string, n_messages string")
@@ -205,10 +209,62 @@ def test_chat(spark):
         1: (3, "<|system|>\nBe kind.<|end|>\n<|user|>\nHi there!<|end|>\n<|assistant|>\n<​|end|>final<|end|>\n"),
         2: (1, "<|user|>\n<|end|>\n"),
         3: (0, ""),
+        5: (1, "<|user|>\nsecond<|end|>\n"),
     }
     assert chat.rebuild(df.limit(0)).count() == 0
-    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, None, None), (2, 0, "x", "")], "conv_id long, turn long, role string, text string")
-    assert {r["conv_id"]: (r["n_messages"], r["rendered"]) for r in chat.rebuild(chat.from_turns(turns)).collect()} == {1: (2, "<|user|>\nab<|end|>\n<|user|>\n<|end|>\n"), 2: (1, "<|x|>\n<|end|>\n")}
+
+
+def naive_chat(log):
+    """Of each conversation the final (role, text) pairs, by lists and searches alone."""
+    out = {}
+    for conv in {e[0] for e in log if e[0] is not None and e[1] is not None}:
+        key = lambda e: (e[1], e[2] != "message", *((x is not None, x) for x in e[2:]))
+        now, known = [], set()
+        for _, seq, kind, target, role, text in sorted({e for e in log if e[0] == conv and e[1] is not None}, key=key):
+            role, text = role or "user", text or ""
+            at = [i for i, m in enumerate(now) if target is None or m[0] == target]
+            new = seq if kind == "message" or target is None else target
+            if kind == "message" or kind == "delta" and not at and (target is None or target not in known):
+                now.append([new, role, text])
+                known.add(new)
+            elif not at:
+                continue
+            elif kind == "delta":
+                now[at[-1]][2] += text
+            elif kind == "edit":
+                now[at[-1]][2] = text
+                now = now[: at[-1] + 1]
+            elif kind == "regenerate":
+                now = [*now[: at[-1]], [now[at[-1]][0], role, text]]
+            elif kind == "delete":
+                del now[at[-1]]
+        out[conv] = [(r, t) for _, r, t in now]
+    return out
+
+
+def test_chat_against_lists(spark):
+    r = random.Random(8)
+    log = []
+    for _ in range(1500):  # few numbers, so that events tie, repeat, come late and miss
+        kind = r.choice(["message", "message", "delta", "delta", "delta", "edit", "regenerate", "delete", "other", None])
+        log.append((r.choice([1, 2, 3, 4, 5, None]), r.choice([*range(60), None]), kind, r.choice([None, *range(60)]), r.choice(["user", "assistant", None]), r.choice(["a", "bc", "<|x", None])))
+    log += [(6, i, "message" if i % 3 else "delete", i - 1, "user", f"t{i}") for i in range(400)]
+    df = spark.createDataFrame(log, "conv_id long, seq long, kind string, target long, role string, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # conversations over several batches
+    got = {x["conv_id"]: (x["n_messages"], x["rendered"]) for x in chat.rebuild(df).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {c: (len(m), chat.render(m)) for c, m in naive_chat(log).items()}
+
+
+def test_turns_as_a_log(spark):
+    turns = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, "user", "b"), (1, 1, None, None), (1, 4, "assistant", "odd"), (1, 5, "assistant", ""), (2, 0, "x", ""), (2, None, "user", "lost"), (None, 1, "user", "lost")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    log = chat.from_turns(df)
+    assert {x["kind"] for x in log.collect()} == {"message", "delta", "edit", "regenerate", "delete"}
+    want = {1: (4, "<|user|>\nab<|end|>\n<|user|>\n<|end|>\n<|assistant|>\nodd again<|end|>\n<|assistant|>\n<|end|>\n"), 2: (1, "<|x|>\n<|end|>\n")}
+    assert {x["conv_id"]: (x["n_messages"], x["rendered"]) for x in chat.rebuild(log).collect()} == want
+    assert chat.rebuild(chat.from_turns(df.limit(0))).count() == 0
 
 
 # Archives
