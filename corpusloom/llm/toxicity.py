@@ -10,17 +10,26 @@ depends on its length. A skipped character costs weight, not the match: "id-iot"
 Training, in one task, over a bounded sample of labelled documents (``max_toxic``,
 ``max_clean``, least hashes of doc_id first): sentences of clean documents are clean; of a toxic
 document's sentences at least one has a toxic term, which terms do is settled by rounds of
-multiple-instance training. Terms are mapped to their kernels with the landmarks, whitened; the SVM
-(squared hinge) is solved by Newton steps. A document's three highest term scores, and how many are
-above 0, are pooled by a second linear SVM, fitted on labelled documents kept apart.
+multiple-instance training. Terms are mapped to their kernels with ``landmarks`` terms, whitened; the
+SVM (squared hinge) is solved by Newton steps. What a round trains on is bounded by parameters too:
+``negatives`` of the commonest clean terms and as many spread evenly over the others at first,
+``hard`` of the highest scored clean terms and as many of the highest scored clean pairs of adjoining
+words more with each of ``rounds``, and ``variants`` spoilt spellings of each toxic term.
+
+Scores are given to every word and to every two adjoining words written as one, so that "worth less"
+scores as "worthless" does. A document's three highest word scores, how many are above 0, their
+share and its highest pair score are pooled by a second linear SVM, fitted on all labelled
+documents of the sample; those on which the terms were trained count less than the third kept apart.
 
 Scoring is exact for that SVM: a landmark combination is one weight per character triple, so that
 a term costs six table look-ups a character, whatever the number of landmarks. A document is
-toxic if its pooled score is above 0. Whole texts are scored.
+toxic if its pooled score is above 0. Whole texts are scored, whatever their length.
 
-Defined results: null or empty texts and texts of white space are clean; documents with null
-doc_id are neither reported nor dropped; without a toxic or without a clean label nothing is rejected; labels
-without a document, null labels and repeated labels (any toxic one counts) do no harm.
+Defined results: doc_id is a number; null or empty texts and texts of white space are clean;
+documents with null doc_id are neither reported nor dropped; a score of 0 (a tie) is clean; repeated rows are
+each scored, rows that share a doc_id by their own texts; without a toxic or without a clean label
+nothing is rejected; an empty table gives an empty result; labels without a document, null labels and repeated
+labels (any toxic one counts) do no harm; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -35,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, released
 
 MAX_TOXIC, MAX_CLEAN = 3000, 6000
 DECAY = 0.5
 LANDMARKS = 256
 ROUNDS = 4
+NEGATIVES, HARD, VARIANTS = 8000, 4000, 6
+TRAINED_WEIGHT = 0.05
 CLASSES = 42
 _EDGE, _NONE, _DROP = 0, 41, 255
 _GAPS = ((1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1))
@@ -110,6 +121,20 @@ def terms(texts: list[str]) -> Terms:
     return Terms(cls, starts, ends, np.searchsorted(begins, at, side="right") - 1, at)
 
 
+def pairs(t: Terms) -> Iterator[Terms]:
+    """Every two adjoining words of a text written as one: those that begin at an even place among
+    the words, then those at an odd one."""
+    follows = t.doc[1:] == t.doc[:-1]
+    for odd in (0, 1):
+        first = np.flatnonzero(follows & (np.arange(len(follows)) % 2 == odd))
+        gap = np.zeros(len(t.cls) + 1, dtype=np.int8)
+        gap[t.ends[first]] = 1
+        gap[t.starts[first + 1]] = -1
+        keep = np.cumsum(gap[:-1], dtype=np.int8) == 0
+        at = np.concatenate(([0], np.cumsum(keep)))
+        yield Terms(t.cls[keep], at[t.starts[first]], at[t.ends[first + 1]], t.doc[first], t.at[first])
+
+
 def _spans(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate(([False], cls != _EDGE, [False]))
     return np.flatnonzero(word[1:] & ~word[:-1]), np.flatnonzero(word[:-1] & ~word[1:])
@@ -190,22 +215,67 @@ def _joined(strings: list[bytes]) -> Terms:
     return Terms(cls, starts, starts + length, np.arange(len(strings)), starts)
 
 
-def _with_insertions(term: bytes) -> list[bytes]:
-    """The term with one letter put in, at each inner place from the second letter on."""
-    return [term[:i] + bytes([(7 * i + term[0]) % 26 + 1]) + term[i:] for i in range(2, len(term))][:6]
+def _with_insertions(term: bytes, variants: int) -> list[bytes]:
+    """The term with one letter put in, at inner places from the second letter on, spread evenly."""
+    places = range(2, len(term))
+    places = sorted({places[i * len(places) // variants] for i in range(min(variants, len(places)))}) if places else []
+    return [term[:i] + bytes([(7 * i + term[0]) % 26 + 1]) + term[i:] for i in places]
+
+
+class Landmarks:
+    """Terms as features: their kernels with the marks, whitened. Only the character triples that
+    some mark holds have a row in the table."""
+
+    def __init__(self, marks: list[bytes]) -> None:
+        own = [_profile(m) for m in marks]
+        cols = np.unique(np.concatenate([np.flatnonzero(x) for x in own]))
+        self.table = np.zeros((len(cols) + 1, len(marks)), dtype=np.float32)
+        for i, x in enumerate(own):
+            self.table[:-1, i] = x[cols]
+        self.row = np.full(CLASSES**3, len(cols), dtype=np.int32)
+        self.row[cols] = np.arange(len(cols))
+        self.cols = cols
+        value, vector = np.linalg.eigh((self.table.T @ self.table).astype(np.float64))
+        good = value > 1e-6 * value.max()
+        self.whiten = vector[:, good] / np.sqrt(value[good])
+
+    def features(self, terms_: list[bytes]) -> np.ndarray:
+        out = np.ones((len(terms_), self.whiten.shape[1] + 1), dtype=np.float32)
+        for at in range(0, len(terms_), 1024):
+            t = _joined(terms_[at : at + 1024])
+            total = np.zeros((len(t.cls) + 1, self.table.shape[1]), dtype=np.float32)
+            for index, w in _triples(t.cls):
+                total[:-1] += self.table[self.row[index]] * np.float32(w)
+            cut = np.empty(2 * len(t.starts), dtype=np.int64)
+            cut[0::2], cut[1::2] = t.starts, t.ends
+            k = np.add.reduceat(total, cut, axis=0)[0::2] / _norms(t.ends - t.starts)[:, None]
+            out[at : at + 1024, :-1] = k @ self.whiten
+        return out
+
+    def weights(self, w: np.ndarray) -> np.ndarray:
+        """Per character triple, of a combination of the features."""
+        out = np.zeros(CLASSES**3)
+        out[self.cols] = self.table[:-1] @ (self.whiten @ w)
+        return _valid(out.astype(np.float32))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
     """Squared-hinge linear SVM with a free intercept (last column of x), by Newton steps."""
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-6
-    loss = lambda w: (ridge * w * w).sum() + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    scores = lambda w: np.concatenate([x[at : at + 4096] @ w for at in range(0, len(x), 4096)])
+    loss = lambda w: (ridge * w * w).sum() + (cost * np.maximum(0, 1 - y * scores(w)) ** 2).sum()
     now = loss(w)
     for _ in range(steps):
-        on = y * (x @ w) < 1
-        own = x[on] * cost[on, None]
-        grad = ridge * w - own.T @ (y[on] - x[on] @ w)
-        move = np.linalg.solve(np.diag(ridge) + own.T @ x[on], grad)
+        grad, curve = ridge * w, np.diag(ridge)
+        for at in range(0, len(x), 4096):  # no copy of the whole
+            part, own = x[at : at + 4096].astype(np.float64), y[at : at + 4096]
+            on = own * (part @ w) < 1
+            part, own = part[on], own[on]
+            weighted = part * cost[at : at + 4096][on, None]
+            grad = grad - weighted.T @ (own - part @ w)
+            curve = curve + weighted.T @ part
+        move = np.linalg.solve(curve, grad)
         step = 1.0
         while (then := loss(w - step * move)) > now and step > 1e-4:
             step /= 2
@@ -215,24 +285,37 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.
     return w
 
 
-def train(texts: list[str], toxic: list[bool]) -> Model | None:
+def _hard_pairs(texts: list[str], model: Model, most: int) -> list[bytes]:
+    """The highest scored pairs of adjoining words of clean texts."""
+    found: dict[bytes, float] = {}
+    for at, to in _chunks(texts):
+        for t in pairs(terms(texts[at:to])):
+            value = term_scores(t, model.weights) - np.float32(model.cut)
+            near = np.flatnonzero(value > FLOOR)
+            for i, v in zip(near.tolist(), value[near].tolist()):
+                found[t.cls[t.starts[i] : t.ends[i]].tobytes()] = v
+        if len(found) > 4 * most:
+            found = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most])
+    return [x for x, _ in sorted(found.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def train(texts: list[str], toxic: list[bool], landmarks: int = LANDMARKS, rounds: int = ROUNDS, n_negatives: int = NEGATIVES, n_hard: int = HARD, variants: int = VARIANTS) -> Model | None:
     if not any(toxic) or all(toxic):
         return None
-    label = np.array(toxic)
-    order = np.arange(len(texts))
+    texts, label = [x or "" for x in texts], np.array(toxic)
     held = np.zeros(len(texts), dtype=bool)
     for side in (True, False):
-        own = order[label == side]
-        held[own[::3]] = len(own) >= 15  # every third is kept apart for the pooling
+        held[np.flatnonzero(label == side)[2::3]] = True  # every third is kept apart for the pooling
     bag: dict[bytes, int] = {}
     docs: list[np.ndarray] = []
     for i in range(0, len(texts), 100):
-        t = terms([x or "" for x in texts[i : i + 100]])
+        t = terms(texts[i : i + 100])
         ids = np.array([bag.setdefault(s, len(bag)) for s in _strings(t)], dtype=np.int64)
         cut = np.searchsorted(t.doc, np.arange(len(texts[i : i + 100]) + 1))
         docs += [np.unique(ids[a:b]).astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
     strings = list(bag)
-    n_toxic, n_clean = np.zeros(len(bag)), np.zeros(len(bag))
+    del bag
+    n_toxic, n_clean = np.zeros(len(strings)), np.zeros(len(strings))
     for i, own in enumerate(docs):
         if not held[i]:
             (n_toxic if label[i] else n_clean)[own] += 1
@@ -243,17 +326,13 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     if not len(clean) or not n_toxic.any():
         return None
     # Landmarks: terms that tell toxic documents, the commonest clean ones and an even spread.
-    telling = np.argsort(-odds * np.sqrt(n_toxic), kind="stable")[: LANDMARKS // 2]
+    telling = np.argsort(-odds * np.sqrt(n_toxic), kind="stable")[: landmarks // 2]
     telling = telling[odds[telling] > 2]
     common = clean[np.argsort(-n_clean[clean], kind="stable")]
-    spread = common[:: max(1, len(common) // (LANDMARKS // 4))][: LANDMARKS // 4]
-    marks = list(dict.fromkeys([*telling.tolist(), *common[: LANDMARKS // 4].tolist(), *spread.tolist()]))
-    tables = np.stack([_profile(strings[i]).astype(np.float32) for i in marks])
-    value, vector = np.linalg.eigh((tables @ tables.T).astype(np.float64))
-    good = value > 1e-6 * value.max()
-    whiten = vector[:, good] / np.sqrt(value[good])
-
-    positives = np.zeros(len(bag), dtype=bool)
+    spread = common[:: max(1, len(common) // (landmarks // 4))][: landmarks // 4]
+    marks = Landmarks([strings[i] for i in dict.fromkeys([*telling.tolist(), *common[: landmarks // 4].tolist(), *spread.tolist()])])
+
+    positives = np.zeros(len(strings), dtype=bool)
     for i, own in enumerate(docs):
         if label[i] and not held[i] and len(own):
             best = own[np.argmax(odds[own] * np.sqrt(n_toxic[own]))]
@@ -261,30 +340,30 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
     positives |= (odds > 20) & (n_toxic >= 3)
     if not positives.any():
         return None
-    negatives = common[: 8000]
-    negatives = np.union1d(negatives, common[8000 :: max(1, len(common) // 8000)])
+    rest = common[n_negatives:]
+    negatives = np.union1d(common[:n_negatives], rest[:: max(1, len(rest) // max(1, n_negatives))])
+    hard_pairs: list[bytes] = []
+    clean_texts = [x for x, bad, out in zip(texts, label, held) if not bad and not out]
     every = _joined(strings)
-
-    def features(own: list[bytes]) -> np.ndarray:
-        t = _joined(own)
-        k = np.stack([term_scores(t, w) for w in tables], axis=1)
-        return np.hstack([k @ whiten, np.ones((len(own), 1))])
-
-    weights, scores = None, None
-    for _ in range(ROUNDS):
+    model = None
+    for _ in range(rounds):
         pos = np.flatnonzero(positives)
         neg = np.setdiff1d(negatives, pos)
-        spoilt = [v for i in pos[np.argsort(-n_toxic[pos], kind="stable")[:200]] for v in _with_insertions(strings[i])]
-        x = features([strings[i] for i in pos] + spoilt + [strings[i] for i in neg])
-        n_pos = len(x) - len(neg)
+        spoilt = [v for i in pos for v in _with_insertions(strings[i], variants)]
+        toxic_terms = {strings[i] for i in pos}
+        against = [strings[i] for i in neg] + [x for x in hard_pairs if x not in toxic_terms]
+        x = marks.features([strings[i] for i in pos] + spoilt + against)
+        n_pos = len(x) - len(against)
         y = np.where(np.arange(len(x)) < n_pos, 1.0, -1.0)
-        cost = np.where(y > 0, 2.0 * max(1.0, len(neg) / n_pos / 4), 8.0)
+        cost = np.where(y > 0, 2.0 * max(1.0, len(against) / n_pos / 4), 8.0)
         cost[len(pos) : n_pos] /= 4
         w = _svm(x, y, cost)
-        weights = _valid(((whiten @ w[:-1]) @ tables).astype(np.float32))
-        scores = term_scores(every, weights) + w[-1]
-        hard = clean[scores[clean] > -0.5]
-        negatives = np.union1d(neg, hard[np.argsort(-scores[hard], kind="stable")[:4000]])
+        del x
+        model = Model(marks.weights(w[:-1]), -w[-1], np.zeros(7))
+        scores = term_scores(every, model.weights) + w[-1]
+        hard = clean[scores[clean] > FLOOR]
+        negatives = np.union1d(neg, hard[np.argsort(-scores[hard], kind="stable")[:n_hard]])
+        hard_pairs = list(dict.fromkeys(hard_pairs + _hard_pairs(clean_texts, model, n_hard)))
         positives = (scores > 0) & (n_toxic > 0) & (odds > 5)
         for i, own in enumerate(docs):  # at least one term of each toxic document tells
             if label[i] and not held[i] and len(own) and not positives[own].any():
@@ -292,41 +371,50 @@ def train(texts: list[str], toxic: list[bool]) -> Model | None:
                 positives[best] = odds[best] > 5
         if not positives.any():
             return None
-    model = Model(weights, -w[-1], np.zeros(6))
-    use = np.flatnonzero(held if (held & label).sum() >= 5 else np.ones(len(label), dtype=bool))
-    pooled = document_features([texts[i] or "" for i in use], model)
-    y = np.where(label[use], 1.0, -1.0)
-    model.pool = _svm(np.hstack([pooled, np.ones((len(use), 1))]), y, np.where(y > 0, 4.0, 12.0))
+    pooled = document_features(texts, model)
+    y = np.where(label, 1.0, -1.0)
+    model.pool = _svm(np.hstack([pooled, np.ones((len(texts), 1))]), y, np.where(y > 0, 4.0, 12.0) * np.where(held, 1, TRAINED_WEIGHT))
     return model
 
 
 FLOOR = -0.5
 
 
-def document_features(texts: list[str], model: Model) -> np.ndarray:
-    """Of each text: its three highest term scores, clipped, the logarithm of one plus the number
-    of terms above 0, and their share."""
-    out = np.zeros((len(texts), 5))
-    out[:, :3] = FLOOR
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about a quarter of a million characters, or of one text."""
     at, size = 0, 0
     for i, x in enumerate(texts):
         size += len(x)
         if size >= 1 << 18 or i == len(texts) - 1:
-            t = terms(texts[at : i + 1])
-            if len(t.starts):
-                value = np.minimum(term_scores(t, model.weights) - np.float32(model.cut), 1.5)
-                near = np.flatnonzero(value > FLOOR)
-                if len(near):
-                    doc, v = t.doc[near] + at, value[near]
-                    order = np.lexsort((-v, doc))
-                    doc, v = doc[order], v[order]
-                    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                    top = rank < 3
-                    out[doc[top], rank[top]] = v[top]
-                    hits = np.bincount(doc[v > 0], minlength=len(texts))
-                    out[at : i + 1, 3] = np.log1p(hits[at : i + 1])
-                    out[at : i + 1, 4] = np.minimum(1, 20 * hits[at : i + 1] / np.maximum(1, np.bincount(t.doc, minlength=i + 1 - at)))
+            yield at, i + 1
             at, size = i + 1, 0
+
+
+def document_features(texts: list[str], model: Model) -> np.ndarray:
+    """Of each text: its three highest word scores, clipped, the logarithm of one plus the number
+    of words above 0, their share, and the highest score of two adjoining words written as one."""
+    out = np.zeros((len(texts), 6))
+    out[:, :3] = out[:, 5] = FLOOR
+    for at, to in _chunks(texts):
+        t = terms(texts[at:to])
+        if not len(t.starts):
+            continue
+        value = np.minimum(term_scores(t, model.weights) - np.float32(model.cut), 1.5)
+        near = np.flatnonzero(value > FLOOR)
+        if len(near):
+            doc, v = t.doc[near] + at, value[near]
+            order = np.lexsort((-v, doc))
+            doc, v = doc[order], v[order]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+            top = rank < 3
+            out[doc[top], rank[top]] = v[top]
+            hits = np.bincount(doc[v > 0] - at, minlength=to - at)
+            out[at:to, 3] = np.log1p(hits)
+            out[at:to, 4] = np.minimum(1, 20 * hits / np.maximum(1, np.bincount(t.doc, minlength=to - at)))
+        for both in pairs(t):
+            value = np.minimum(term_scores(both, model.weights) - np.float32(model.cut), 1.5)
+            near = np.flatnonzero(value > FLOOR)
+            np.maximum.at(out[:, 5], both.doc[near] + at, value[near])
     return out
 
 
@@ -335,7 +423,8 @@ def document_scores(texts: list[str], model: Model) -> np.ndarray:
     return (document_features(texts, model) @ model.pool[:-1] + model.pool[-1]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, **bounds: int) -> Model | None:
+    """bounds: landmarks, rounds, n_negatives, n_hard and variants of train."""
     per_doc = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg((F.max("toxic") > 0).alias("__toxic"))
     chosen = None
     for side, most in ((True, max_toxic), (False, max_clean)):
@@ -349,31 +438,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
         for b in batches:
             texts += b.column(1).to_pylist()
             toxic += b.column(2).to_pylist()
-        model = train(texts, toxic)
+        model = train(texts, toxic, **bounds)
+        del texts[:], toxic[:]
         if model:
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype("<f4").tobytes()], pa.binary()), pa.array([model.cut]), pa.array([model.pool.astype("<f8").tobytes()], pa.binary())], names=["weights", "cut", "pool"])
 
-    row = ordered.mapInArrow(run, "weights binary, cut double, pool binary").first()
+    row = ordered.mapInArrow(released(run), "weights binary, cut double, pool binary").first()
     return row and Model(np.frombuffer(row["weights"], "<f4"), row["cut"], np.frombuffer(row["pool"], "<f8"))
 
 
 def score(docs: DataFrame, model: Model | None, column: str = "toxic_score") -> DataFrame:
-    """docs with the column toxic_score, above 0 for toxic documents."""
+    """docs with a new last column toxic_score (lengthened by underscores where docs has one),
+    above 0 for toxic documents."""
+    column = fresh(docs, column)
     if model is None:
         return docs.withColumn(column, F.lit(float("-inf")).cast("float"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("float")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in batches:
             yield pd.Series(document_scores(x.fillna("").tolist(), shared.value))
 
+    @F.pandas_udf("float")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from released(scores)(batches)
+
     return docs.withColumn(column, run(F.col("text").cast("string")))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    column = fresh(docs, "toxic_score")
-    scored = score(docs, fit(docs, labels), column)
+    scored = score(docs, fit(docs, labels))
+    column = scored.columns[-1]
     return scored.where((F.col(column) <= 0) | F.col("doc_id").isNull()).drop(column)
 
 

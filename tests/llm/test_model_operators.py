@@ -354,6 +354,40 @@ def test_toxicity_on_held_out_documents(spark, frame):
     assert (toxicity.document_scores(inserted, model) > 0).mean() >= 0.8
 
 
+def test_two_words_score_as_one(frame):
+    score = lambda texts: toxicity.document_features(texts, model)[:, [0, 5]].max(axis=1)
+    train = [(i, t.replace("clown", "worthless"), y) for i, t, y in labelled(400, 1)]
+    model = toxicity.train([t for _, t, _ in train], [y for _, _, y in train])
+    one, two = score(["kalo worthless mita"])[0], score(["kalo worth less mita"])[0]
+    assert one == pytest.approx(two) and one > 0
+    clean = [t for _, t, y in labelled(100, 4) if not y]
+    spoilt = [t + " idiot stup id mor on worth less" for t in clean]
+    assert (toxicity.document_scores(clean, model) > 0).mean() <= 0.02 and (toxicity.document_scores(spoilt, model) > 0).mean() >= 0.95
+    both = list(toxicity.pairs(toxicity.terms(["ab cd  ef", "gh", "", "ij kl"])))
+    assert [bytes(c + 96 for c in x).decode() for t in both for x in toxicity._strings(t)] == ["abcd", "ijkl", "cdef"]
+
+
+def test_svm_has_the_least_loss():
+    rng = np.random.default_rng(1)
+    x = np.hstack([rng.standard_normal((5000, 3)), np.ones((5000, 1))]).astype(np.float32)
+    y = np.where(x @ [1, -2, 0.5, 0.3] + rng.standard_normal(5000) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 2.0, 1.0)
+    loss = lambda w: (w[:3] ** 2).sum() + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    w = toxicity._svm(x, y, cost)
+    assert all(loss(w) <= loss(w + 1e-3 * d) + 1e-6 for d in rng.standard_normal((200, 4)))
+
+
+def test_landmark_features_are_whitened_kernels():
+    code = lambda w: bytes(ord(c) - 96 for c in w)
+    words = ["idiot", "idxiot", "hand", "handle", "ab", "moron"]
+    marks = toxicity.Landmarks([code(w) for w in words])
+    x = marks.features([code(w) for w in words])[:, :-1]
+    assert np.allclose(x @ x.T, [[slow_kernel(a, b) for b in words] for a in words], atol=1e-4)
+    t = toxicity.terms(words)
+    w = np.arange(1.0, x.shape[1] + 1)
+    assert np.allclose(toxicity.term_scores(t, marks.weights(w)), x @ w, atol=1e-3)
+
+
 def test_toxicity_of_tables(spark, frame):
     rows_ = labelled(200, 3)
     docs = frame([(i, t) for i, t, _ in rows_] + [(900, None), (901, ""), (902, " \n"), (903, "x " * 20000), (None, rows_[0][1]), (0, rows_[0][1])])
@@ -367,6 +401,9 @@ def test_toxicity_of_tables(spark, frame):
     assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
     assert toxicity.drop_toxic(docs, labels.where("toxic = 0")).count() == docs.count()
     assert toxicity.drop_toxic(docs.limit(0), labels).count() == 0
+    own = docs.withColumn("toxic_score", toxicity.F.lit("mine"))  # a column that clashes stays as it is
+    assert toxicity.score(own, None).columns == [*own.columns, "toxic_score_"]
+    assert toxicity.drop_toxic(own, labels).where("toxic_score = 'mine'").count() == len(ids)
 
 
 # The pipeline, stage by stage
