@@ -2,23 +2,32 @@
 
 Each of TREES trees gives every vector a string of BITS bits, the sides of random hyperplanes; a
 tree is the array of its strings in sorted order, in which the strings with a common prefix are one
-run. Every vector is a query. It descends in all trees at once to its longest prefix matches (runs
-of about LEAF vectors at the first level), all vectors of those runs are compared with it, and it
-then ascends in all trees at once, to shorter prefixes and longer runs. Two vectors at angle a share
-x bits of a tree with probability (1 - a / pi) ** x, so that one as near as the query's k-th
-neighbour so far has been seen, in some tree, with a known probability; a query stops when that
-reaches ``target``. How far it ascends thus depends on its neighbourhood alone: near copies stop at
-once; where all vectors are nearly as far as each other it must go far up, down to the empty
-prefix, which compares all. There is no cap on candidates.
-
-Plan: one table of vectors and strings; per level a shuffle of the trees' runs, matrix products
-within runs (a run beyond RUN vectors is split into a grid of blocks), and a shuffle of packed
-results, of which each query keeps its k best. Only the runs of queries still searching take part.
+run. Queries are the vectors whose id is divisible by ``every``; all vectors are indexed. A query
+descends in each tree to its longest prefix match, beside its own place in the sorted array, and
+ascends in all trees at once, a bit at a time, until the runs of a level hold ``fewest`` vectors, and
+one of them k; these are compared with it. Two vectors at angle a share x bits of a tree with probability
+(1 - a / pi) ** x: from the k-th similarity so far follows the level at which a neighbour as near as
+that has been seen, in some tree, with probability ``target``, and the query ascends there at once.
+The k-th similarity can only have grown by then, so that a query is done after two levels. Where
+the runs of all trees would hold an eighth of all vectors (TREES / 2 ** x), the query goes to the
+root, the empty prefix, and is compared with all, as rows of a matrix product. How far it ascends
+depends on its neighbourhood alone; vectors without structure (no near neighbours) go to the root,
+which is work in proportion to queries times vectors. There is no cap on candidates.
+
+Plan: equal vectors collapse to their least id, k + 1 ids of each kept, which is all that a result can
+name; a query with k copies is answered by them. The sorted arrays are one range-partitioned sort by
+(tree, string, id), written as segments of about RUN strings: as the id is part of the key, a run
+of any length, of near copies for instance, is cut over as many segments as it fills. Segment bounds
+go to the driver (their number is n * TREES / RUN); by them a query is sent to the segments that
+its runs touch, and to no others. Only ids and strings are in the forest; vectors join the distinct
+candidate pairs. At the root, blocks of queries meet blocks of vectors.
 
 Defined results: null, empty and all-zero vectors, those with a null, NaN or infinite element and
 those not of the most common length (of equally common ones, the greatest) are neither queries nor
-neighbours; rows with null vec_id are ignored; of rows sharing a vec_id the least vector stands;
-equally near neighbours rank by vec_id; fewer than k other vectors give fewer rows; other columns are ignored.
+neighbours; ids are numbers, rows with null vec_id are ignored; of rows sharing a vec_id the least
+vector stands; similarities are rounded to six places before they are ranked, equal ones rank by
+vec_id; fewer than k other vectors give fewer rows; an empty table gives no rows; long vectors
+are compared whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,19 +37,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts
+from .shared import materialize, parts, released
 
 NEIGHBOURS = 10
-TREES, BITS = 16, 32
-LEAF = 64
-STEP = 3
+EVERY = 20
+TREES, BITS = 16, 63
+FEWEST = 100
 TARGET = 0.92
-RUN = 50_000
+RUN = 1 << 16
+BLOCK = 1 << 15
 SEED = 20240229
-FOUND = np.dtype([("query", "<i8"), ("id", "<i8"), ("sim", "<f4")])
 
 
 def vectors(table: DataFrame, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -63,120 +72,287 @@ def strings(x: np.ndarray, trees: int, bits: int) -> np.ndarray:
     return (side * (1 << np.arange(bits - 1, -1, -1, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
 
 
-def _index(trees: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            s = strings(x, trees, bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(s.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "vec", "strings"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float32).reshape(len(column), -1)
+
+
+def _strings(trees: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                s = strings(_matrix(part.column(1)), trees, bits).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(s))), pa.array(s.reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), trees))], names=["tree", "string", "id"])
 
     return run
 
 
-def _compare(k: int, n_parts: int):
-    def run(group):
-        ids = group["id"].to_numpy()
-        x = np.frombuffer(b"".join(group["vec"].to_pylist()), dtype=np.float32).reshape(len(ids), -1)
-        kth = group["kth"].to_numpy()
-        role = group["role"].to_numpy()  # 1: point, 2: query, 3: both
-        order = np.argsort(group["string"].to_numpy(), kind="stable")
-        point, query = order[(role[order] & 1) > 0], order[(role[order] & 2) > 0]
-        found = []
-        p, names = x[point], ids[point]
-        for at in range(0, len(query), 256):
-            q = query[at : at + 256]
-            sim = x[q] @ p.T
-            sim[ids[q][:, None] == names[None, :]] = -2
-            if len(p) > k:
-                cut = np.partition(sim, len(p) - k, axis=1)[:, len(p) - k] if len(p) > 4 * k else np.full(len(q), -2, np.float32)
-                cut = np.maximum(cut, kth[q].astype(np.float32) - 1e-6)
-            else:
-                cut = kth[q].astype(np.float32) - 1e-6
-            r, c = np.nonzero((sim >= cut[:, None]) & (sim > -1.5))
-            out = np.empty(len(r), dtype=FOUND)
-            out["query"], out["id"], out["sim"] = ids[q][r], names[c], np.round(sim[r, c], 6)
-            found.append(out)
-        return packed(np.concatenate(found) if found else np.empty(0, FOUND), n_parts)
+def _segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition as one row; its number is the segment's."""
+    from pyspark import TaskContext
+
+    tree, string, ids = [], [], []
+    for b in batches:
+        for to, i in ((tree, 0), (string, 1), (ids, 2)):
+            to.append(b.column(i).to_numpy(zero_copy_only=False))
+    if sum(map(len, tree)):
+        t, s, i = (np.concatenate(x) for x in (tree, string, ids))
+        values = [TaskContext.get().partitionId(), int(t[0]), int(s[0]), int(i[0]), int(t[-1]), int(s[-1]), t.astype("<i4").tobytes(), s.astype("<i8").tobytes(), i.astype("<i8").tobytes()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["segment", "tree", "string", "id", "last_tree", "last_string", "trees", "strings", "ids"])
+
+
+class Bounds:
+    """The first (tree, string, id) of each segment, in order."""
+
+    def __init__(self, rows: list) -> None:
+        rows = sorted(rows, key=lambda r: (r["tree"], r["string"], r["id"]))
+        self.segment = np.array([r["segment"] for r in rows], dtype=np.int32)
+        self.tree = np.array([r["tree"] for r in rows], dtype=np.int64)
+        self.string = np.array([r["string"] for r in rows], dtype=np.int64)
+        self.last_tree = np.array([r["last_tree"] for r in rows], dtype=np.int64)
+        self.last_string = np.array([r["last_string"] for r in rows], dtype=np.int64)
+
+    def touched(self, tree: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and range of strings, both ends included, the first and the number of the
+        segments (places in order) that may hold a string of it."""
+        first, count = np.zeros(len(tree), dtype=np.int64), np.zeros(len(tree), dtype=np.int64)
+        for t in np.unique(tree):
+            on = tree == t
+            # Places whose end is not before lo, and whose begin is not after hi.
+            ends = np.where(self.last_tree > t, np.iinfo(np.int64).max, np.where(self.last_tree < t, -1, self.last_string))
+            begins = np.where(self.tree < t, -1, np.where(self.tree > t, np.iinfo(np.int64).max, self.string))
+            a = np.searchsorted(ends, lo[on], side="left")
+            z = np.searchsorted(begins, hi[on], side="right")
+            first[on], count[on] = a, np.maximum(z - a, 0)
+        return first, count
+
+
+def _route(shared, trees: int, bits: int):
+    """query, level, tree, string, segment: where the run of a query's prefix lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bounds = shared.value
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                ids, level = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                s = strings(_matrix(part.column(2)), trees, bits).astype(np.int64).reshape(-1)
+                query, x, tree = np.repeat(ids, trees), np.repeat(level, trees), np.tile(np.arange(trees), len(ids))
+                below = (np.int64(1) << (bits - x)) - 1
+                first, count = bounds.touched(tree, s & ~below, s | below)
+                row = np.repeat(np.arange(len(query)), count)
+                place = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                yield pa.RecordBatch.from_arrays([pa.array(query[row]), pa.array(x[row].astype(np.int32)), pa.array(tree[row].astype(np.int32)), pa.array(s[row]), pa.array(bounds.segment[place])], names=["query", "level", "tree", "string", "segment"])
 
     return run
 
 
-def packed(rows: np.ndarray, n_parts: int) -> pa.Table:
-    part = rows["query"] % n_parts
-    order = np.argsort(part, kind="stable")
-    rows, cut = rows[order], np.searchsorted(part[order], np.arange(n_parts + 1))
-    filled = [p for p in range(n_parts) if cut[p] < cut[p + 1]]
-    return pa.table({"part": pa.array(filled, pa.int32()), "rows": pa.array([rows[cut[p] : cut[p + 1]].tobytes() for p in filled], pa.binary())})
+def _runs(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    read = lambda c, kind: np.frombuffer(group[c][0].as_py(), kind)
+    return read("trees", "<i4"), read("strings", "<i8"), read("ids", "<i8")
+
+
+def _places(trees, values, tree, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+    """Range of a segment's places with each tree and range of strings."""
+    a, z = np.zeros(len(tree), dtype=np.int64), np.zeros(len(tree), dtype=np.int64)
+    for t in np.unique(tree):
+        on = tree == t
+        b, e = np.searchsorted(trees, (t, t + 1))
+        a[on] = b + np.searchsorted(values[b:e], lo[on], side="left")
+        z[on] = b + np.searchsorted(values[b:e], hi[on], side="right")
+    return a, z
+
+
+def _descend(bits: int, fewest: int):
+    """query, level, n, run: how many strings of a segment, its own included, share exactly level bits
+    with the query's and how many as many or more, from its longest match on upwards until fewest
+    others are met. Near a segment's ends these are lower bounds, which ascend a little further."""
+
+    def run(key, segments: pa.Table, queries: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64)] * 4
+        if segments.num_rows and queries.num_rows:
+            trees, values, _ = _runs(segments)
+            query, tree, string = (queries[c].to_numpy() for c in ("query", "tree", "string"))
+            found = []
+            who, inner = np.arange(len(query)), np.zeros(len(query), dtype=np.int64)
+            for level in range(bits, -1, -1):
+                below = (np.int64(1) << np.int64(bits - level)) - 1
+                a, z = _places(trees, values, tree[who], string[who] & ~below, string[who] | below)
+                n, before = z - a, inner[who]
+                more = n > before
+                found.append((query[who][more], np.full(int(more.sum()), level), (n - before)[more], n[more]))
+                inner[who] = n
+                who = who[n <= fewest]
+                if not len(who):
+                    break
+            out = [np.concatenate(x) for x in zip(*found)]
+        return pa.table({"query": pa.array(out[0], pa.int64()), "level": pa.array(out[1].astype(np.int32)), "n": pa.array(out[2], pa.int64()), "run": pa.array(out[3], pa.int64())})
+
+    return run
 
 
-def _best(k: int):
-    def run(group):
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), dtype=FOUND) for x in group["rows"]])
-        rows = rows[np.lexsort((-rows["sim"], rows["id"], rows["query"]))]
-        rows = rows[np.append(True, (rows["query"][1:] != rows["query"][:-1]) | (rows["id"][1:] != rows["id"][:-1]))]
-        rows = rows[np.lexsort((rows["id"], -rows["sim"], rows["query"]))]
-        rank = np.arange(len(rows)) - np.searchsorted(rows["query"], rows["query"])
-        rows, rank = rows[rank < k], rank[rank < k]
-        return pa.table({"query": rows["query"], "id": rows["id"], "sim": rows["sim"], "rank": (rank + 1).astype(np.int32)})
+def _meet(bits: int):
+    """query, id: the strings of a segment that share a query's prefix."""
+
+    def run(key, segments: pa.Table, queries: pa.Table) -> pa.Table:
+        left = right = np.empty(0, np.int64)
+        if segments.num_rows and queries.num_rows:
+            trees, values, ids = _runs(segments)
+            query, level, tree, string = (queries[c].to_numpy() for c in ("query", "level", "tree", "string"))
+            below = (np.int64(1) << (bits - level.astype(np.int64))) - 1
+            a, z = _places(trees, values, tree, string & ~below, string | below)
+            n = z - a
+            left = np.repeat(query, n)
+            right = ids[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            keep = left != right
+            keep[1:] &= (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            left, right = left[keep], right[keep]
+        return pa.table({"query": pa.array(left, pa.int64()), "id": pa.array(right, pa.int64())})
 
     return run
 
 
-def _pack(n_parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.empty(b.num_rows, dtype=FOUND)
-            for i, name in enumerate(("query", "id", "sim")):
-                rows[name] = b.column(i).to_numpy(zero_copy_only=False)
-            yield from packed(rows, n_parts).to_batches()
+def _similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            s = np.round(np.einsum("ij,ij->i", _matrix(b.column("u")), _matrix(b.column("v"))).astype(np.float64), 6)
+            yield pa.RecordBatch.from_arrays([b.column("query"), b.column("id"), pa.array(s)], names=["query", "id", "sim"])
+
+
+def best_rows(top: int, sim: np.ndarray, names: np.ndarray, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row of rounded similarities the top by similarity, then by name, without its own."""
+    sim[query[:, None] == names[None, :]] = -2
+    if sim.shape[1] > top:
+        cut = np.partition(sim, sim.shape[1] - top, axis=1)[:, sim.shape[1] - top]
+    else:
+        cut = np.full(len(sim), -1.5)
+    r, c = np.nonzero((sim >= cut[:, None]) & (sim > -1.5))
+    order = np.lexsort((names[c], -sim[r, c], r))
+    r, c = r[order], c[order]
+    rank = np.arange(len(r)) - np.searchsorted(r, r)
+    r, c = r[rank < top], c[rank < top]
+    return query[r], names[c], sim[r, c]
+
+
+def _cell(top: int):
+    """A block of queries against a block of vectors."""
+
+    def run(key, points: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if points.num_rows and queries.num_rows:
+            names, x = points["id"].to_numpy(), _matrix(points["vec"])
+            query, y = queries["query"].to_numpy(), _matrix(queries["vec"])
+            for at in range(0, len(query), 256):
+                sim = np.round((y[at : at + 256] @ x.T).astype(np.float64), 6)
+                found.append(best_rows(top, sim, names, query[at : at + 256]))
+        q, i, s = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"query": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "sim": pa.array(s, pa.float64())})
 
     return run
 
 
-def neighbours(table: DataFrame, k: int = NEIGHBOURS, trees: int = TREES, target: float = TARGET, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id, neighbor_id, rank, similarity of the k nearest others of every vector."""
-    if k < 1 or trees < 1 or not 0 < target < 1:
-        raise ValueError("k and trees must be positive and target within (0, 1)")
+def _top(rows: DataFrame, k: int, *extra: str) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("sim"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "sim", "rank", *extra)
+
+
+def wanted_level(kth: Column, trees: int, target: float) -> Column:
+    """The level at which a vector as similar as kth shares a prefix in some tree with probability target."""
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), kth)))
+    share = F.log(F.greatest(F.lit(1e-12), 1 - angle / math.pi))
+    return F.when(share > -1e-9, F.lit(1 << 20)).otherwise(F.floor(F.lit(math.log(1 - (1 - target) ** (1 / trees))) / share)).cast("int")
+
+
+def neighbours(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees: int = TREES, fewest: int = FEWEST, target: float = TARGET, id_column: str = "vec_id", column: str = "embedding", stats: dict | None = None) -> DataFrame:
+    """vec_id, neighbor_id, rank, similarity of the k nearest others of every vector whose id is
+    divisible by ``every``. stats, where given, gets the numbers of vectors, of searches, of pairs compared
+    after descent and after ascent, and of searches that went to the root."""
+    if k < 1 or trees < 1 or every < 1 or fewest < k or not 0 < target < 1:
+        raise ValueError("k, trees and every must be positive, fewest at least k, and target within (0, 1)")
     spark = table.sparkSession
-    n_parts = parts(spark)
-    forest = materialize(vectors(table, id_column, column).mapInArrow(_index(trees, BITS), "id long, vec binary, strings array<long>"), "forest")
-    n = forest.count()
-    level = min(BITS, max(0, math.ceil(math.log2(max(1, n) / LEAF))))
-    kind = "query long, id long, sim float, rank int"
-    best = spark.createDataFrame([], kind)
-    active = forest.select("id", F.lit(-2.0).alias("kth"))
-    while True:
-        blocks = max(1, math.ceil(n / 2**level / RUN))
-        prefix = F.shiftrightunsigned(F.col("string"), BITS - level) if level else F.lit(0).cast("long")
-        rows = forest.join(active, "id", "left").select("id", "vec", "kth", F.posexplode("strings").alias("tree", "string")).withColumn("prefix", prefix)
-        if not level:
-            rows = rows.where("tree = 0")  # the empty prefix holds all vectors in any tree
-        own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        as_point = rows.select("*", own.alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qb"), F.lit(1).alias("role"))
-        as_query = rows.where("kth is not null").select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("pb"), own.alias("qb"), F.lit(2).alias("role"))
-        if blocks == 1:
-            sides = rows.select("*", F.lit(0).alias("pb"), F.lit(0).alias("qb"), F.when(F.col("kth").isNull(), 1).otherwise(3).alias("role"))
-        else:
-            sides = as_point.unionByName(as_query)
-        sides = sides.select("tree", "prefix", "pb", "qb", "id", "vec", "string", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "role")
-        found = sides.groupBy("tree", "prefix", "pb", "qb").applyInArrow(_compare(k, n_parts), "part int, rows binary")
-        before = best.select("query", "id", "sim").mapInArrow(_pack(n_parts), "part int, rows binary")
-        best = materialize(found.unionByName(before).groupBy("part").applyInArrow(_best(k), kind), "neighbours")
-        if not level:
-            break
-        kth = best.groupBy("query").agg(F.min("sim").alias("kth"), F.count("*").alias("n"))
-        state = active.select(F.col("id").alias("query")).join(kth, "query", "left").select(F.col("query").alias("id"), F.when(F.col("n") >= k, F.col("kth").cast("double")).otherwise(-2.0).alias("kth"))
-        angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("kth"))))
-        seen = 1 - F.pow(1 - F.pow(1 - angle / math.pi, F.lit(float(level))), F.lit(float(trees)))
-        active = materialize(state.where((F.col("kth") < -1) | (seen < target)), "searching")
-        if active.isEmpty():
-            break
-        level = max(0, level - STEP)
-    return best.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbor_id"), F.col("rank").cast("long").alias("rank"), F.round(F.col("sim").cast("double"), 6).alias("similarity"))
+    h = ["h1", "h2"]
+    unit = vectors(table, id_column, column).mapInArrow(_unit, "id long, vec binary").select("id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    unit = materialize(unit, "unit-vectors")
+    copies = Window.partitionBy(*h).orderBy("id")
+    members = materialize(unit.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).withColumn("rep", F.min("id").over(Window.partitionBy(*h))), "members")
+    points = members.where("nth = 1").select("id", "vec")
+    asked = unit.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("asked"), *h).join(members.where("nth = 1").select("rep", *h), h).select("asked", "rep")
+    full = members.where(F.col("nth") == k + 1).select("rep")
+    search = materialize(asked.select("rep").distinct().join(full, "rep", "left_anti").join(points, F.col("rep") == F.col("id")).select(F.col("rep").alias("query"), "vec"), "searches")
+    n, n_searches = points.count(), search.count()
+
+    n_segments = max(1, -(-n * trees // RUN))
+    sorted_ = points.mapInArrow(released(_strings(trees, BITS)), "tree int, string long, id long").repartitionByRange(n_segments, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
+    forest = materialize(sorted_.mapInArrow(_segment, "segment int, tree int, string long, id long, last_tree int, last_string long, trees binary, strings binary, ids binary"), "forest")
+    ends = forest.select("segment", "tree", "string", "id", "last_tree", "last_string").collect()  # a row for RUN strings
+    runs = forest.select("segment", "trees", "strings", "ids")
+
+    def routed(levels: DataFrame) -> DataFrame:
+        return levels.select("query", "level", "vec").mapInArrow(_route(shared, trees, BITS), "query long, level int, tree int, string long, segment int")
+
+    def compared(levels: DataFrame, name: str) -> DataFrame:
+        found = runs.groupBy("segment").cogroup(routed(levels).groupBy("segment")).applyInArrow(_meet(BITS), "query long, id long").distinct()
+        pairs = found.join(points.select("id", F.col("vec").alias("v")), "id").join(search.select("query", F.col("vec").alias("u")), "query")
+        done = materialize(pairs.mapInArrow(_similarities, "query long, id long, sim double"), name)
+        if stats is not None:
+            stats[name] = done.count()
+        return _top(done, k)
+
+    if ends and n_searches:
+        shared = spark.sparkContext.broadcast(Bounds(ends))
+        own = routed(search.withColumn("level", F.lit(BITS)))
+        met = runs.groupBy("segment").cogroup(own.groupBy("segment")).applyInArrow(_descend(BITS, fewest), "query long, level int, n long, run long")
+        upward = Window.partitionBy("query").orderBy(F.desc("level"))
+        per_level = met.groupBy("query", "level").agg(F.sum("n").alias("n"), F.max("run").alias("run"))
+        so_far = per_level.select("query", "level", F.sum("n").over(upward).alias("n"), F.max("run").over(upward).alias("run"))
+        # Its own string is in every tree; the same neighbours may be in all: one run must hold k others.
+        enough = (F.col("n") >= fewest + trees) & (F.col("run") > k)
+        reached = so_far.groupBy("query").agg(F.coalesce(F.max(F.when(enough, F.col("level"))), F.min("level")).alias("level"))
+        first = materialize(search.join(reached, "query"), "descended")
+        near = materialize(compared(first, "descent"), "nearest")
+        kth = near.groupBy("query").agg(F.min("sim").alias("kth"), F.count("*").alias("found"))
+        state = search.join(first.select("query", F.col("level").alias("seen")), "query", "left").join(kth, "query", "left")
+        level = F.when(F.coalesce("found", F.lit(0)) < k, F.lit(0)).otherwise(wanted_level(F.col("kth"), trees, target))
+        least = math.log2(trees) + 3
+        state = materialize(state.withColumn("level", level).where(F.col("seen").isNull() | (F.col("level") < F.col("seen"))).select("query", "vec", F.when(F.col("level") > least, F.col("level")).otherwise(0).alias("level")), "ascending")
+        more = compared(state.where("level > 0"), "ascent")
+        at_root = state.where("level = 0").select("query", "vec")
+        n_root = at_root.count()
+    else:
+        near = more = spark.createDataFrame([], "query long, id long, sim double, rank int")
+        at_root, n_root = search, n_searches
+    if stats is not None:
+        stats |= {"vectors": n, "searches": n_searches, "root": n_root}
+    p_blocks, q_blocks = max(1, -(-n // BLOCK), min(parts(spark), -(-n // 1024))), max(1, -(-n_root // BLOCK))
+    spread = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    if n_root:
+        p = points.select("id", "vec", spread("id", p_blocks).alias("p"), each(q_blocks).alias("q"))
+        q = at_root.select("query", "vec", spread("query", q_blocks).alias("q"), each(p_blocks).alias("p"))
+        cells = p.groupBy("p", "q").cogroup(q.groupBy("p", "q")).applyInArrow(_cell(k), "query long, id long, sim double")
+        root = _top(cells, k)
+    else:
+        root = near.limit(0)
+    # A query's rows come from where it ended: the later ones replace or join the earlier.
+    found = near.unionByName(more).unionByName(root).groupBy("query", "id").agg(F.max("sim").alias("sim"))
+    best = _top(found, k)
+    named = members.select(F.col("rep").alias("of"), F.col("id").alias("member"))
+    others = asked.join(best, F.col("rep") == F.col("query")).join(named, F.col("id") == F.col("of")).select("asked", "member", "sim")
+    own = asked.join(named, F.col("rep") == F.col("of")).where("member <> asked").select("asked", "member", F.lit(1.0).alias("sim"))
+    ranked = _top(own.unionByName(others).select(F.col("asked").alias("query"), F.col("member").alias("id"), "sim"), k)
+    return ranked.select(F.col("query").alias("vec_id"), F.col("id").alias("neighbor_id"), F.col("rank").cast("long").alias("rank"), F.col("sim").alias("similarity"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -139,39 +139,82 @@ def test_licenses(frame, corpus):
 # Neighbours
 
 
-def test_neighbours(spark):
+def exact_neighbours(x, k=10):
+    """Similarities, and each row's k nearest others by rounded similarity, then id."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round((unit @ unit.T).astype(np.float64), 6)
+    np.fill_diagonal(sim, -9)
+    return sim, [np.lexsort((np.arange(len(x)), -row))[:k].tolist() for row in sim]
+
+
+def by_query(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["similarity"]))
+    return {q: sorted(v) for q, v in got.items()}
+
+
+VECTORS = "vec_id long, embedding array<float>"
+
+
+def test_neighbours_of_unstructured_vectors(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((1500, 24)).astype(np.float32)
     x[700:720] = x[0] + 0.01 * rng.standard_normal((20, 24))
     odd = [(5000, None), (5001, []), (5002, [0.0] * 24), (5003, [1.0] * 23), (5004, [float("nan")] * 24), (5005, [None] + [1.0] * 23), (None, [1.0] * 24), (3, x[3].tolist())]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + odd
-    df = spark.createDataFrame([(i, v, 1, "t") for i, v in data], "vec_id long, embedding array<float>, rank int, tree string")
-    got = {}
-    for r in ann.neighbours(df).collect():
-        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["similarity"]))
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    sim = unit @ unit.T
-    np.fill_diagonal(sim, -9)
-    top = np.argsort(-sim, axis=1)[:, :10]
-    assert set(got) == set(range(1500)) and all(len(v) == 10 for v in got.values())
-    recall = np.mean([len({n for _, n, _ in got[i]} & set(top[i].tolist())) / 10 for i in range(1500)])
-    assert recall >= 0.9
-    for i in (0, 705):
-        assert {n for _, n, _ in got[i]} <= {0, *range(700, 720)}
-        assert all(abs(s - sim[i, n]) < 1e-5 for _, n, s in got[i])
-    for v in got.values():
-        v.sort()
-        assert all(a[2] >= b[2] for a, b in zip(v, v[1:]))
+    df = spark.createDataFrame([(i, v, 1, "t", 2) for i, v in data], VECTORS + ", rank int, tree string, query int")
+    got = by_query(ann.neighbours(df))
+    sim, top = exact_neighbours(x)
+    assert set(got) == set(range(0, 1500, 20)) and all([r for r, _, _ in v] == list(range(1, 11)) for v in got.values())
+    assert np.mean([len({n for _, n, _ in got[i]} & set(top[i])) / 10 for i in got]) >= 0.9
+    for i in (0, 700):
+        assert {n for _, n, _ in got[i]} <= {0, *range(700, 720)} and np.allclose([s for _, _, s in got[i]], sim[i, top[i]], atol=2e-6)
+    for i, v in got.items():
+        assert all(abs(s - sim[i, n]) < 2e-6 for _, n, s in v) and v == sorted(v, key=lambda x: (-x[2], x[1]))
+
+
+def test_neighbours_of_clusters_compare_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ann, "RUN", 500)
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((300, 32))
+    x = (centres[np.arange(6000) % 300] + 0.12 * rng.standard_normal((6000, 32))).astype(np.float32)
+    x[3000:4500] = centres[0] + 0.02 * rng.standard_normal((1500, 32))  # near copies, a quarter of all: a run over many segments
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VECTORS).repartition(4)
+    stats = {}
+    got = by_query(ann.neighbours(df, stats=stats))
+    sim, top = exact_neighbours(x)
+    assert len(got) == 300 and np.mean([len({n for _, n, _ in got[i]} & set(top[i])) / 10 for i in got]) >= 0.9
+    pairs = stats["descent"] + stats["ascent"] + stats["root"] * stats["vectors"]
+    assert stats["root"] <= 3 and pairs < 0.1 * stats["searches"] * stats["vectors"]
+
+
+def test_strings_and_segments_of_a_tree(spark):
+    rows = [{"segment": 4, "tree": 0, "string": 5, "id": 1, "last_tree": 0, "last_string": 9}, {"segment": 2, "tree": 0, "string": 9, "id": 7, "last_tree": 1, "last_string": 3}, {"segment": 1, "tree": 1, "string": 4, "id": 0, "last_tree": 2, "last_string": 6}]
+    bounds = ann.Bounds(rows)
+    ask = lambda t, lo, hi: [bounds.segment[x].tolist() for f, n in zip(*bounds.touched(np.array([t]), np.array([lo]), np.array([hi]))) for x in [slice(f, f + n)]][0]
+    assert ask(0, 9, 9) == [4, 2] and ask(0, 6, 7) == [4] and ask(1, 0, 9) == [2, 1] and ask(2, 7, 8) == [] and ask(0, 0, 4) == []
+    s = ann.strings(np.eye(8, dtype=np.float32), 3, 63)
+    assert s.shape == (8, 3) and (s < 1 << 63).all()
 
 
 def test_neighbours_of_few(spark, monkeypatch):
     kind = "vec_id long, embedding array<double>"
     assert ann.neighbours(spark.createDataFrame([], kind)).count() == 0
-    assert ann.neighbours(spark.createDataFrame([(1, [1.0])], kind)).count() == 0
+    assert ann.neighbours(spark.createDataFrame([(20, [1.0])], kind)).count() == 0
+    assert ann.neighbours(spark.createDataFrame([(1, [1.0]), (2, [2.0])], kind)).count() == 0
     same = spark.createDataFrame([(i, [3.0, 4.0]) for i in range(6)] + [(9, [-3.0, -4.0])], kind)
-    monkeypatch.setattr(ann, "RUN", 2)  # a grid of blocks
-    got = sorted(tuple(r) for r in ann.neighbours(same, k=3).collect() if r["vec_id"] in (0, 5, 9))
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (5, 0, 1, 1.0), (5, 1, 2, 1.0), (5, 2, 3, 1.0), (9, 0, 1, -1.0), (9, 1, 2, -1.0), (9, 2, 3, -1.0)]
+    want = [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 1.0), (5, 0, 1, 1.0), (5, 1, 2, 1.0), (5, 2, 3, 1.0), (9, 0, 1, -1.0), (9, 1, 2, -1.0), (9, 2, 3, -1.0)]
+    got = sorted(tuple(r) for r in ann.neighbours(same, k=3, every=1).collect() if r["vec_id"] in (0, 5, 9))
+    assert got == want
+    monkeypatch.setattr(ann, "BLOCK", 2)  # a grid of blocks
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((40, 3)), 1)
+    x[np.abs(x).sum(axis=1) == 0] = 1
+    got = by_query(ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], kind), k=4, every=1))
+    sim, _ = exact_neighbours(x.astype(np.float32))
+    for i, v in got.items():
+        assert np.allclose([s for _, _, s in v], np.sort(sim[i])[::-1][:4], atol=2e-6)
 
 
 # Chat
