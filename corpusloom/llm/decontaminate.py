@@ -10,9 +10,12 @@ The automaton is built in each Python worker from a broadcast list of patterns,
 the benchmark, not the corpus; a benchmark whose patterns exceed MAX_CHARS is split over several
 automata and scans.
 
-Defined results: null or empty texts and documents with null doc_id have no passages; null or
-word-less items are no patterns; items with equal texts are all reported; repeated rows repeat
-their passages; other columns are ignored, or pass through drop_contaminated.
+Defined results: doc_id and item_id are numbers; null or empty texts and documents with null doc_id
+have no passages; null or word-less items are no patterns; items with equal texts are all reported;
+passages of several items that end alike (ties) are each reported; repeated rows repeat their
+passages, and rows that share a doc_id go together in drop_contaminated; texts of any length are
+scanned whole; an empty table on either side gives an empty result; other columns, whatever their
+names, are ignored, or pass through drop_contaminated.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, released
 
 WORDS = 13
 MAX_CHARS = 64_000_000
@@ -107,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, max_
     for s in range(shards):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).orderBy("item_id", "text").collect()  # at most max_chars of patterns
         shared = spark.sparkContext.broadcast(patterns([(r["item_id"], r["text"]) for r in rows], words))
-        scans.append(text.mapInArrow(_scan(shared, shared._jbroadcast.id()), "doc_id long, item_id long, start long, end long"))
+        scans.append(text.mapInArrow(released(_scan(shared, shared._jbroadcast.id())), "doc_id long, item_id long, start long, end long"))
     return reduce(DataFrame.unionByName, scans)
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import dense
 from . import textvec as tv
-from .shared import fresh, materialize, parts
+from .shared import fresh, materialize, parts, released
 
 THRESHOLD = 0.8
 CELLS = 1 << 24
@@ -253,17 +253,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     text = own.select("doc_id", row_key("text").alias("row"), "text")
-    scan = materialize(text.mapInArrow(_scan(threshold, cells), f"doc_id long, row long, line_no int, key long, load long, {dense.SCHEMA}"), "line-scan")
+    scan = materialize(text.mapInArrow(released(_scan(threshold, cells)), f"doc_id long, row long, line_no int, key long, load long, {dense.SCHEMA}"), "line-scan")
     lines = scan.where("key is not null").select("doc_id", "row", "line_no", "key")
     load = scan.where("load is not null").agg(F.sum("load")).first()[0] or 0
     n_parts = max(parts(spark), -(-load // group_bytes))
     rarity = spark.sparkContext.broadcast(dense.merge(scan.where("block is not null").select("block", "cells", "counts"), cells, "class"))
-    postings = own.select("text").mapInArrow(_postings(rarity, threshold, cells, n_parts, hot), "part int, rows binary").repartition(n_parts, "part")
+    postings = own.select("text").mapInArrow(released(_postings(rarity, threshold, cells, n_parts, hot)), "part int, rows binary").repartition(n_parts, "part")
     pairs = postings.groupBy("part").applyInArrow(_joined(threshold), "left long, right long").distinct()
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("left", "right")).alias("key"))
     bits, width = dense.key_bits(wanted, "key", 2 * pairs.count())
-    found = text.mapInArrow(_texts(spark.sparkContext.broadcast(bits), width), "key long, doc_id long, row long, line_no int, line string")
+    found = text.mapInArrow(released(_texts(spark.sparkContext.broadcast(bits), width)), "key long, doc_id long, row long, line_no int, line string")
     at = F.struct("doc_id", "row", "line_no")
     sets = found.groupBy("key").agg(F.min(at).alias("first"), F.max("line").alias("line"))
     later = later_sets(pairs, sets, threshold).withColumn("later", F.lit(True))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import dense
 from . import textvec as tv
 from .components import components
-from .shared import fresh, materialize
+from .shared import fresh, materialize, released
 
 K = 3
 THRESHOLD = 0.45
@@ -160,7 +160,7 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketched = materialize(text.mapInArrow(sketch, "doc_id long, s1 long, s2 long, n long, regs binary"), "sketches")
+    sketched = materialize(text.mapInArrow(released(sketch), "doc_id long, s1 long, s2 long, n long, regs binary"), "sketches")
     same = sketched.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("v"))
     copies = sketched.select("doc_id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v", "s1", "s2")
     copies = materialize(copies, "copies")

@@ -15,9 +15,10 @@ No piece reaches over the start of a word's marker or into a line feed (where th
 which is checked), so that the best segmentation of a text is that of its words; each batch's
 distinct words are segmented together, one numpy step for all of them at a time.
 
-Defined results: null text gives null ids and null decoded text; '' gives no ids; rows with null
-doc_id and repeated rows are encoded like any other; invalid or special ids decode to nothing;
-other columns are ignored.
+Defined results: doc_id is a number; null text gives null ids and null decoded text; '' gives no
+ids; rows with null doc_id and repeated rows are encoded like any other; texts and words of any
+length are encoded whole (words over 512 bytes one by one, with the same result); an empty table
+gives an empty result; invalid or special ids decode to nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .shared import released
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BYTE_COST = 10.0
 _MARK = 0xFF  # never a byte of UTF-8; stands for the white-space marker
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 _LONG = 512
 
 
@@ -345,7 +347,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, codec: Codec | None =
                 ids = codec.encode(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pc.list_value_length(ids).cast(pa.int64()), codec.decode(ids)], names=["doc_id", "ids", "n_tokens", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, ids array<int>, n_tokens long, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
