@@ -42,7 +42,7 @@ from .shared import fresh, materialize, parts, released
 
 THRESHOLD = 0.8
 CELLS = 1 << 24
-GROUP_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20
 HOT = 1 << 17
 GRID = 32
 _SEEN = 1 << 20
@@ -258,7 +258,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     load = scan.where("load is not null").agg(F.sum("load")).first()[0] or 0
     n_parts = max(parts(spark), -(-load // group_bytes))
     rarity = spark.sparkContext.broadcast(dense.merge(scan.where("block is not null").select("block", "cells", "counts"), cells, "class"))
-    postings = own.select("text").mapInArrow(released(_postings(rarity, threshold, cells, n_parts, hot)), "part int, rows binary").repartition(n_parts, "part")
+    postings = own.select("text").mapInArrow(released(_postings(rarity, threshold, cells, n_parts, hot)), "part int, rows binary").repartitionById(n_parts, "part")
     pairs = postings.groupBy("part").applyInArrow(_joined(threshold), "left long, right long").distinct()
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("left", "right")).alias("key"))

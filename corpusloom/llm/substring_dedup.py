@@ -4,15 +4,18 @@ Tokens are white-space separated. A window is repeated if the corpus holds the s
 at another place, in the same document or another. Overlapping or adjoining repeated windows of a
 document merge into one maximal interval; every occurrence is reported, the first included.
 
-Plan: one scan takes the Rabin-Karp hashes of all windows, in numpy, and deals them by hash to the
-shuffle partitions as packed arrays, one row per chunk and partition; each partition counts its
-hashes with one sort and returns, per chunk, which windows are repeated; the chunks' answers are
-put together and merged into intervals. Two shuffles, of 9 bytes a window and of the repeated
-windows only; no row per window ever exists, no pairs are made, and a passage that a million
-documents hold costs no more than a million windows.
-
-Defined results: documents with null doc_id, null text or fewer than WINDOW tokens have no
-windows; repeated rows count as occurrences each; other columns are ignored.
+Plan: one scan takes the Rabin-Karp hashes of all windows, in numpy, chunk by chunk of CHUNK_BYTES of
+text. Windows that a chunk itself repeats are settled there, and only one hash of each is sent
+to tell the others, so that a passage in a third of all documents costs a hash per chunk; the
+other hashes are dealt with their places to groups of about GROUP_BYTES, whose number follows from
+the text's size. Each group counts its hashes with one sort and returns, per chunk, which windows
+are repeated; the chunks' answers are put together and merged into intervals. Two shuffles, of 9
+bytes a window and of the repeated windows only; no row per window ever exists, no pairs are made.
+
+Defined results: doc_id is a number; documents with null doc_id, null text or fewer than WINDOW tokens
+have no windows; repeated rows count as occurrences each, and rows that share a doc_id each report
+their own intervals; no ties can occur; texts of any length are read whole; an empty table gives no
+intervals; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .shared import parts
+from .shared import parts, released
 
 WINDOW = 50
 CHUNK_BYTES = 32 << 20
+GROUP_BYTES = 32 << 20
 _META = -1
 _CHUNK = "part int, chunk string, dealt int, hashes binary, gaps binary, docs binary, counts binary"
 
@@ -49,21 +53,32 @@ def _positions(packed: bytes) -> np.ndarray:
     return np.cumsum(gap.view("<u4").reshape(-1), dtype=np.int64)
 
 
-def _deal(window: int, n_parts: int):
+def _deal(window: int, n_parts: int, chunk_bytes: int):
     names = ["part", "chunk", "dealt", "hashes", "gaps", "docs", "counts"]
     types = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
-    def rows(chunk: str, ids: list, counts: list, hashes: list) -> pa.RecordBatch:
-        h = np.concatenate(hashes)
+    def dealt(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of hashes by group, and the groups' offsets."""
         part = (h >> np.uint64(32)).astype(np.int64) * n_parts >> 32
         order = np.argsort(part.astype(np.uint16) if n_parts <= 1 << 16 else part, kind="stable")
-        cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+        return order, np.searchsorted(part[order], np.arange(n_parts + 1))
+
+    def rows(chunk: str, ids: list, counts: list, hashes: list) -> pa.RecordBatch:
+        h = np.concatenate(hashes)
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        again = np.zeros(len(h), dtype=bool)
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        first = np.append(True, ~same)[: len(h)]  # of each hash
+        told = h[order[first & again[order]]]
         out = []
-        for p in range(n_parts):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at):
-                out.append((p, chunk, p, h[at].tobytes(), _gaps(at), None, None))
-        out.append((hash_part(chunk, n_parts), chunk, _META, None, None, np.concatenate(ids).tobytes(), np.concatenate(counts).tobytes()))
+        once = np.flatnonzero(~again)
+        for own, places in ((h[once], once), (told, None)):
+            order, cut = dealt(own)
+            for p in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+                at = order[cut[p] : cut[p + 1]]
+                out.append((p, chunk, p, own[at].tobytes(), None if places is None else _gaps(places[at]), None, None))
+        out.append((hash_part(chunk, n_parts), chunk, _META, None, _gaps(np.flatnonzero(again)), np.concatenate(ids).tobytes(), np.concatenate(counts).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +95,7 @@ def _deal(window: int, n_parts: int):
                     counts.append(n[n > 0].astype("<i8"))
                     hashes.append(h)
                     size += len(t.data)
-                if size >= CHUNK_BYTES:
+                if size >= chunk_bytes:
                     yield rows(f"{task}.{number}", ids, counts, hashes)
                     number, ids, counts, hashes, size = number + 1, [], [], [], 0
         if hashes:
@@ -111,14 +126,14 @@ def _count(group):
     out, at = [], 0
     for chunk, gaps, x in zip(own["chunk"].to_pylist(), own["gaps"], parts_of):
         mine, at = again[at : at + len(x)], at + len(x)
-        if mine.any():
+        if gaps.is_valid and mine.any():
             out.append((chunk, _gaps(_positions(gaps.as_py())[mine])))
     found = pa.table([pa.array([c for c, _ in out], pa.string()), pa.array([g for _, g in out], pa.binary()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.binary())], schema=kind)
     return pa.concat_tables([meta.cast(kind), found])
 
 
 def _merge(window: int):
-    def run(group):
+    def run(group: pa.Table) -> pa.Table:
         meta = group.filter(pc.is_valid(group["docs"]))
         docs = np.frombuffer(meta["docs"][0].as_py(), "<i8")
         counts = np.frombuffer(meta["counts"][0].as_py(), "<i8")
@@ -137,13 +152,17 @@ def _merge(window: int):
     return run
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, n_parts: int | None = None) -> DataFrame:
-    """doc_id, start_token, end_token (exclusive) of the maximal repeated intervals."""
+def repeated_passages(docs: DataFrame, window: int = WINDOW, n_parts: int | None = None, group_bytes: int = GROUP_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, start_token, end_token (exclusive) of the maximal repeated intervals. n_parts: the
+    number of groups, by default one for group_bytes of what is shuffled, and no fewer than
+    spark.sql.shuffle.partitions."""
     if window < 1:
         raise ValueError("window must be positive")
-    n_parts = n_parts or parts(docs.sparkSession)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    dealt = text.mapInArrow(_deal(window, n_parts), _CHUNK)
+    if n_parts is None:
+        size = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a token and its space are seldom less than five bytes
+        n_parts = max(parts(docs.sparkSession), -(-2 * size // group_bytes))
+    dealt = text.mapInArrow(released(_deal(window, n_parts, chunk_bytes)), _CHUNK).repartitionById(n_parts, "part")
     counted = dealt.groupBy("part").applyInArrow(_count, "chunk string, gaps binary, docs binary, counts binary")
     return counted.groupBy("chunk").applyInArrow(_merge(window), "doc_id long, start_token long, end_token long")
 

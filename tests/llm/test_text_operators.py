@@ -187,13 +187,20 @@ def brute_passages(docs, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("window,n_parts", [(5, 1), (5, 7), (1, 3), (50, 4)])
-def test_repeated_passages(frame, corpus, window, n_parts):
-    got = substring_dedup.repeated_passages(frame(corpus), window, n_parts)
+@pytest.mark.parametrize("window,n_parts,chunk_bytes", [(5, 1, 1 << 25), (5, 7, 3000), (1, 3, 1 << 25), (50, None, 500)])
+def test_repeated_passages(frame, corpus, window, n_parts, chunk_bytes):
+    got = substring_dedup.repeated_passages(frame(corpus), window, n_parts, 5000, chunk_bytes)
     want = brute_passages(corpus, window)
     assert want and sorted(tuple(r) for r in got.collect()) == want
 
 
+def test_positions_pack_in_two_or_four_planes():
+    for at in ([], [0], [3, 4, 70_000], [5, 70_000, 200_000, 1 << 28]):
+        at = np.array(at, dtype=np.int64)
+        packed = substring_dedup._gaps(at)
+        assert substring_dedup._positions(packed).tolist() == at.tolist() and (not len(at) or packed[0] == (4 if np.diff(at, prepend=0).max() >= 1 << 16 else 2))
+
+
 def test_repeated_passages_of_nothing(frame):
     assert substring_dedup.repeated_passages(frame([])).count() == 0
     assert substring_dedup.repeated_passages(frame([(1, "a b"), (2, None), (None, "a b")]), 2).count() == 0
