@@ -1,20 +1,24 @@
 """Operator 9: web archive files, compressed record by record with a dictionary of their own.
 
-Pages become WARC/1.1 resource records. A shard is a file's worth of records, taken in order from
-one task's pages until SHARD_BYTES are gathered, and never split over tasks, so that nothing is
-shuffled. A Zstandard dictionary is built from all records of the shard; the file starts with a
+Pages become WARC/1.1 resource records, after a warcinfo record. A shard is a file's worth of records,
+taken in order from one task's pages until SHARD_BYTES are gathered, and never split over tasks, so
+that nothing is shuffled. A Zstandard dictionary is built from all records of the shard: trained on
+them, or, where they are too few or too short for training, which Zstandard reports, their first
+bytes as they stand. The file starts with a
 skippable frame (magic 0x184D2A5D) that holds it, and each record follows as a frame of its own, so
 that a reader needs only the file's head and an offset. Zstandard checks each record's content sum.
 
-Rows of the result are frames: row 0 of a shard is the dictionary's, with null page_id; the frames of
-a shard in order of record_no are the file. The shard's name is the task's number and a running
+Rows of the result are frames: row 0 of a shard is the dictionary's, row 1 the warcinfo record's, both
+with null page_id; the frames of a shard in order of record_no are the file; raw_bytes is what a
+frame holds. The shard's name is the task's number and a running
 number: a task that runs again on the same input writes the same shards, byte for byte.
 
-Defined results: null or empty html is a record with an empty block; null url leaves the target URI
-out; line feeds in a url are percent-encoded; repeated rows are archived as often as they come;
-rows with null page_id are archived as well (read_shard gives them back, their row has record_no but
-null page_id); an empty table has no shards; a shard too small or uniform for a dictionary
-has an empty one; other columns are ignored.
+Defined results: page_id is a number; null or empty html is a record with an empty block; null url leaves
+the target URI out; line feeds in a url are percent-encoded; repeated rows and rows with equal
+page_id are archived as often as they come (no ties arise); rows with null page_id are archived as well
+(read_shard gives them back, their row has record_no but null page_id); a page of any length is one
+record, which may make its shard longer than SHARD_BYTES; an empty table has no shards; the date of
+capture is that of ``date_column``, if named and not null, else ``date``; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,17 +53,24 @@ def record(page_id: int | None, url: str | None, html: str | None, date: str = D
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(shard: str, date: str = DATE) -> bytes:
+    """The warcinfo record of a shard."""
+    block = b"software: corpusloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, shard)}>", f"WARC-Date: {date}", f"WARC-Filename: {shard}.warc.zst", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
+    """A dictionary of at most size bytes and about a sixteenth of the records'; none if size is 0."""
     import zstandard
 
-    total = sum(map(len, records))
-    size = min(size, total // 16)
-    if size < 256 or len(records) < 8:
+    size = min(size, max(256, sum(map(len, records)) // 16))
+    if not size or not records:
         return b""
     try:
         return zstandard.train_dictionary(size, records, k=512, d=8, f=18, accel=1, level=LEVEL).as_bytes()
-    except (zstandard.ZstdError, TypeError):
-        return b""
+    except zstandard.ZstdError:  # too few samples: a dictionary of content, which Zstandard takes as well
+        return b"".join(records)[:size]
 
 
 def shard_frames(records: list[bytes], level: int = LEVEL, dictionary_bytes: int = DICTIONARY_BYTES) -> list[bytes]:
@@ -72,11 +83,12 @@ def shard_frames(records: list[bytes], level: int = LEVEL, dictionary_bytes: int
 
 
 def read_shard(data: bytes) -> Iterator[tuple[dict[str, str], str]]:
-    """Headers and html of each record of a file."""
+    """Headers and html of each page's record of a file."""
     for r in read_records(data):
         head, _, block = r.partition(b"\r\n\r\n")
-        lines = head.decode().split("\r\n")
-        yield dict(x.split(": ", 1) for x in lines[1:]), block[:-4].decode()
+        headers = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        if headers["WARC-Type"] == "resource":
+            yield headers, block[:-4].decode()
 
 
 def read_records(data: bytes) -> Iterator[bytes]:
@@ -109,21 +121,22 @@ def _write(shard_bytes: int, level: int, dictionary_bytes: int, date: str):
     names = ["shard", "record_no", "page_id", "offset", "raw_bytes", "frame"]
 
     def emit(shard: str, ids: list, records: list[bytes]) -> pa.RecordBatch:
+        records = [info(shard, date), *records]
         frames = shard_frames(records, level, dictionary_bytes)
         offset, at = [], 0
         for f in frames:
             offset.append(at)
             at += len(f)
         n = len(frames)
-        return pa.RecordBatch.from_arrays([pa.array([shard] * n), pa.array(range(n), pa.int64()), pa.array([None, *ids], pa.int64()), pa.array(offset, pa.int64()), pa.array([0, *map(len, records)], pa.int64()), pa.array(frames, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([shard] * n), pa.array(range(n), pa.int64()), pa.array([None, None, *ids], pa.int64()), pa.array(offset, pa.int64()), pa.array([len(frames[0]) - 8, *map(len, records)], pa.int64()), pa.array(frames, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, number, ids, records, size = TaskContext.get().partitionId(), 0, [], [], 0
         for b in batches:
-            for page, url, html in zip(*(b.column(i).to_pylist() for i in range(3))):
-                r = record(page, url, html, date)
+            for page, url, html, day in zip(*(b.column(i).to_pylist() for i in range(4))):
+                r = record(page, url, html, day or date)
                 ids.append(page)
                 records.append(r)
                 size += len(r)
@@ -136,28 +149,30 @@ def _write(shard_bytes: int, level: int, dictionary_bytes: int, date: str):
     return run
 
 
-def archive(pages: DataFrame, shard_bytes: int = SHARD_BYTES, level: int = LEVEL, dictionary_bytes: int = DICTIONARY_BYTES, date: str = DATE) -> DataFrame:
-    """The frames of all shards."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+def archive(pages: DataFrame, shard_bytes: int = SHARD_BYTES, level: int = LEVEL, dictionary_bytes: int = DICTIONARY_BYTES, date: str = DATE, date_column: str | None = None) -> DataFrame:
+    """The frames of all shards. date_column: a timestamp of each page's capture."""
+    day = F.date_format(F.col(date_column), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date_column else F.lit(None).cast("string")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), day.alias("day"))
     return rows.mapInArrow(_write(shard_bytes, level, dictionary_bytes, date), "shard string, record_no long, page_id long, offset long, raw_bytes long, frame binary")
 
 
 def write_files(frames: DataFrame, folder: str) -> DataFrame:
-    """Write each shard of an archive to folder/shard.warc.zst, a folder that all executors share;
-    returns shard, path, bytes. A file is written aside and renamed, so that a task that runs again
-    replaces it as a whole."""
+    """Write each shard of an archive to folder/shard.warc.zst; returns shard, path, bytes. folder is
+    a path that all executors share, or a URI of a file system that Arrow knows. A file is written
+    aside and renamed, so that a task that runs again replaces it as a whole."""
 
     def write(key, group):
-        import os
+        from pyarrow import fs
 
         order = sorted(zip(group["record_no"].to_pylist(), group["frame"].to_pylist()))
         name = key[0].as_py()
-        path = f"{folder}/{name}.warc.zst"
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        path = f"{root}/{name}.warc.zst"
         aside = f"{path}.{uuid.uuid4().hex}.part"
-        with open(aside, "wb") as f:
+        with store.open_output_stream(aside, compression=None) as f:
             for _, frame in order:
                 f.write(frame)
-        os.replace(aside, path)
+        store.move(aside, path)
         return pa.table({"shard": [name], "path": [path], "bytes": pa.array([sum(len(f) for _, f in order)], pa.int64())})
 
     return frames.select("shard", "record_no", "frame").groupBy("shard").applyInArrow(write, "shard string, path string, bytes long")
