@@ -12,6 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import released
 
 BLOCK = 1 << 16
 SCHEMA = "block int, cells binary, counts binary"
@@ -73,3 +76,17 @@ def key_bits(df: DataFrame, column: str, n_keys: int, most: int = 1 << 28) -> tu
 def has_bit(bits: np.ndarray, width: int, keys: np.ndarray) -> np.ndarray:
     at = keys.view(np.uint64) & np.uint64(width - 1)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def having(text: DataFrame, wanted: DataFrame, n_keys: int) -> DataFrame:
+    """The rows of text (doc_id, text) whose doc_id is in wanted (doc_id, about n_keys rows), and a few others:
+    all texts are looked at where they are, and only these need be shuffled."""
+    bits, width = key_bits(wanted.select(F.xxhash64("doc_id").alias("key")), "key", n_keys)
+    shared = text.sparkSession.sparkContext.broadcast(bits)
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = has_bit(shared.value, width, b.column("key").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["doc_id", "text"]).filter(pa.array(keep))
+
+    return text.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(released(needed), "doc_id long, text string")

@@ -14,11 +14,12 @@ those with the most words found are reported, of equal ones those with the highe
 
 Plan: one scan explodes the k-grams into the join, whose template side is broadcast after a check
 of its size (it depends on the templates alone); what remains is a few rows for the documents with
-votes, which alone are read again for verification.
+votes, which alone are shuffled for verification, after a second scan by a bitmap of their ids.
 
-Defined results: null, empty and word-less texts and documents with null doc_id have no licenses;
-rows that share a doc_id but not a text are told apart by the text's hash, repeated rows are each
-reported; of templates with equal claims to a span all are reported; other columns are ignored.
+Defined results: doc_id is a number; null, empty and word-less texts and documents with null doc_id have
+no licenses; rows that share a doc_id but not a text are told apart by the text's hash, repeated rows are
+each reported; of templates with equal claims to a span (ties) all are reported; texts of any length are
+read whole; an empty table gives no licenses; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dense
 from . import textvec as tv
 from .license_templates import TEMPLATES
+from .shared import materialize, released
 
 K = 3
 SLACK = 6
@@ -73,6 +76,14 @@ def _words(text: str) -> list[bytes]:
     return [] if t is None else [t.data[a:b].tobytes().lower() for a, b in zip(t.starts.tolist(), t.ends.tolist())]
 
 
+def read_templates(folder: str) -> list[tuple[str, str, str]]:
+    """Whole license texts of a folder, one file each, as templates named after their files, to be
+    added to TEMPLATES where bodies of the longest licenses are wanted too."""
+    import os
+
+    return [(f"{name}-file", name, open(os.path.join(folder, name), encoding="utf-8", errors="replace").read()) for name in sorted(os.listdir(folder)) if os.path.isfile(os.path.join(folder, name))]
+
+
 def template_rows(templates, k: int) -> list[tuple[int, int, int]]:
     """gram, template number, position."""
     out = []
@@ -213,7 +224,7 @@ def licenses(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     rows = template_rows(templates, k)
     places = spark.createDataFrame(rows, "gram long, template int, tpos int")
-    grams = text.mapInArrow(_scan(k), "doc_id long, text_key long, pos int, gram long")
+    grams = text.mapInArrow(released(_scan(k)), "doc_id long, text_key long, pos int, gram long")
     hits = grams.join(F.broadcast(places) if len(rows) <= BROADCAST_ROWS else places, "gram")
     by = ["doc_id", "text_key", "template"]
     votes = hits.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*by, "diagonal").agg(F.count_distinct("pos").alias("votes"), F.min("pos").alias("lo"), (F.max("pos") + k).alias("hi"))
@@ -234,7 +245,9 @@ def licenses(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
     joinable = of([n >= SHORT for n in sizes]) & (F.col("near") >= least)
     spans = merged.withColumn("part", part).withColumn("near", near).where((F.col("votes") >= least) | joinable)
     per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("text_key", "template", "lo", "hi", "tlo", "thi", "votes"))).alias("spans"))
-    return text.join(per_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(_verify(templates, k), "doc_id long, template string, license string, start long, end long, coverage double")
+    per_doc = materialize(per_doc, "license-spans")
+    own = dense.having(text, per_doc, per_doc.count())
+    return own.join(per_doc, "doc_id").select("doc_id", "text", "spans").mapInArrow(_verify(templates, k), "doc_id long, template string, license string, start long, end long, coverage double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

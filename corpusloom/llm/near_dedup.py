@@ -140,17 +140,8 @@ def _jaccard(threshold: float):
 
 def _verified(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
     """u, v of the pairs (a table) whose Jaccard similarity is at least threshold."""
-    spark = pairs.sparkSession
-    wanted = pairs.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("key"))
-    bits, width = dense.key_bits(wanted, "key", 2 * pairs.count())
-    shared = spark.sparkContext.broadcast(bits)
-
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = dense.has_bit(shared.value, width, b.column("key").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text")], names=["doc_id", "text"]).filter(pa.array(keep))
-
-    own = text.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(needed, "doc_id long, text string")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    own = dense.having(text, wanted, 2 * pairs.count())
     left, right = own.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), own.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_jaccard(threshold), "u long, v long")
 

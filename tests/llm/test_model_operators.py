@@ -1,8 +1,10 @@
 """SentencePiece, licenses, neighbours, chat, archives, toxicity and the pipeline."""
 
+import difflib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -97,23 +99,45 @@ def test_double_array():
 # Licenses
 
 
+def plain_words(text):
+    """Words with their character spans: ASCII letters and digits, and whatever isn't ASCII."""
+    return [(m.group().lower() if m.group().isascii() else "".join(c.lower() if c.isascii() else c for c in m.group()), m.span()) for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+", text)]
+
+
 def brute_licenses(docs, templates):
+    """Best span of each template in every window of its length, and of claims that overlap the best."""
     out = []
     for d, t in docs:
         if d is None or not t:
             continue
-        tokens = next(license_scan.tv.tokenize(pa.array([t]), license_scan.tv.WORD_TOKENS))
-        own = [(i, f) for i, (_, _, x) in enumerate(templates) if (f := _anywhere(tokens, license_scan._words(x)))]
-        out += [(d, templates[i][0], *f[:3]) for i, f in license_scan.foremost(own)]
+        own, claims = plain_words(t), []
+        words = [w for w, _ in own]
+        for name, _, text in templates:
+            want = [w for w, _ in plain_words(text)]
+            best = None
+            for a in range(max(1, len(words) - len(want) + 1)):
+                if len(want) < license_scan.SHORT:
+                    if words[a : a + len(want)] == want:
+                        claims.append((len(want), 1.0, own[a][1][0], own[a + len(want) - 1][1][1], name))
+                    continue
+                lo = max(0, a - license_scan.SLACK - 1)
+                blocks = [x for x in difflib.SequenceMatcher(None, want, words[lo : a + len(want) + license_scan.SLACK + 1], autojunk=False).get_matching_blocks() if x.size]
+                found = sum(x.size for x in blocks)
+                if found >= license_scan.COVERAGE * len(want):
+                    first, last = lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size - 1
+                    claim = (found, round(found / len(want), 4), own[first][1][0], own[last][1][1], name)
+                    if last - first + 1 <= 1.5 * len(want) + license_scan.SLACK and (best is None or claim[0] > best[0]):
+                        best = claim
+            claims += [best] if best else []
+        better = lambda x, y: (x[0], x[1]) > (y[0], y[1]) and x[2] < y[3] and y[2] < x[3]
+        kept = []
+        for c in sorted(set(claims), key=lambda c: (-c[0], -c[1])):
+            if not any(better(k, c) for k in kept):
+                kept.append(c)
+        out += [(d, name, a, z, share) for _, share, a, z, name in kept]
     return sorted(out)
 
 
-def _anywhere(tokens, words):
-    n = len(tokens.starts)
-    found = [license_scan.align(tokens, words, a, min(n, a + len(words))) for a in range(max(1, n - len(words) + 1))]
-    return max((f for f in found if f), key=lambda f: (f[3], -f[0]), default=None)
-
-
 def test_licenses(frame, corpus):
     mit = license_scan.TEMPLATES[0][2]
     words = mit.split()
@@ -132,6 +156,12 @@ def test_licenses(frame, corpus):
     assert {(d, t) for d, t, *_ in got} == {(600, "mit-text"), (601, "mit-text"), (603, "cc-by-nc-4-notice"), (603, "reserved"), (604, "apache-2-notice"), (604, "mit-notice")}
     assert docs[-4][1][got[3][2] : got[3][3]] in ("Licensed under CC BY-NC 4.0", "All rights\nreserved")
     assert license_scan.licenses(frame([])).count() == 0
+    # The same template twice in one document, within a long text, and templates with equal claims.
+    filler = " ".join(f"w{i % 977}" for i in range(20000))
+    twice = [(1, f"{mit} {filler} {mit}"), (2, "Licensed under CC BY 4.0. Licensed under CC BY 4.0.")]
+    templates = [*license_scan.TEMPLATES, ("mit-again", "MIT", mit)]
+    got = [tuple(r)[:2] for r in license_scan.licenses(frame(twice), templates).select("doc_id", "template").collect()]
+    assert got.count((1, "mit-text")) == got.count((1, "mit-again")) == 2 and sum(d == 2 for d, _ in got) == 2
     with pytest.raises(ValueError):
         license_scan.licenses(frame([]), [("short", "x", "two words")])
 
@@ -313,25 +343,62 @@ def test_turns_as_a_log(spark):
 # Archives
 
 
+def plain_records(raw):
+    """Type, headers and block of the records of an uncompressed archive, by their Content-Length."""
+    out = []
+    while raw:
+        head, raw = raw.split(b"\r\n\r\n", 1)
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = {k: v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        n = int(fields["Content-Length"])
+        assert raw[n : n + 4] == b"\r\n\r\n"
+        out.append((fields["WARC-Type"], fields, raw[:n]))
+        raw = raw[n + 4 :]
+    return out
+
+
 def test_archive(spark, tmp_path):
+    import hashlib
+
+    import zstandard
+
     pages = [(i, f"http://h/{i % 7}", f"<html><body>page {i} " + "shared words " * 30 + "</body></html>") for i in range(300)]
     pages += [(300, None, None), (301, "http://x\ny", ""), (None, "u", "no id"), (5, "http://h/5", pages[5][2]), (302, "big", "z" * 100_000)]
     df = spark.createDataFrame([(*p, "extra") for p in pages], "page_id long, url string, html string, frame string").repartition(2)
     frames = warc.archive(df, shard_bytes=40_000)
-    back = []
+    back, read = [], []
     for r in warc.write_files(frames, str(tmp_path)).collect():
         data = open(r["path"], "rb").read()
         assert len(data) == r["bytes"]
-        back += [(int(h["X-Page-ID"]) if "X-Page-ID" in h else None, h.get("WARC-Target-URI"), html) for h, html in warc.read_shard(data)]
-    assert sorted(back, key=repr) == sorted(((i, u and u.replace("\n", "%0A"), h or "") for i, u, h in pages), key=repr)
+        magic, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+        assert magic == 0x184D2A5D and size > 0
+        plain = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(data[8 : 8 + size])).stream_reader(data, read_across_frames=True).read()
+        kind, fields, block = plain_records(plain)[0]
+        assert kind == "warcinfo" and fields["WARC-Filename"] == r["path"].rpartition("/")[2] and b"format:" in block
+        for kind, fields, block in plain_records(plain)[1:]:
+            assert kind == "resource" and fields["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+            back.append((int(fields["X-Page-ID"]) if "X-Page-ID" in fields else None, fields.get("WARC-Target-URI"), block.decode()))
+        read += [(int(h["X-Page-ID"]) if "X-Page-ID" in h else None, h.get("WARC-Target-URI"), html) for h, html in warc.read_shard(data)]
+    want = sorted(((i, u and u.replace("\n", "%0A"), h or "") for i, u, h in pages), key=repr)
+    assert sorted(back, key=repr) == want and sorted(read, key=repr) == want
     got = frames.collect()
-    assert len({r["shard"] for r in got}) > 3 and sum(r["page_id"] is None for r in got if r["record_no"]) == 1
+    assert len({r["shard"] for r in got}) > 3 and sum(r["page_id"] is None for r in got if r["record_no"] > 1) == 1
     for shard in {r["shard"] for r in got}:
         own = sorted((r["record_no"], r["offset"], len(r["frame"])) for r in got if r["shard"] == shard)
         assert [n for n, _, _ in own] == list(range(len(own))) and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
     assert warc.archive(df.limit(0)).count() == 0
-    small = warc.shard_frames([warc.record(1, "u", "x")])
-    assert list(warc.read_records(b"".join(small))) == [warc.record(1, "u", "x")]
+    dated = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, timestamp'2024-05-06 07:08:09' AS seen UNION ALL SELECT 2L, 'u', 'x', NULL")
+    data = b"".join(r["frame"] for r in sorted(warc.archive(dated.coalesce(1), date_column="seen").collect(), key=lambda r: r["record_no"]))
+    assert [h["WARC-Date"] for h, _ in warc.read_shard(data)] == ["2024-05-06T07:08:09Z", warc.DATE]
+
+
+def test_a_dictionary_even_of_few_records():
+    small = [warc.record(1, "u", "x")]
+    frames = warc.shard_frames(small)
+    assert len(frames[0]) > 8 and frames[0][8:] in small[0] and list(warc.read_records(b"".join(frames))) == small
+    bare = warc.shard_frames(small, dictionary_bytes=0)
+    assert len(bare[0]) == 8 and list(warc.read_records(b"".join(bare))) == small
 
 
 def test_dictionary_pays():
