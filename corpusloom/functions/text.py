@@ -163,13 +163,17 @@ def _stem_plain(w: str) -> str:
     return w
 
 
-def merge_verdict(a: Column, b: Column) -> Column:
+def token_verdict(x: Column, y: Column) -> Column:
     """'block' if the salient tokens differ, 'abstain' if neither text has any, else 'allow'."""
-    x, y = salient_tokens(a), salient_tokens(b)
-    differ = F.size(F.array_union(F.array_except(x, y), F.array_except(y, x)))
+    differ = F.size(F.array_except(x, y)) + F.size(F.array_except(y, x))
     return F.when(differ > 0, "block").when(F.size(x) == 0, "abstain").otherwise("allow")
 
 
+def merge_verdict(a: Column, b: Column) -> Column:
+    """token_verdict of two texts."""
+    return token_verdict(salient_tokens(a), salient_tokens(b))
+
+
 def authority(reviewed: Column) -> Column:
     """Trust in a source by the date of its last review; half without one."""
     when = F.year(reviewed) + F.month(reviewed) / F.lit(12.0) - 2020

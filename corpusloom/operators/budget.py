@@ -34,7 +34,8 @@ def unit_order(routed: DataFrame, within: list[str], *order: str) -> DataFrame:
 def fill(units: DataFrame, group: str, order: list, primary: int, secondary: int, overflow: str = "linkToSecondary") -> DataFrame:
     """place of each unit: units in order of falling value go to the primary budget if its section
     has room and they fit, else to the secondary if they fit, else nowhere; later, smaller ones may still
-    fit. Columns read: group (string), section (string), max_units (int), tokens (long).
+    fit. Columns read: group (string), section (string), max_units (int), tokens (long). A unit whose
+    tokens are null (it has no text) takes none.
 
     The fold runs over each group's sorted rows as they stream by: its state is a few numbers, so
     that a group may be larger than memory."""
@@ -47,6 +48,7 @@ def fill(units: DataFrame, group: str, order: list, primary: int, secondary: int
         for b in batches:
             places = []
             for g, section, most, tokens in zip(*(b.column(c).to_pylist() for c in (group, "section", "max_units", "tokens"))):
+                tokens = tokens or 0
                 if g != now:
                     now, used, spare, count = g, 0, 0, {}
                 if section is None:

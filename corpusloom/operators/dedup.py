@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PAIR_CAP = 24
 BLOCK = 4096
@@ -39,24 +40,40 @@ def restatement_counts(units: DataFrame, key: list[str], order: list[str]) -> Da
     return units.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_units"), F.max("authority").alias("authority"), F.count_distinct("doc_id").alias("n_sources"))
 
 
-def _blocks(vectors: DataFrame, category: str, across: bool) -> DataFrame:
-    """Pairs of blocks of at most about BLOCK vectors, by category, or of different categories."""
-    n = max(1, -(-vectors.count() // BLOCK))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    group = F.lit(0) if across else F.col(category)
-    side = vectors.select("vec_id", F.col(category).alias("category"), "embedding", group.alias("group"), own.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = side.select("*", other.alias("with_")).select("*", F.least("block", "with_").alias("p"), F.greatest("block", "with_").alias("q"))
-    return left.select("group", "p", "q", "vec_id", "category", "embedding", (F.col("block") == F.col("p")).alias("in_p"), (F.col("block") == F.col("q")).alias("in_q"))
+def sound_vectors(vectors: DataFrame, category: str) -> DataFrame:
+    """vec_id, category, embedding (doubles) of the rows that can be compared: with an id and a category,
+    no null, NaN or infinite element, and as many elements as most have (of equally common lengths
+    the greatest)."""
+    own = vectors.select("vec_id", F.col(category).alias("category"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and category is not null and size(embedding) > 0")
+    own = own.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    common = own.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).select("d")
+    return own.join(F.broadcast(common), F.size("embedding") == F.col("d")).drop("d")
+
+
+def _blocks(own: DataFrame, across: bool) -> DataFrame:
+    """Pairs of blocks of at most about BLOCK vectors: of each category, by its own size, or of all."""
+    if across:
+        sized = own.withColumn("side", F.lit(max(1, -(-own.count() // BLOCK)))).withColumn("group", F.lit(0))
+    else:
+        sizes = own.groupBy("category").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("side"))
+        sized = own.join(sizes, "category").withColumn("group", F.col("category"))
+    placed = sized.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("side")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("with_")).select("*", F.least("block", "with_").alias("p"), F.greatest("block", "with_").alias("q"))
+    return cells.select("group", "p", "q", "vec_id", "category", "embedding", (F.col("block") == F.col("p")).alias("in_p"), (F.col("block") == F.col("q")).alias("in_q"))
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, category: str = "label", across: bool = False) -> DataFrame:
     """category_a, category_b, a, b, similarity: pairs (a < b) with cosine of at least threshold, within
-    a category or, across, of two. Exact: matrix products over a grid of blocks."""
+    a category or, across, of two. Exact: matrix products over a grid of blocks, quadratic in a category's
+    size, or in the table's. Rows that sound_vectors leaves out are in no pair; ids and categories may
+    be numbers or texts."""
+    own = sound_vectors(vectors, category)
+    id_type, kind = own.schema["vec_id"].dataType, own.schema["category"].dataType
+    schema = StructType([StructField("category_a", kind), StructField("category_b", kind), StructField("a", id_type), StructField("b", id_type), StructField("similarity", DoubleType())])
 
     def run(group: pa.Table) -> pa.Table:
-        ids, cat = group["vec_id"].to_numpy(), np.array(group["category"].to_pylist())
-        x = np.array(group["embedding"].to_pylist(), dtype=np.float64)
+        ids, cat = np.array(group["vec_id"].to_pylist()), np.array(group["category"].to_pylist())
+        x = group["embedding"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
         p, q = np.flatnonzero(group["in_p"].to_numpy(zero_copy_only=False)), np.flatnonzero(group["in_q"].to_numpy(zero_copy_only=False))
@@ -73,10 +90,16 @@ def similar_pairs(vectors: DataFrame, threshold: float, category: str = "label",
         f = np.concatenate(out) if out else np.rec.fromarrays([np.empty(0, int), np.empty(0, int), np.empty(0)], names="a,b,s")
         if len(f):
             f = f[np.unique(np.stack([f["a"], f["b"]], axis=1), axis=0, return_index=True)[1]]
-        return pa.table({"category_a": pa.array(cat[f["a"]].tolist(), pa.int64()), "category_b": pa.array(cat[f["b"]].tolist(), pa.int64()), "a": ids[f["a"]], "b": ids[f["b"]], "similarity": f["s"]})
+        rows = pa.array(f["a"]), pa.array(f["b"])
+        columns = [group["category"].take(rows[0]), group["category"].take(rows[1]), group["vec_id"].take(rows[0]), group["vec_id"].take(rows[1]), pa.array(f["s"])]
+        return pa.table(dict(zip(schema.names, columns)))
+
+    return _blocks(own, across).groupBy("group", "p", "q").applyInArrow(run, schema)
+
 
-    run.__annotations__ = {}
-    return _blocks(vectors, category, across).groupBy("group", "p", "q").applyInArrow(run, "category_a long, category_b long, a long, b long, similarity double").where("a is not null")
+def top_across(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """The most similar pairs of different categories, for a reader to look at."""
+    return pairs.orderBy(F.desc("similarity"), "a", "b").limit(most)
 
 
 def capped_pairs(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
@@ -89,7 +112,8 @@ def absorb(pairs: DataFrame) -> DataFrame:
     """Greedy walk over each category's capped pairs, best first: a pair with an absorbed member is
     passed over, else its second member is absorbed by its first."""
     pair = F.struct("rank", "a", "b")
-    start = F.array().cast("array<struct<kept:bigint,absorbed:bigint>>")
+    kind = pairs.schema["a"].dataType.simpleString()
+    start = F.array().cast(f"array<struct<kept:{kind},absorbed:{kind}>>")
 
     def step(s, e):
         free = ~F.exists(s, lambda x: (x["absorbed"] == e["a"]) | (x["absorbed"] == e["b"]))

@@ -6,23 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.grams import gram_rows
 
 SMALL_SIDE = 2_000_000
+SMALL_BYTES = 64 << 20
 
 
-def checked_broadcast(df: DataFrame, most: int = SMALL_SIDE) -> DataFrame:
-    """df marked for broadcast if it has few enough rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def checked_broadcast(df: DataFrame, most: int = SMALL_SIDE, most_bytes: int = SMALL_BYTES) -> DataFrame:
+    """df marked for broadcast if it has few enough rows, and few enough bytes in its strings and
+    arrays of strings, else as it is. Counting reads at most ``most`` rows."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            width = width + F.coalesce(F.octet_length(F.array_join(name, " ")), F.lit(0))
+    rows, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and size <= most_bytes else df
 
 
 def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 6, stop: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, item_id, n_shared: distinct word n-grams that a document and an item have in common."""
-    words = lambda df, key: df.select(key, T.content_words(F.col("text"), stop).alias("ws"))
-    grams = lambda df, key: words(df, key).select(key, F.explode(F.array_distinct(T.ngrams(F.col("ws"), n))).alias("gram"))
-    hits = grams(docs, "doc_id").join(checked_broadcast(grams(items, "item_id")), "gram")
+    """doc_id, item_id, n_shared: distinct word n-grams that a document and an item have in common. The
+    items' grams, if there are at most SMALL_SIDE, go to every task as one sorted array of hashes, so
+    that of the documents only grams in it leave the scan; else both sides are shuffled."""
+    import numpy as np
+
+    of_items = gram_rows(items, "item_id", "text", n, stop)
+    known = [r["gram"] for r in of_items.select("gram").distinct().limit(SMALL_SIDE + 1).collect()]
+    wanted = None
+    if len(known) <= SMALL_SIDE:
+        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(known, dtype=np.int64).view(np.uint64)))
+        wanted = lambda: shared.value
+    hits = gram_rows(docs, "doc_id", "text", n, stop, wanted).join(of_items, "gram")
     return hits.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
 
 
+def signature(text: Column, stop: tuple[str, ...] = ()) -> Column:
+    """The distinct content words of a text, sorted."""
+    return F.array_sort(F.array_distinct(T.content_words(text, stop)))
+
+
+def signature_subsets(docs: DataFrame, items: DataFrame, stop: tuple[str, ...] = (), least: int = 4, n: int = 1) -> DataFrame:
+    """doc_id, item_id of the items of at least ``least`` content words all of which stand in the
+    document, in whatever order: the last and loosest test of a contamination gate."""
+    own = items.select("item_id", "text", signature(F.col("text"), stop).alias("sig")).where(F.size("sig") >= least)
+    counts = shared_ngrams(docs, own.select("item_id", F.array_join("sig", " ").alias("text")), n, stop)
+    return counts.join(own.select("item_id", F.size("sig").alias("size")), "item_id").where("n_shared = size").select("doc_id", "item_id")
+
+
 def contamination(docs: DataFrame, items: DataFrame, n: int = 6) -> DataFrame:
     """shared_ngrams, and whether the item stands in the document word for word."""
     pairs = shared_ngrams(docs, items, n)
@@ -75,13 +106,9 @@ def similar_in_block(rows: DataFrame, block: str, words: str, threshold: float,
     return cells.groupBy("block", "p", "q").applyInArrow(run, "a long, b long, jaccard double")
 
 
-def bag_overlap(expected: DataFrame, actual: DataFrame, pair: list[str], key: str) -> DataFrame:
-    """Precision, recall and F1 of two bags per pair: matches count as often as both sides have
-    them; two empty bags agree."""
-    e = expected.groupBy(*pair, key).agg(F.count("*").alias("e"))
-    a = actual.groupBy(*pair, key).agg(F.count("*").alias("a"))
-    both = e.join(a, [*pair, key], "full_outer").na.fill(0, ["e", "a"])
-    sums = both.groupBy(*pair).agg(F.sum(F.least("e", "a")).alias("matched"), F.sum("e").alias("expected"), F.sum("a").alias("actual"))
+def _overlap_scores(counts: DataFrame, pair: list[str]) -> DataFrame:
+    """Precision, recall and F1 from the counts e and a of each key of a pair."""
+    sums = counts.groupBy(*pair).agg(F.sum(F.least("e", "a")).alias("matched"), F.sum("e").alias("expected"), F.sum("a").alias("actual"))
     m = F.col("matched").cast("double")
     f1 = lambda p, r: F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
     share = lambda total, other: F.when(F.col(total) > 0, m / F.col(total)).otherwise(F.when(F.col(other) == 0, 1.0).otherwise(0.0))
@@ -89,6 +116,21 @@ def bag_overlap(expected: DataFrame, actual: DataFrame, pair: list[str], key: st
     return out.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
+def bag_overlap(expected: DataFrame, actual: DataFrame, pair: list[str], key: str) -> DataFrame:
+    """Precision, recall and F1 of two bags per pair: matches count as often as both sides have
+    them; two empty bags agree."""
+    side = lambda df, e, a: df.select(*pair, key, F.lit(e).cast("long").alias("e"), F.lit(a).cast("long").alias("a"))
+    both = side(expected, 1, 0).unionByName(side(actual, 0, 1))
+    return _overlap_scores(both.groupBy(*pair, key).agg(F.sum("e").alias("e"), F.sum("a").alias("a")), pair)
+
+
+def list_overlap(rows: DataFrame, pair: list[str], expected: str, actual: str) -> DataFrame:
+    """bag_overlap of two columns of arrays: each pair's row is read once."""
+    tagged = lambda c, e: F.transform(c, lambda w: F.struct(w.alias("w"), F.lit(e).cast("long").alias("e"), F.lit(1 - e).cast("long").alias("a")))
+    words = rows.select(*pair, F.explode(F.concat(tagged(expected, 1), tagged(actual, 0))).alias("x")).select(*pair, "x.*")
+    return _overlap_scores(words.groupBy(*pair, "w").agg(F.sum("e").alias("e"), F.sum("a").alias("a")), pair)
+
+
 def furniture(pages: DataFrame, book: str, page: str, line: str, ratio: float = 0.5, least: int = 3) -> DataFrame:
     """Running lines: shapes (digits masked) found on at least ratio of a book's pages, and on
     least pages; with their support."""
@@ -116,13 +158,13 @@ def reader_diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def style_chains(styles: DataFrame, most: int = 32) -> DataFrame:
     """style_id, depth, ancestor of every style (style_id, based_on), the style itself at depth 0; a chain
     that comes back to itself, or is longer than most, is broken and left out."""
-    edges = styles.select(F.col("style_id").alias("from_id"), "based_on").where("based_on is not null").persist()
+    edges = styles.select(F.col("style_id").alias("from_id"), "based_on").where("based_on is not null")
     level = styles.select("style_id", F.lit(0).alias("depth"), F.col("style_id").alias("ancestor"))
     found, depth = level, 0
     broken = styles.select("style_id").limit(0)
     while depth <= most:
         depth += 1
-        level = level.join(edges, level["ancestor"] == edges["from_id"]).select("style_id", F.lit(depth).alias("depth"), F.col("based_on").alias("ancestor")).persist()
+        level = level.join(edges, level["ancestor"] == edges["from_id"]).select("style_id", F.lit(depth).alias("depth"), F.col("based_on").alias("ancestor"))
         back = level.where("ancestor = style_id")
         if level.isEmpty():
             return found.join(broken, "style_id", "left_anti")

@@ -268,8 +268,9 @@ def incremental_manifest(spark, d):
 def bag_scores(spark, d):
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     pairs = gates.shared_ngrams(docs, items).select("doc_id", "item_id")
-    words = lambda df, key: pairs.join(df.select(key, "text"), key).select("doc_id", "item_id", F.explode(T.words(F.col("text"))).alias("w"))
-    out = gates.bag_overlap(words(items, "item_id"), words(docs, "doc_id"), ["doc_id", "item_id"], "w")
+    bags = lambda df, key, name: df.select(key, T.words(F.col("text")).alias(name))
+    rows = pairs.join(bags(items, "item_id", "expected"), "item_id").join(bags(docs, "doc_id", "actual"), "doc_id")
+    out = gates.list_overlap(rows, ["doc_id", "item_id"], "expected", "actual")
     return out.select("doc_id", "item_id", "matched", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables, with results worked out by hand."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,48 @@ def test_similar_pairs(spark):
         dedup.BLOCK = old
 
 
+def test_similar_pairs_of_odd_vectors_and_text_categories(spark):
+    rows = [("a", [1.0, 0.0], "x"), ("b", [0.9, 0.1], "x"), ("c", None, "x"), ("d", [1.0], "x"), ("e", [None, 1.0], "x"), ("f", [1.0, 0.0], None), (None, [1.0, 0.0], "x"), ("g", [1.0, 0.0], "y"), ("h", [float("nan"), 0.0], "x"), ("i", [], "y")]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label string")
+    assert [r[:4] for r in got(dedup.similar_pairs(df, 0.9))] == [("x", "x", "a", "b")]
+    across = dedup.similar_pairs(df, 0.9, across=True)
+    assert [r[:4] for r in got(across)] == [("x", "y", "a", "g"), ("x", "y", "b", "g")] and got(dedup.top_across(across, 1), "a", "b") == [("a", "g")]
+    assert dedup.similar_pairs(df.limit(0), 0.9).count() == 0 and dedup.similar_pairs(df.limit(0), 0.9, across=True).count() == 0
+    assert got(dedup.absorb(dedup.capped_pairs(dedup.similar_pairs(df, 0.9)))) == [("x", "a", "b")]
+
+
+def test_units_without_tokens_cost_nothing(spark):
+    df = spark.createDataFrame([("g", "s", None, None, 2.0), ("g", "s", None, 5, 1.0)], "g string, section string, max_units int, tokens long, value double")
+    assert got(budget.fill(df, "g", [F.desc("value")], 5, 0), "tokens", "place") == [(5, "primary"), (None, "primary")]
+
+
+def plain_grams(text, n, stop=()):
+    w = [x for x in re.findall("[a-z0-9]+", text.lower()) if x not in stop]
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+@pytest.mark.parametrize("small_side", [2_000_000, 0])
+def test_shared_ngrams_against_sets(spark, monkeypatch, small_side):
+    monkeypatch.setattr(gates, "SMALL_SIDE", small_side)
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["the", "Cat", "sat", "é1", "on-a", "MAT.", "x9"]) for _ in range(n))
+    docs = [(i, text(r.randint(0, 60))) for i in range(30)] + [(90, None), (91, ""), (92, "cat " * 5000)]
+    items = [(i, text(r.randint(3, 12))) for i in range(12)] + [(50, None), (51, "cat cat cat cat")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    for n, stop in ((3, ()), (2, ("the", "on"))):
+        want = sorted((a, b, len(g)) for a, x in docs for b, y in items if x and y and (g := plain_grams(x, n, stop) & plain_grams(y, n, stop)))
+        assert want and got(gates.shared_ngrams(d, i, n, stop)) == sorted(want, key=repr)
+    sets = lambda t: set(re.findall("[a-z0-9]+", t.lower())) - {"the"}
+    want = [(a, b) for a, x in docs for b, y in items if x and y and len(sets(y)) >= 4 and sets(y) <= sets(x)]
+    assert want and got(gates.signature_subsets(d, i, ("the",))) == sorted(want, key=repr)
+
+
+def test_list_overlap(spark):
+    rows = [(1, ["a", "a", "b"], ["a", "b", "b", "c"]), (2, ["x"], ["y"]), (3, [], ["y"])]
+    out = gates.list_overlap(spark.createDataFrame(rows, "id int, e array<string>, a array<string>"), ["id"], "e", "a")
+    assert [(r[0], *r[1:]) for r in got(out, "id", "matched", "precision", "recall")] == [(1, 2, 0.5, 2 / 3), (2, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
+
+
 def test_conflict_triage(spark):
     rows = [("u1", "port", "80", "a.md"), ("u2", "port", "90", "b.md"), ("u3", "host", "x", "a.md"), ("u4", "host", "y", "a.md"), ("u5", "user", "me", "a.md"), ("u6", "user", "me", "b.md"), ("u7", "key", None, "a.md")]
     df = spark.createDataFrame(rows, "unit_id string, entity string, value string, path string")
