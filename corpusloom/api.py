@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import fidelity, tree
+from .operators import fidelity, profiles, tree
 from .sinks import docx, html as html_sink, json as json_sink, markdown as md_sink, typst
 from .sources import html, markdown, scan
 
@@ -65,3 +65,8 @@ def check(docs: DataFrame, source: str, through: str, baseline: DataFrame, toler
     first = read(docs, source)
     again = READERS[through](WRITERS[through](first), "doc_id", "rendered")
     return fidelity.compare_to_baseline(compare(first, again), baseline, ["doc_id"], METRICS, tolerance)
+
+
+def init(folder: str, name: str = "base") -> str:
+    """Lay a first profile in a folder; its path."""
+    return profiles.init(folder, name)

@@ -74,9 +74,10 @@ def classify(docs: DataFrame, signals: tuple[Signal, ...] = SIGNALS, keep: tuple
 
 
 def apply_opinion(classified: DataFrame, opinions: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """A given opinion (doc_id, opinion) replaces the role if the rules gave it a share and it is
-    no further than margin behind the first."""
-    joined = classified.join(opinions, "doc_id", "left")
+    """A given opinion (doc_id, opinion; the least of several) replaces the role if the rules gave it a
+    share and it is less than margin behind the first. decided_by: 'model' where it did, else 'rule'."""
+    one = opinions.groupBy("doc_id").agg(F.min("opinion").alias("opinion"))
+    joined = classified.join(one, "doc_id", "left")
     share = F.get(F.filter("distribution", lambda x: x["role"] == F.col("opinion")), F.lit(0))["share"]
-    near = share.isNotNull() & (F.element_at("distribution", 1)["share"] - share < margin)
-    return joined.withColumn("role", F.when(near, F.col("opinion")).otherwise(F.col("role"))).drop("opinion")
+    near = F.coalesce((F.element_at("distribution", 1)["share"] - share < margin) & (share > 0) & (F.col("opinion") != F.col("role")), F.lit(False))
+    return joined.withColumn("decided_by", F.when(near, "model").otherwise("rule")).withColumn("role", F.when(near, F.col("opinion")).otherwise(F.col("role"))).drop("opinion")

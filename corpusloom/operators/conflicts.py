@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,14 @@ def conflicts_with(units: DataFrame, entity: list[str], value: str, path: str) -
     return members.join(ids, entity).select("unit_id", F.array_remove("ids", F.col("unit_id")).alias("conflicts_with"))
 
 
+def sides(units: DataFrame, entity: list[str], value: str, path: str) -> DataFrame:
+    """Every side of every conflict: entity, unit_id, value, path, authority and its place, by falling
+    authority, then path. Both sides are shown and none is chosen."""
+    found = entity_groups(units, entity, value, path).where("verdict = 'conflict'").select(*entity)
+    members = units.where(F.col(value).isNotNull()).join(found, entity).groupBy(*entity, "unit_id", F.col(value).alias("value")).agg(F.min(path).alias("path"), F.max("authority").alias("authority"))
+    return members.withColumn("place", F.row_number().over(Window.partitionBy(*entity).orderBy(F.desc("authority"), "path", "unit_id")))
+
+
 def report(groups: DataFrame) -> DataFrame:
     """A line of text for each conflict."""
     rows = groups.where("verdict = 'conflict'")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ..functions import text as T
+
 PAIR_CAP = 24
 BLOCK = 4096
 
@@ -110,23 +112,65 @@ def capped_pairs(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
 
 def absorb(pairs: DataFrame) -> DataFrame:
     """Greedy walk over each category's capped pairs, best first: a pair with an absorbed member is
-    passed over, else its second member is absorbed by its first."""
+    passed over, else its second member is absorbed by its first. root: by whom it is held in the end,
+    where its own keeper was absorbed later."""
     pair = F.struct("rank", "a", "b")
     kind = pairs.schema["a"].dataType.simpleString()
-    start = F.array().cast(f"array<struct<kept:{kind},absorbed:{kind}>>")
+    start = F.array().cast(f"array<struct<kept:{kind},absorbed:{kind},root:{kind}>>")
 
     def step(s, e):
         free = ~F.exists(s, lambda x: (x["absorbed"] == e["a"]) | (x["absorbed"] == e["b"]))
-        return F.when(free, F.concat(s, F.array(F.struct(e["a"].alias("kept"), e["b"].alias("absorbed"))))).otherwise(s)
+        moved = F.transform(s, lambda x: F.struct(x["kept"].alias("kept"), x["absorbed"].alias("absorbed"), F.when(x["root"] == e["b"], e["a"]).otherwise(x["root"]).alias("root")))
+        return F.when(free, F.concat(moved, F.array(F.struct(e["a"].alias("kept"), e["b"].alias("absorbed"), e["a"].alias("root"))))).otherwise(s)
 
     walked = pairs.groupBy("category_a").agg(F.array_sort(F.collect_list(pair)).alias("pairs"))
-    return walked.select(F.col("category_a").alias("category"), F.explode(F.aggregate("pairs", start, step)).alias("m")).select("category", "m.kept", "m.absorbed")
+    return walked.select(F.col("category_a").alias("category"), F.explode(F.aggregate("pairs", start, step)).alias("m")).select("category", "m.kept", "m.absorbed", "m.root")
+
+
+def shortlist(units: DataFrame, embeddings: DataFrame, threshold: float, cap: int = PAIR_CAP) -> DataFrame:
+    """category, rank, a, b, similarity: of each category the most similar pairs of units (unit_id, category,
+    entity_key, text, first: what orders them), by the vectors in embeddings (unit_id, embedding); a comes
+    first in order. Units that name different entities are about different things, whatever their vectors."""
+    own = units.select(F.col("unit_id").alias("vec_id"), "category").join(embeddings.select(F.col("unit_id").alias("vec_id"), "embedding"), "vec_id")
+    pairs = similar_pairs(own, threshold, "category")
+    side = lambda x: units.select(F.col("unit_id").alias(x), F.col("entity_key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}"), F.col("first").alias(f"first_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("key_a is null or key_b is null or key_a = key_b")
+    swap = F.col("first_b") < F.col("first_a")
+    turned = both.select("category_a", "category_b", "similarity", *(F.when(swap, F.col(f"{c}_{y}" if c else y)).otherwise(F.col(f"{c}_{x}" if c else x)).alias(f"{c}_{x}" if c else x) for c in ("", "text") for x, y in (("a", "b"), ("b", "a"))))
+    return capped_pairs(turned, cap)
+
+
+def decide(pairs: DataFrame, answers: DataFrame) -> DataFrame:
+    """pairs with state: 'merge' where an adjudicator's answer (a, b, same_fact, surviving_text; in either order
+    of a and b) says so and the texts agree in what is salient, 'vetoed' where they don't, else
+    'apart'. Where the surviving text is b's, a and b change places: the first keeps."""
+    either = answers.select("a", "b", "same_fact", "surviving_text").unionByName(answers.select(F.col("b").alias("a"), F.col("a").alias("b"), "same_fact", "surviving_text"))
+    one = either.groupBy("a", "b").agg(F.max(F.struct("same_fact", "surviving_text")).alias("said"))
+    joined = pairs.join(one, ["a", "b"], "left")
+    yes = F.coalesce(F.col("said.same_fact"), F.lit(False))
+    state = F.when(~yes, "apart").when(T.merge_verdict(F.col("text_a"), F.col("text_b")) == "block", "vetoed").otherwise("merge")
+    swap = F.coalesce(F.col("said.surviving_text") == F.col("text_b"), F.lit(False))
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
+    return joined.withColumn("state", state).select("category_a", "category_b", "similarity", "rank", "state", pick("a", "b"), pick("b", "a"), pick("text_a", "text_b"), pick("text_b", "text_a"))
 
 
 def resolve_merges(units: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Units after adjudication: of every confirmed pair one row stays, with the text that the
-    adjudicator chose. decisions: kept, absorbed, surviving_text."""
-    chosen = decisions.groupBy("kept").agg(F.max_by("surviving_text", F.struct("absorbed")).alias("chosen"))
-    gone = decisions.select(F.col("absorbed").alias("unit_id"))
-    rest = units.join(gone, "unit_id", "left_anti").join(chosen, units["unit_id"] == chosen["kept"], "left")
-    return rest.withColumn("text", F.coalesce("chosen", "text")).drop("kept", "chosen")
+    """Units after adjudication: of those merged one row stays. decisions: root (or kept), absorbed and,
+    if the adjudicator wrote a text of its own, surviving_text. Where units have them, sources are put
+    together and authority and confidence are the greatest; what is absorbed keeps no row."""
+    keeper = "root" if "root" in decisions.columns else "kept"
+    said = F.col("surviving_text") if "surviving_text" in decisions.columns else F.lit(None).cast("string")
+    own = decisions.select(F.col(keeper).alias("root"), "absorbed", said.alias("said"))
+    chosen = own.groupBy("root").agg(F.max_by("said", F.struct("absorbed")).alias("chosen"))
+    rest = units.join(own.select(F.col("absorbed").alias("unit_id")), "unit_id", "left_anti").join(chosen, F.col("unit_id") == F.col("root"), "left").withColumn("text", F.coalesce("chosen", "text")).drop("root", "chosen")
+    extra = [c for c in ("sources", "authority", "confidence") if c in units.columns]
+    if not extra:
+        return rest
+    gone = own.join(units.select(F.col("unit_id").alias("absorbed"), *extra), "absorbed")
+    sums = {"sources": lambda c: F.flatten(F.collect_list(c)), "authority": F.max, "confidence": F.max}
+    taken = gone.groupBy(F.col("root").alias("unit_id")).agg(*(sums[c](c).alias(f"{c}_too") for c in extra))
+    joined = rest.join(taken, "unit_id", "left")
+    for c in extra:
+        both = F.array_sort(F.array_distinct(F.concat("sources", F.coalesce("sources_too", F.array().cast(units.schema["sources"].dataType))))) if c == "sources" else F.greatest(c, f"{c}_too")
+        joined = joined.withColumn(c, both)
+    return joined.select(units.columns)

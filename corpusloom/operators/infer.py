@@ -89,3 +89,10 @@ def bind_captions(blocks: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("ord")
     near = lambda f: F.when(f("type").over(w).isin("table", "image", "figure"), f("node_id").over(w))
     return blocks.withColumn("target", F.coalesce(near(F.lag), near(F.lead))).where("role = 'caption'")
+
+
+def explain(decisions: DataFrame) -> DataFrame:
+    """A line of text for each decision on a heading."""
+    what = F.concat(F.col("chosen"), F.when(F.col("level").isNotNull(), F.concat(F.lit(" "), F.col("level").cast("string"))).otherwise(""))
+    sure = F.when(F.col("ambiguous"), ", ambiguous").otherwise("")
+    return decisions.select("doc_id", "node_id", F.concat(F.col("node_id").cast("string"), F.lit(": "), what, F.lit(" (score "), F.format_number("score", 2), F.lit(", margin "), F.format_number("margin", 2), sure, F.lit(")")).alias("line"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .budget import SECTIONS
 
@@ -56,3 +57,24 @@ def load(folder: str) -> dict[str, dict]:
 def sections(spark: SparkSession, profile: dict) -> DataFrame:
     rows = [(s["section"], i, s["categories"], float(s.get("weight", 1.0)), s.get("max_units")) for i, s in enumerate(profile["sections"])]
     return spark.createDataFrame(rows, SECTIONS)
+
+
+def verification_age(date: Column, today: Column) -> Column:
+    """Days since a profile's facts were last checked; null without a date, which is neither fresh nor old."""
+    return F.datediff(today, F.try_to_date(date, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(date))
+
+
+def verification_ages(spark: SparkSession, profiles: dict[str, dict], today: str) -> DataFrame:
+    """id, checked, age_days of every profile."""
+    rows = spark.createDataFrame([(k, p.get("verified")) for k, p in sorted(profiles.items())], "id string, checked string")
+    return rows.withColumn("age_days", verification_age(F.col("checked"), F.lit(today).cast("date")))
+
+
+def init(folder: str, name: str = "base") -> str:
+    """Write a first profile to a folder that has none of that name; its path."""
+    path = Path(folder) / f"{name}.json"
+    if path.exists():
+        raise FileExistsError(f"{path} is there already")
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(json.dumps(BASE | {"id": name}, indent=2, sort_keys=True) + "\n")
+    return str(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -50,3 +50,41 @@ def overlaps(left: DataFrame, right: DataFrame, by: list[str], width: int) -> Da
 def traceability(checked: DataFrame) -> DataFrame:
     """supported, total, share; nothing emitted counts as fully traceable, and as covering nothing."""
     return checked.agg(F.coalesce(F.sum((F.col("status") == "contained").cast("long")), F.lit(0)).alias("supported"), F.count("*").alias("total")).withColumn("share", F.when(F.col("total") == 0, 1.0).otherwise(F.col("supported") / F.col("total")))
+
+
+MARKERS = ("- ", "  - ", "1. ", "> ", ", ")
+
+
+def scaffold_violations(fragments: DataFrame, profile: dict) -> DataFrame:
+    """fragment_id, file, scaffold, text of the scaffold pieces that are not what their kind allows: a heading must be
+    one that the profile declares, by enumeration, so that no sentence passes as one; markers, fences
+    and blanks have closed vocabularies; front matter may use the profile's keys alone."""
+    headings = [s.get("heading", "") for s in profile.get("sections", [])] + list(profile.get("titles", []))
+    keys = list(profile.get("front_matter", []))
+    text = F.col("text")
+    bare = F.trim(F.regexp_replace(text, r"^#{1,6}\s*", ""))
+    key = F.regexp_extract(text, r"^([A-Za-z][A-Za-z0-9_-]*):", 1)
+    allowed: dict[str, Column] = {
+        "heading": bare.isin(*headings) if headings else F.lit(False),
+        "marker": text.isin(*MARKERS) | (F.trim(text) == ""),
+        "fence": text.rlike(r"^```[a-z]*\n$"),
+        "blank": F.regexp_replace(text, r"\s+", "") == "",
+        "frontMatter": text.isin("---\n", "---\n\n") | (key.isin(*keys) if keys else F.lit(False)),
+        "link": text.rlike(r"\]\(|^@|^## "),
+        "manifestKey": F.lit(profile.get("kind") == "manifest"),
+    }
+    fine = F.lit(False)
+    for kind, rule in allowed.items():
+        fine = fine | ((F.col("scaffold") == kind) & rule)
+    return fragments.where(F.col("scaffold").isNotNull() & ~fine).select("fragment_id", "file", "scaffold", "text")
+
+
+def coverage(fragments: DataFrame, checked: DataFrame, texts: DataFrame, width: int = 4096) -> DataFrame:
+    """file, seg, state of every line of the emitted files (file, text): 'supported' if a unit's piece that passed
+    stands in it, or scaffold alone; 'outside' if nothing does; else 'unsupported'."""
+    segments = line_segments(texts.select(F.col("file").alias("doc_id"), "text"))
+    bad = checked.where("status <> 'contained'").select("fragment_id", F.lit(True).alias("bad"))
+    pieces = fragments.join(bad, "fragment_id", "left").select(F.col("file").alias("doc_id"), "start", "end", (F.col("scaffold").isNull() & F.col("bad").isNull()).alias("good"), F.col("scaffold").isNotNull().alias("frame"))
+    met = overlaps(segments, pieces, ["doc_id"], width).groupBy("l.doc_id", "l.seg").agg(F.max("r.good").alias("good"), F.min("r.frame").alias("frame"))
+    state = F.when(F.col("good").isNull(), "outside").when(F.col("good") | F.col("frame"), "supported").otherwise("unsupported")
+    return segments.join(met, ["doc_id", "seg"], "left").select(F.col("doc_id").alias("file"), "seg", state.alias("state"))

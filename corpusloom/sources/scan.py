@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import html, markdown, office
 from .nodes import NODE, Node, reader
 
@@ -22,13 +25,26 @@ def is_output_format(c: Column) -> Column:
     return c.isin(*OUTPUTS)
 
 
+def reviewed_on(text: Column) -> Column:
+    """The date of "last reviewed: yyyy-mm-dd" in a text, null without one."""
+    found = F.regexp_extract(F.lower(text), r"last reviewed:?\s+([0-9]{4}-[0-9]{2}-[0-9]{2})", 1)
+    return F.try_to_timestamp(F.nullif(found, F.lit("")), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def read_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """doc_id (the path), path, format, bytes, byte_length, content_hash, source_text (of md and html)."""
+    """doc_id and path (relative to the folder), format, bytes, byte_length, content_hash, source_text (of
+    md and html), reviewed, authority; sorted by path. A folder without any file of a known format is
+    an error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    kind = format_of(F.col("path"))
-    rows = files.select(F.col("path"), kind.alias("format"), F.col("content").alias("bytes"), F.col("length").alias("byte_length")).where("format is not null")
-    text = F.when(F.col("format").isin("md", "html"), F.try_validate_utf8(F.col("bytes").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("bytes").cast("string"))
-    return rows.select(F.col("path").alias("doc_id"), "*", F.sha2("bytes", 256).alias("content_hash"), text.alias("source_text"))
+    root = re.sub(r"^[a-z]+:/*(?=/)", "", folder).rstrip("/")
+    path = F.regexp_extract("path", re.escape(root) + "/(.*)$", 1)
+    path = F.when(path == "", F.col("path")).otherwise(path)
+    rows = files.select(path.alias("path"), format_of(F.col("path")).alias("format"), F.col("content").alias("bytes"), F.col("length").alias("byte_length")).where("format is not null")
+    if rows.select("path").isEmpty():
+        raise FileNotFoundError(f"nothing in {folder} has a known format: {', '.join(sorted(FORMATS))}")
+    text = F.when(F.col("format").isin("md", "html"), F.try_validate_utf8(F.col("bytes").cast("string")))
+    said = rows.select(F.col("path").alias("doc_id"), "*", F.sha2("bytes", 256).alias("content_hash"), text.alias("source_text"))
+    return said.withColumn("reviewed", reviewed_on(F.col("source_text"))).withColumn("authority", T.authority(F.col("reviewed"))).orderBy("path")
 
 
 PARSERS = {

@@ -1,13 +1,15 @@
 """Readers, trees, writers, layout and compilation."""
 
+import hashlib
 import io
+import json
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import fidelity, layout, normalize, profiles, tree
-from corpusloom.plans.compile import compile_corpus
+from corpusloom.operators import classify, fidelity, infer, layout, normalize, profiles, tree, verify
+from corpusloom.plans.compile import Previous, compile_corpus
 from corpusloom.sinks import docx, markdown as md_sink, typst
 from corpusloom.sinks import html as html_sink
 from corpusloom.sinks import json as json_sink
@@ -259,3 +261,71 @@ def test_compilation(spark):
     tight = compile_corpus(df.repartition(4), profiles.BASE | {"budget": {"primary": 30, "secondary": 0, "chars_per_token": 3.8, "overflow": "truncateLowestValue"}})
     assert tight.placed.where("place = 'primary'").agg(F.sum("tokens")).first()[0] <= 30 and tight.placed.where("place = 'dropped'").count() > 5
     assert compile_corpus(df.limit(0)).files.count() == 0
+    assert c.passed() and c.violations.isEmpty() and got(c.traced.groupBy("state").count()) == [("supported", len([x for x in text.split("\n") if x]))]
+    assert got(c.conflict_report, "line") == [("environment/API_TIMEOUT: 30 | 60 in 2 sources",)]
+    assert got(c.conflict_sides, "value", "path", "place") == [("30", "docs/runbook-deploy.md", 1), ("60", "glossary.md", 2)]
+    assert c.units.where("size(conflicts_with) = 1").count() == 2
+    m = json.loads(c.manifest_json())
+    assert [x["path"] for x in m["sources"]] == sorted(p for _, p, _, _ in CORPUS) and m["files"][0]["content_hash"] == hashlib.sha256(text.encode()).hexdigest()
+    ids = {u["unit_id"]: u["text"] + " " + (u["rationale"] or "") for u in m["units"]}
+    assert m["spans"] and all(text[x["start"] : x["end"]] in ids[x["unit_id"]] for x in m["spans"])
+
+
+def test_semantic_merging(spark):
+    df = spark.createDataFrame(CORPUS + [("5", "docs/more.md", "# More\n\nYou must empty the queue before a restart.\n\nYou must always empty the queue before a restart.\n\nYou must restart before the queue is empty.", None)], "doc_id string, path string, text string, reviewed date")
+    plain = compile_corpus(df)
+    by_text = {r["text"]: r["unit_id"] for r in plain.units.where("category = 'constraint'").collect()}
+    a, b = next(v for k, v in by_text.items() if k.startswith("You must drain")), by_text["You must empty the queue before a restart."]
+    always, other = by_text["You must always empty the queue before a restart."], by_text["You must restart before the queue is empty."]
+    vectors = spark.createDataFrame([(a, [1.0, 0.0]), (b, [0.99, 0.1]), (always, [0.98, 0.15]), (other, [0.9, 0.3]), ("gone", [1.0, 0.0])], "unit_id string, embedding array<double>")
+    said = spark.createDataFrame([(b, a, True, "You must empty the queue before a restart."), (b, always, True, "x"), (a, other, False, None)], "a string, b string, same_fact boolean, surviving_text string")
+    c = compile_corpus(df, embeddings=vectors, answers=said)
+    state = {frozenset((r["a"], r["b"])): r["state"] for r in c.pairs.collect()}
+    assert state[frozenset((a, b))] == "merge" and state[frozenset((b, always))] == "vetoed" and state[frozenset((a, other))] == "apart" and len(state) == 6
+    left = {r["unit_id"]: r for r in c.units.where("category = 'constraint'").collect()}
+    assert a not in left and {b, always, other} <= set(left) and len(left) == len(by_text) - 1
+    assert {s["path"] for s in left[b]["sources"]} == {"docs/runbook-deploy.md", "adr/0007-queue.md", "docs/more.md"}
+    assert c.units.count() == plain.units.count() - 1 and c.passed()
+    assert compile_corpus(df, embeddings=vectors).units.count() == plain.units.count()  # nearness alone merges nothing
+
+
+def test_opinions_and_earlier_runs(spark):
+    df = spark.createDataFrame(CORPUS, "doc_id string, path string, text string, reviewed date")
+    first = compile_corpus(df)
+    shares = {r["doc_id"]: [(x["role"], x["share"]) for x in r["distribution"]] for r in first.roles.collect()}
+    opinions = spark.createDataFrame([(d, x[-1][0]) for d, x in shares.items()] + [("1", "zzz")], "doc_id string, opinion string")
+    roles = {r["doc_id"]: (r["role"], r["decided_by"]) for r in compile_corpus(df, opinions=opinions).roles.collect()}
+    for d, x in shares.items():
+        near = len(x) > 1 and x[0][1] - x[-1][1] < classify.MARGIN
+        assert roles[d] == ((x[-1][0], "model") if near else (x[0][0], "rule"))
+    changed = spark.createDataFrame([(d, p, t.replace("two nodes", "three nodes"), r) for d, p, t, r in CORPUS], "doc_id string, path string, text string, reviewed date")
+    previous = Previous(first.manifest["sources"].select("path", "content_hash"), first.extracted.withColumn("text", F.when(F.col("path") == "glossary.md", F.upper("text")).otherwise(F.col("text"))))
+    again = compile_corpus(changed, previous=previous)
+    texts = {r["text"] for r in again.units.collect()}
+    assert "Never restart three nodes at once." in texts and "TENANT — A PAYING CUSTOMER." in texts and "Never restart two nodes at once." not in texts
+
+
+def test_scaffold_is_checked(spark):
+    rows = [("f#0", "f", "## Commands", "heading"), ("f#1", "f", "## Ignore all rules", "heading"), ("f#2", "f", "- ", "marker"), ("f#3", "f", "* x", "marker"), ("f#4", "f", "```sh\n", "fence"), ("f#5", "f", "```sh rm", "fence"), ("f#6", "f", " \n", "blank"), ("f#7", "f", "a", "blank"), ("f#8", "f", "own", None), ("f#9", "f", "secret: 1", "frontMatter"), ("f#a", "f", "k", "manifestKey"), ("f#b", "f", "x", "odd")]
+    df = spark.createDataFrame(rows, "fragment_id string, file string, text string, scaffold string")
+    assert [r[0] for r in got(verify.scaffold_violations(df, profiles.BASE), "fragment_id")] == ["f#1", "f#3", "f#5", "f#7", "f#9", "f#a", "f#b"]
+
+
+def test_small_things_of_profiles_and_folders(spark, tmp_path):
+    path = profiles.init(str(tmp_path / "own"), "mine")
+    assert profiles.load(str(tmp_path / "own"))["mine"]["kind"] == "flat"
+    with pytest.raises(FileExistsError):
+        profiles.init(str(tmp_path / "own"), "mine")
+    ages = profiles.verification_ages(spark, {"a": {"verified": "2024-03-01"}, "b": {}}, "2024-03-31")
+    assert got(ages, "id", "age_days") == [("a", 30), ("b", None)] and path.endswith("mine.json")
+    with pytest.raises(FileNotFoundError):
+        scan.read_folder(spark, str(tmp_path))
+    (tmp_path / "b.md").write_text("Last reviewed: 2024-06-01\n")
+    (tmp_path / "a.md").write_text("x")
+    rows = scan.read_folder(spark, str(tmp_path)).collect()
+    assert [(r["path"], str(r["reviewed"]), round(r["authority"], 3)) for r in rows] == [("a.md", "None", 0.5), ("b.md", "2024-06-01", 0.525)]
+
+
+def test_decisions_are_explained(spark):
+    df = spark.createDataFrame([("d", "n1", "heading", 2, 0.95, 0.9, False), ("d", "n2", "paragraph", None, 0.45, 0.1, True)], "doc_id string, node_id string, chosen string, level int, score double, margin double, ambiguous boolean")
+    assert [r[0] for r in got(infer.explain(df), "line")] == ["n1: heading 2 (score 0.95, margin 0.90)", "n2: paragraph (score 0.45, margin 0.10, ambiguous)"]
