@@ -6,16 +6,25 @@ registers of a union are the maxima of the parts' registers, and equal registers
 likely as the sets' Jaccard similarity is high. Documents are in one group if they are connected
 by pairs of Jaccard similarity of at least ``threshold``; all but the least doc_id of a group go.
 
+The default threshold: of a text in which one word in k is replaced, (1 - 1/k) ** 3 of the 3-grams stay, s,
+and the Jaccard similarity is s / (2 - s). At 0.45 that is one word in seven; 80 bands of 4
+registers find such a pair with probability 0.97, a pair at 0.55 with 0.9995. A group is connected, so
+that its ends may share less; that is how copies of copies are one group.
+
 Plan: (1) one scan makes sketch and set hash; (2) equal sets collapse by hash; (3) 80 bands of 4
 registers are shuffled once; each bucket links its members to its least one; (4) links are
 estimated by joint likelihood from both sketches and cardinalities, each document's best link is
-verified on the texts, and the verified links connect; (5) of all pairs of a bucket, only those
-that are still unconnected are estimated and verified: a pair inside a component cannot change it,
-so that what is skipped loses nothing, and a bucket of thousands of copies costs thousands of links.
-
-Defined results: null or word-less texts are in no group and stay; rows with null doc_id stay; rows
-that share a doc_id are one document, near another if any of their texts is, and stay or go together;
-other columns pass through.
+verified on the texts, and the verified links connect; (5) buckets whose members are still in
+several components are cut into a grid of cells of at most CELL members a side, and
+the members' sketches are sent to their cells once: there unconnected pairs of fitting sizes are
+estimated, block by block, and only the likely ones leave and are verified. A pair inside a component cannot
+change it, so that what is skipped loses nothing; a bucket of thousands of copies costs thousands of
+links, one of thousands of different texts thousands of sketches a cell.
+
+Defined results: doc_id is a number; null or word-less texts are in no group and stay; rows with null
+doc_id stay; rows that share a doc_id are one document, near another if any of their texts is, and stay or
+go together; of equals the least doc_id stays (no other ties arise); texts of any length are read
+whole; an empty table gives no groups; other columns pass through.
 """
 
 from __future__ import annotations
@@ -39,6 +48,8 @@ BANDS, ROWS = 80, 4
 M = BANDS * ROWS
 B, A, Q = 1.001, 20.0, 65534
 MARGIN = 0.09  # three standard errors of the estimate
+CELL = 2048
+_PAIRS = 1 << 14
 _SLICE = 1 << 18
 _FACTORS = tv.mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -121,6 +132,65 @@ def _likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFram
     return sized.mapInArrow(_estimated, "a long, b long, j double").where(F.col("j") >= threshold - MARGIN)
 
 
+def _in_cells(threshold: float):
+    """a, b of the likely pairs of rows (band, p, q, at, doc_id, root, n, regs) sorted by cell: of members
+    of block p with members of block q, or of p with each other if both are one. A cell that reaches
+    over batches is put together."""
+    names = ["band", "p", "q", "at", "doc_id", "root", "n"]
+
+    def likely(cols: dict[str, np.ndarray], regs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cell = np.cumsum(np.append(0, (cols["band"][1:] != cols["band"][:-1]) | (cols["p"][1:] != cols["p"][:-1]) | (cols["q"][1:] != cols["q"][:-1])))
+        i, step, held, size = np.arange(len(cell)), 0, [], 0
+
+        def estimated():
+            x, y = (np.concatenate(z) for z in zip(*held))
+            for at in range(0, len(x), _PAIRS):
+                k, m = x[at : at + _PAIRS], y[at : at + _PAIRS]
+                near = estimate(regs[k], regs[m], cols["n"][k].astype(float), cols["n"][m].astype(float)) >= threshold - MARGIN
+                yield cols["doc_id"][k[near]], cols["doc_id"][m[near]]
+
+        while len(i):
+            step += 1
+            i = i[i + step < len(cell)]
+            i = i[cell[i] == cell[i + step]]
+            j = i + step
+            n, m = cols["n"][i], cols["n"][j]
+            ok = (cols["root"][i] != cols["root"][j]) & (np.minimum(n, m) >= threshold * np.maximum(n, m))
+            ok &= (cols["p"][i] == cols["q"][i]) | (cols["at"][i] != cols["at"][j])
+            held.append((i[ok], j[ok]))
+            size += int(ok.sum())
+            if size >= _PAIRS:
+                yield from estimated()
+                held, size = [], 0
+        if size:
+            yield from estimated()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[dict[str, np.ndarray], np.ndarray] | None = None
+
+        def pairs(cols, regs) -> Iterator[pa.RecordBatch]:
+            for a, b in likely(cols, regs):
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {c: b.column(c).to_numpy(zero_copy_only=False) for c in names}
+            regs = np.frombuffer(b"".join(b.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, M)
+            if rest is not None:
+                cols, regs = {c: np.concatenate([rest[0][c], cols[c]]) for c in names}, np.concatenate([rest[1], regs])
+            last = (cols["band"] == cols["band"][-1]) & (cols["p"] == cols["p"][-1]) & (cols["q"] == cols["q"][-1])
+            cut = len(last) - int(last.sum())
+            if cut:
+                yield from pairs({c: x[:cut] for c, x in cols.items()}, regs[:cut])
+            rest = {c: x[cut:] for c, x in cols.items()}, regs[cut:]
+        if rest is not None:
+            yield from pairs(*rest)
+
+    return run
+
+
 def _jaccard(threshold: float):
     def sets(col):
         for t in tv.tokenize(col, tv.WORD_TOKENS, _SLICE):
@@ -168,14 +238,13 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     root = components(edges)
 
     known = members.join(root, members["doc_id"] == root["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    tagged = known.join(sketched.select("doc_id", "n").distinct(), "doc_id")
-    split = tagged.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("band")
-    open_ = tagged.join(split, "band")
-    p, q = open_.alias("p"), open_.alias("q")
-    fits = F.least("p.n", "q.n") >= F.lit(threshold) * F.greatest("p.n", "q.n")  # before any sketch is sent
-    pairs = p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.doc_id") < F.col("q.doc_id")) & (F.col("p.root") != F.col("q.root")) & fits)
-    pairs = pairs.select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(_likely(pairs, sketched, threshold).select("a", "b"), "rest")
+    open_ = known.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count("*") / CELL).cast("int").alias("side")).where("x < y").select("band", "side")
+    placed = known.join(open_, "band").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.col("side")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("other")).select("band", F.least("at", "other").alias("p"), F.greatest("at", "other").alias("q"), "at", "doc_id", "root")
+    rows = cells.join(sketched.select("doc_id", "n", "regs"), "doc_id").select("band", "p", "q", "at", "doc_id", "root", "n", "regs")
+    sorted_ = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "doc_id")
+    pairs = sorted_.mapInArrow(released(_in_cells(threshold)), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    more = materialize(pairs, "rest")
     every = copies.select("u", "v").unionByName(edges).unionByName(_verified(more, text, threshold))
     return components(every).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 

@@ -144,6 +144,41 @@ def test_near_dedup(frame, corpus):
     assert rows(kept, "doc_id", "text") == sorted(((d, t) for d, t in docs if d not in gone), key=repr)
 
 
+def test_a_bucket_of_many_different_texts(spark, monkeypatch):
+    """A passage that all share puts them in common buckets; few are near each other."""
+    monkeypatch.setattr(near_dedup, "CELL", 150)  # several cells a bucket
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    common = " ".join(r.choice(words) for _ in range(60))
+    docs = [(i, common + " " + " ".join(r.choice(words) for _ in range(90))) for i in range(2000)]
+    docs += [(3000 + i, docs[7 * i][1] + " more") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {tuple(x) for x in near_dedup.duplicates(df).collect()}
+    assert got == {(3000 + i, 7 * i) for i in range(100)}
+
+
+def test_cells_find_the_pairs_of_their_blocks():
+    r = np.random.default_rng(4)
+    sets = [sketched([f"t{k}" for k in range(3 * i, 3 * i + 50 + i % 7)]) for i in range(60)]
+    rows_, want = [], set()
+    for band in range(3):
+        own = sorted(r.choice(60, 25, replace=False).tolist())
+        root = {d: d if d % 3 else 0 for d in own}
+        side = {d: d % 2 for d in own}
+        for p, q in ((0, 0), (0, 1), (1, 1)):
+            rows_ += [(band, p, q, side[d], d, root[d], sets[d][1], sets[d][0].tobytes()) for d in own if side[d] in (p, q)]
+        for a in own:
+            for b in own:
+                fits = min(sets[a][1], sets[b][1]) >= 0.3 * max(sets[a][1], sets[b][1])
+                if a < b and root[a] != root[b] and fits and near_dedup.estimate(sets[a][0][None], sets[b][0][None], np.array([float(sets[a][1])]), np.array([float(sets[b][1])]))[0] >= 0.3 - near_dedup.MARGIN:
+                    want.add((a, b))
+    names = ["band", "p", "q", "at", "doc_id", "root", "n", "regs"]
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in rows_[k : k + size]]) for k in range(0, len(rows_), size)]
+        got = {(a, b) for out in near_dedup._in_cells(0.3)(iter(batches)) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+        assert got == want and want
+
+
 def test_near_dedup_of_nothing(frame):
     assert near_dedup.duplicates(frame([])).count() == 0
     assert near_dedup.drop_near_duplicates(frame([(1, None), (2, ""), (3, "."), (4, None)])).count() == 4
