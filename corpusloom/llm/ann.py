@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts, released
+from .shared import discard, materialize, parts, released
 
 NEIGHBOURS = 10
 EVERY = 20
@@ -281,21 +281,21 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees:
     after descent and after ascent, and of searches that went to the root."""
     if k < 1 or trees < 1 or every < 1 or fewest < k or not 0 < target < 1:
         raise ValueError("k, trees and every must be positive, fewest at least k, and target within (0, 1)")
-    spark = table.sparkSession
+    spark, scratch = table.sparkSession, []
     h = ["h1", "h2"]
     unit = vectors(table, id_column, column).mapInArrow(_unit, "id long, vec binary").select("id", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
-    unit = materialize(unit, "unit-vectors")
+    unit = materialize(unit, "unit-vectors", scratch)
     copies = Window.partitionBy(*h).orderBy("id")
     members = materialize(unit.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).withColumn("rep", F.min("id").over(Window.partitionBy(*h))), "members")
     points = members.where("nth = 1").select("id", "vec")
     asked = unit.where(F.pmod("id", F.lit(every)) == 0).select(F.col("id").alias("asked"), *h).join(members.where("nth = 1").select("rep", *h), h).select("asked", "rep")
     full = members.where(F.col("nth") == k + 1).select("rep")
-    search = materialize(asked.select("rep").distinct().join(full, "rep", "left_anti").join(points, F.col("rep") == F.col("id")).select(F.col("rep").alias("query"), "vec"), "searches")
+    search = materialize(asked.select("rep").distinct().join(full, "rep", "left_anti").join(points, F.col("rep") == F.col("id")).select(F.col("rep").alias("query"), "vec"), "searches", scratch)
     n, n_searches = points.count(), search.count()
 
     n_segments = max(1, -(-n * trees // RUN))
     sorted_ = points.mapInArrow(released(_strings(trees, BITS)), "tree int, string long, id long").repartitionByRange(n_segments, "tree", "string", "id").sortWithinPartitions("tree", "string", "id")
-    forest = materialize(sorted_.mapInArrow(_segment, "segment int, tree int, string long, id long, last_tree int, last_string long, trees binary, strings binary, ids binary"), "forest")
+    forest = materialize(sorted_.mapInArrow(_segment, "segment int, tree int, string long, id long, last_tree int, last_string long, trees binary, strings binary, ids binary"), "forest", scratch)
     ends = forest.select("segment", "tree", "string", "id", "last_tree", "last_string").collect()  # a row for RUN strings
     runs = forest.select("segment", "trees", "strings", "ids")
 
@@ -305,7 +305,7 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees:
     def compared(levels: DataFrame, name: str) -> DataFrame:
         found = runs.groupBy("segment").cogroup(routed(levels).groupBy("segment")).applyInArrow(_meet(BITS), "query long, id long").distinct()
         pairs = found.join(points.select("id", F.col("vec").alias("v")), "id").join(search.select("query", F.col("vec").alias("u")), "query")
-        done = materialize(pairs.mapInArrow(_similarities, "query long, id long, sim double"), name)
+        done = materialize(pairs.mapInArrow(_similarities, "query long, id long, sim double"), name, scratch)
         if stats is not None:
             stats[name] = done.count()
         return _top(done, k)
@@ -320,13 +320,13 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees:
         # Its own string is in every tree; the same neighbours may be in all: one run must hold k others.
         enough = (F.col("n") >= fewest + trees) & (F.col("run") > k)
         reached = so_far.groupBy("query").agg(F.coalesce(F.max(F.when(enough, F.col("level"))), F.min("level")).alias("level"))
-        first = materialize(search.join(reached, "query"), "descended")
-        near = materialize(compared(first, "descent"), "nearest")
+        first = materialize(search.join(reached, "query"), "descended", scratch)
+        near = materialize(compared(first, "descent"), "nearest", scratch)
         kth = near.groupBy("query").agg(F.min("sim").alias("kth"), F.count("*").alias("found"))
         state = search.join(first.select("query", F.col("level").alias("seen")), "query", "left").join(kth, "query", "left")
         level = F.when(F.coalesce("found", F.lit(0)) < k, F.lit(0)).otherwise(wanted_level(F.col("kth"), trees, target))
         least = math.log2(trees) + 3
-        state = materialize(state.withColumn("level", level).where(F.col("seen").isNull() | (F.col("level") < F.col("seen"))).select("query", "vec", F.when(F.col("level") > least, F.col("level")).otherwise(0).alias("level")), "ascending")
+        state = materialize(state.withColumn("level", level).where(F.col("seen").isNull() | (F.col("level") < F.col("seen"))).select("query", "vec", F.when(F.col("level") > least, F.col("level")).otherwise(0).alias("level")), "ascending", scratch)
         more = compared(state.where("level > 0"), "ascent")
         at_root = state.where("level = 0").select("query", "vec")
         n_root = at_root.count()
@@ -347,7 +347,9 @@ def neighbours(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, trees:
         root = near.limit(0)
     # A query's rows come from where it ended: the later ones replace or join the earlier.
     found = near.unionByName(more).unionByName(root).groupBy("query", "id").agg(F.max("sim").alias("sim"))
-    best = _top(found, k)
+    best = materialize(_top(found, k), "best")
+    asked = materialize(asked, "asked")
+    discard(spark, scratch)
     named = members.select(F.col("rep").alias("of"), F.col("id").alias("member"))
     others = asked.join(best, F.col("rep") == F.col("query")).join(named, F.col("id") == F.col("of")).select("asked", "member", "sim")
     own = asked.join(named, F.col("rep") == F.col("of")).where("member <> asked").select("asked", "member", F.lit(1.0).alias("sim"))

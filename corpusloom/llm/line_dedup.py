@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import dense
 from . import textvec as tv
-from .shared import fresh, materialize, parts, released
+from .shared import discard, fresh, materialize, parts, released
 
 THRESHOLD = 0.8
 CELLS = 1 << 24
@@ -250,17 +250,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
         raise ValueError("threshold must be in (0, 1]")
     if cells < dense.BLOCK or cells & (cells - 1):
         raise ValueError(f"cells must be a power of two and at least {dense.BLOCK}")
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, []
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     text = own.select("doc_id", row_key("text").alias("row"), "text")
-    scan = materialize(text.mapInArrow(released(_scan(threshold, cells)), f"doc_id long, row long, line_no int, key long, load long, {dense.SCHEMA}"), "line-scan")
+    scan = materialize(text.mapInArrow(released(_scan(threshold, cells)), f"doc_id long, row long, line_no int, key long, load long, {dense.SCHEMA}"), "line-scan", scratch)
     lines = scan.where("key is not null").select("doc_id", "row", "line_no", "key")
     load = scan.where("load is not null").agg(F.sum("load")).first()[0] or 0
     n_parts = max(parts(spark), -(-load // group_bytes))
     rarity = spark.sparkContext.broadcast(dense.merge(scan.where("block is not null").select("block", "cells", "counts"), cells, "class"))
     postings = own.select("text").mapInArrow(released(_postings(rarity, threshold, cells, n_parts, hot)), "part int, rows binary").repartitionById(n_parts, "part")
     pairs = postings.groupBy("part").applyInArrow(_joined(threshold), "left long, right long").distinct()
-    pairs = materialize(pairs, "line-pairs")
+    pairs = materialize(pairs, "line-pairs", scratch)
     wanted = pairs.select(F.explode(F.array("left", "right")).alias("key"))
     bits, width = dense.key_bits(wanted, "key", 2 * pairs.count())
     found = text.mapInArrow(released(_texts(spark.sparkContext.broadcast(bits), width)), "key long, doc_id long, row long, line_no int, line string")
@@ -269,7 +269,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, cells: int = CE
     later = later_sets(pairs, sets, threshold).withColumn("later", F.lit(True))
     firsts = lines.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(later, "key", "left").where("later or n > 1")
     # Of rows with equal doc_id and text the first occurrence is the same: none of them loses it.
-    return lines.join(firsts, "key").where(F.col("later") | (at != F.col("first"))).select("doc_id", "row", "line_no")
+    gone = materialize(lines.join(firsts, "key").where(F.col("later") | (at != F.col("first"))).select("doc_id", "row", "line_no"), "line-removed")
+    discard(spark, scratch)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, n_removed: str = "n_removed") -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import dense
 from . import textvec as tv
 from .components import components
-from .shared import fresh, materialize, released
+from .shared import discard, fresh, materialize, released
 
 K = 3
 THRESHOLD = 0.45
@@ -220,21 +220,22 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, kept_doc_id: every document that goes, with the one of its group that stays."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    scratch: list[str] = []
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sketched = materialize(text.mapInArrow(released(sketch), "doc_id long, s1 long, s2 long, n long, regs binary"), "sketches")
+    sketched = materialize(text.mapInArrow(released(sketch), "doc_id long, s1 long, s2 long, n long, regs binary"), "sketches", scratch)
     same = sketched.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("v"))
     copies = sketched.select("doc_id", "s1", "s2", "n").join(same, ["s1", "s2", "n"]).where("doc_id <> v").select(F.col("doc_id").alias("u"), "v", "s1", "s2")
-    copies = materialize(copies, "copies")
+    copies = materialize(copies, "copies", scratch)
     alone = sketched.join(copies.select(F.col("u").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_anti")
 
     rows = alone.select("doc_id", "regs").mapInArrow(_bands, "band long, doc_id long").repartition("band")
     shared = rows.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
-    members = materialize(rows.join(shared.select("band", "lead"), "band"), "buckets")
+    members = materialize(rows.join(shared.select("band", "lead"), "band"), "buckets", scratch)
     stars = members.where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialize(_likely(stars, sketched, threshold), "links")
+    links = materialize(_likely(stars, sketched, threshold), "links", scratch)
     best = Window.partitionBy("b").orderBy(F.desc("j"), "a")
-    first = materialize(links.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), "best")
-    edges = materialize(_verified(first, text, threshold), "verified")
+    first = materialize(links.withColumn("r", F.row_number().over(best)).where("r = 1").select("a", "b"), "best", scratch)
+    edges = materialize(_verified(first, text, threshold), "verified", scratch)
     root = components(edges)
 
     known = members.join(root, members["doc_id"] == root["node"], "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
@@ -244,9 +245,11 @@ def duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = cells.join(sketched.select("doc_id", "n", "regs"), "doc_id").select("band", "p", "q", "at", "doc_id", "root", "n", "regs")
     sorted_ = rows.repartition("band", "p", "q").sortWithinPartitions("band", "p", "q", "doc_id")
     pairs = sorted_.mapInArrow(released(_in_cells(threshold)), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = materialize(pairs, "rest")
+    more = materialize(pairs, "rest", scratch)
     every = copies.select("u", "v").unionByName(edges).unionByName(_verified(more, text, threshold))
-    return components(every).where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
+    groups = components(every)
+    discard(docs.sparkSession, scratch)
+    return groups.where("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -25,15 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Write df as a table in the shared folder and return a reader of it: later plans start
-    there, and a lost executor costs no recomputation."""
+    there, and a lost executor costs no recomputation. scratch gets the table's path, for discard."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "lz4").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete tables that no plan still to run starts from."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
 def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, a function over batches, such that its worker gives memory back to the system at its
     end: workers live on, and what each task's largest batch took would add up beside the heap."""
