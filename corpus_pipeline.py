@@ -57,6 +57,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents")
+    held: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = shared.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, held = held, []
+        docs = shared.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", held)
+        shared.discard(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)
