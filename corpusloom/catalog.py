@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, tables  # noqa: F401
+from .plans import corpus, derived, tables  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -193,6 +193,10 @@ def _graphemes(s: str) -> list[str]:
 
 
 def edit_distance(a: list, b: list) -> int:
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[same:], b[same:]  # a common start, then a common end
+    same = next((i for i, (x, y) in enumerate(zip(a[::-1], b[::-1])) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - same], b[: len(b) - same]
     if len(a) < len(b):
         a, b = b, a
     row = list(range(len(b) + 1))
@@ -210,6 +214,8 @@ def grapheme_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x, y):
         if x is None or y is None:
             return None
+        if x == y:
+            return 1.0
         p, q = _graphemes(x), _graphemes(y)
         return 1 - edit_distance(p, q) / max(len(p), len(q)) if p or q else 1.0
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import text as T
 
@@ -36,6 +39,40 @@ def merge_restatements(units: DataFrame, key: list[str], order: list[str]) -> Da
     return folded.select(*key, F.element_at("units", 1).getField(order[0]).alias(order[0]), "m.*", F.size("units").alias("n_units"), sources.alias("sources"))
 
 
+def fold_restatements(units: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """merge_restatements without rationale and sources: key, the first unit's order, text, authority,
+    confidence, n_units. The fold runs over each group's sorted rows as they stream by, with a unit's
+    worth of state, so that a fact found in most documents need not fit in memory."""
+    kinds = {f.name: f for f in units.schema.fields}
+    schema = StructType([*(kinds[c] for c in key), *(kinds[c] for c in order), kinds["text"], StructField("authority", DoubleType()), StructField("confidence", DoubleType()), StructField("n_units", LongType())])
+    names = [*key, *order, "text", "authority", "confidence"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(b.column(c).to_pylist() for c in names)):
+                own, (text, authority, confidence) = row[: len(key)], row[-3:]
+                if state is None or own != now:
+                    if state is not None:
+                        out.append(state)
+                    now, state = own, [*row, 1]
+                    continue
+                if authority > state[-3] or authority == state[-3] and confidence > state[-2]:
+                    state[-4] = text
+                state[-3:] = max(state[-3], authority), max(state[-2], confidence), state[-1] + 1
+            yield packed(out)
+        yield packed([state] if state is not None else [])
+
+    types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
+
+    def packed(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(types)], names=[t.name for t in types])
+
+    given = units.select(*key, *order, "text", F.coalesce("authority", F.lit(0.0)).cast("double").alias("authority"), F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"))
+    return given.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
 def restatement_counts(units: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """As merge_restatements, without texts: no list of a group's units is built, so that a line
     found in most documents is no burden."""

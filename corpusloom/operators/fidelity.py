@@ -88,7 +88,9 @@ def structural_similarity(labels_a: pd.Series, parents_a: pd.Series, labels_b: p
             return None
         if max(len(a), len(b)) > MOST_NODES:
             return -1.0
-        return 1.0 if not len(a) + len(b) else 1 - tree_distance(list(a), list(p), list(b), list(q)) / (len(a) + len(b))
+        if list(a) == list(b) and list(p) == list(q):
+            return 1.0
+        return 1 - tree_distance(list(a), list(p), list(b), list(q)) / (len(a) + len(b))
 
     return pd.Series([one(*x) for x in zip(labels_a, parents_a, labels_b, parents_b)], dtype="float64")
 

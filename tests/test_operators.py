@@ -25,6 +25,17 @@ def test_merging_is_a_fold(spark):
     assert (counts["first"]["doc_id"], counts["n_units"], counts["authority"], counts["n_sources"]) == (1, 3, 0.8, 3)
 
 
+def test_streamed_fold_is_the_fold(spark):
+    r = random.Random(2)
+    rows = [(i, r.choice("ab"), i, f"t{i}", None, r.randint(0, 3) / 4, r.randint(0, 3) / 4, "p") for i in range(60)] + [(60, "c", 1, None, None, 0.5, 0.5, "p")]
+    df = spark.createDataFrame(rows, UNIT).repartition(5)
+    whole = dedup.merge_restatements(df, ["k"], ["ord"])
+    streamed = dedup.fold_restatements(df, ["k"], ["ord"])
+    columns = ["k", "ord", "text", "authority", "confidence"]
+    assert got(streamed, *columns) == got(whole, *columns) and got(streamed, "k", "n_units") == got(whole, "k", "n_units")
+    assert dedup.fold_restatements(df.limit(0), ["k"], ["ord"]).count() == 0
+
+
 def test_budget_fill_is_not_a_running_sum(spark):
     rows = [("g", "s", None, t, v) for t, v in ((6, 3.0), (7, 2.0), (4, 1.0))] + [("h", "s", 1, 2, 2.0), ("h", "s", 1, 2, 1.0), ("h", None, None, 1, 0.5)]
     df = spark.createDataFrame(rows, "g string, section string, max_units int, tokens long, value double").repartition(3)
@@ -46,7 +57,9 @@ def test_routing_takes_the_first_section(spark):
 
 def test_absorption(spark):
     pairs = spark.createDataFrame([(1, 1, 10, 20), (1, 2, 20, 30), (1, 3, 10, 40), (2, 1, 10, 20)], "category_a long, rank int, a long, b long")
-    assert got(dedup.absorb(pairs)) == [(1, 10, 20), (1, 10, 40), (2, 10, 20)]
+    assert got(dedup.absorb(pairs)) == [(1, 10, 20, 10), (1, 10, 40, 10), (2, 10, 20, 10)]
+    chain = spark.createDataFrame([("x", 1, "b", "c"), ("x", 2, "a", "b"), ("x", 3, "d", "c")], "category_a string, rank int, a string, b string")
+    assert got(dedup.absorb(chain)) == [("x", "a", "b", "a"), ("x", "b", "c", "a")]  # c is held by a in the end
     units = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "unit_id string, text string")
     decisions = spark.createDataFrame([("a", "b", "better")], "kept string, absorbed string, surviving_text string")
     assert got(dedup.resolve_merges(units, decisions)) == [("a", "better"), ("c", "z")]
@@ -72,7 +85,7 @@ def test_similar_pairs_of_odd_vectors_and_text_categories(spark):
     across = dedup.similar_pairs(df, 0.9, across=True)
     assert [r[:4] for r in got(across)] == [("x", "y", "a", "g"), ("x", "y", "b", "g")] and got(dedup.top_across(across, 1), "a", "b") == [("a", "g")]
     assert dedup.similar_pairs(df.limit(0), 0.9).count() == 0 and dedup.similar_pairs(df.limit(0), 0.9, across=True).count() == 0
-    assert got(dedup.absorb(dedup.capped_pairs(dedup.similar_pairs(df, 0.9)))) == [("x", "a", "b")]
+    assert got(dedup.absorb(dedup.capped_pairs(dedup.similar_pairs(df, 0.9)))) == [("x", "a", "b", "a")]
 
 
 def test_units_without_tokens_cost_nothing(spark):

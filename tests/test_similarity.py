@@ -32,6 +32,6 @@ def test_lines_that_are_not_ascii_have_rows(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     lines = [(d, n, x) for d, t in docs if t for n, x in enumerate(t.split("\n")) if x.strip()]
     expected = sorted((d, n, i, round(1 - distance(x, t) / max(len(x), len(t)), 6)) for d, n, x in lines for i, t in items if grams(x) & grams(t))
-    df = catalog.QUERIES["q44_text_similarity_all"](spark, str(tmp_path))
+    df = catalog.QUERIES["q35_text_similarity"](spark, str(tmp_path))
     got = sorted((r["doc_id"], r["line_no"], r["item_id"], r["similarity"]) for r in df.collect())
     assert got == expected and {x[:3] for x in got} >= {(2, 0, 10), (2, 1, 11), (3, 0, 11), (1, 0, 12)}
