@@ -46,6 +46,7 @@ GROUP_BYTES = 32 << 20
 HOT = 1 << 17
 GRID = 32
 _SEEN = 1 << 20
+_HELD = 1 << 21
 
 
 def _cell(h: np.ndarray, cells: int) -> np.ndarray:
@@ -80,21 +81,34 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
+def _count(counts: np.ndarray, seen: list) -> None:
+    """Add the cells seen to the counts, in ascending order, which spares the memory's caches; empties seen."""
+    x = np.sort(np.concatenate(seen)) if seen else np.empty(0, dtype=np.int32)
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    counts[x[first]] += np.diff(np.append(first, len(x))).astype(np.uint32)
+    seen.clear()
+
+
 def _scan(threshold: float, cells: int):
     names = ["doc_id", "row", "line_no", "key", "load", "block", "cells", "counts"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, load = np.zeros(cells, dtype=np.uint32), 0
+        counts, load, seen, held = np.zeros(cells, dtype=np.uint32), 0, [], 0
         for b in batches:
             ids, rows = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             for t, row, number, _, h, _, n, key in _sets(b.column(2)):
-                np.add.at(counts, _cell(h, cells), 1)
+                seen.append(_cell(h, cells).astype(np.int32))
+                held += len(h)
+                if held > _HELD:
+                    _count(counts, seen)
+                    held = 0
                 has = n > 0
                 m = int(has.sum())
                 load += int(_prefix(n[has], threshold).sum()) * POSTING.itemsize
                 own = [ids[t.first : t.last][row[has]], rows[t.first : t.last][row[has]], number[has].astype(np.int32), tv.signed(key[has])]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, own), *(pa.nulls(m, k) for k in types[4:])], names=names)
+        _count(counts, seen)
         found = list(dense.blocks(counts))
         m = len(found)
         sums = pa.array([load] + [None] * (m - 1), pa.int64()) if m else pa.nulls(0, pa.int64())
@@ -157,23 +171,35 @@ def _joined(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([np.frombuffer(x.as_buffer(), dtype=POSTING) for b in batches for x in b.column("rows")])
-        rows = rows[np.argsort(rows["token"], kind="stable")]
-        same = rows["token"][1:] == rows["token"][:-1]
-        rows = rows[np.append(same, False) | np.append(False, same)]
-        rows = rows[np.lexsort((rows["key"], rows["n"], rows["token"]))]
-        token, key, n = rows["token"], rows["key"], rows["n"].astype(np.int64)
-        fresh = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[: len(rows)]
-        rows, token, key, n = rows[fresh], token[fresh], key[fresh], n[fresh]
-        left, b1, b2 = n - rows["pos"], rows["b1"], rows["b2"]
-        i, step, found, held = np.arange(len(rows)), 0, [], 0
+        token = rows["token"]
+        order = np.argsort(token)
+        token = token[order]
+        same = token[1:] == token[:-1]
+        shared = np.append(same, False) | np.append(False, same)
+        order, token = order[shared[: len(order)]], token[shared[: len(order)]]
+        group = np.cumsum(np.append(False, token[1:] != token[:-1])[: len(token)], dtype=np.uint64)
+        # Of a line that several tasks emit one stays; then each token's lines are put in order of size.
+        key = rows["key"][order]
+        again = np.argsort(tv.mix64(key + token * np.uint64(0x9E3779B97F4A7C15)))
+        token, key = token[again], key[again]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))[: len(order)]
+        again = again[fresh]
+        again = again[np.argsort((group[again] << np.uint64(32)) | rows["n"][order[again]])]
+        order, token = order[again], group[again]
+        key = rows["key"][order]
+        n, b1, b2 = rows["n"][order].astype(np.int64), rows["b1"][order], rows["b2"][order]
+        left = n - rows["pos"][order]
+        i, step, found, held = np.arange(len(order)), 0, [], 0
 
         def flush() -> pa.RecordBatch:
             pairs = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))[: len(pairs)] & (pairs[:, 0] != pairs[:, 1])]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["left", "right"])
 
         while len(i):  # sets of a token ascend in size: the length filter ends each one's run
             step += 1
-            i = i[i + step < len(rows)]
+            i = i[i + step < len(order)]
             j = i + step
             i = i[(token[i] == token[j]) & (n[i] >= threshold * n[j] - 1e-9)]
             j = i + step
