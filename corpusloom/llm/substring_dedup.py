@@ -65,7 +65,7 @@ def _deal(window: int, n_parts: int, chunk_bytes: int):
 
     def rows(chunk: str, ids: list, counts: list, hashes: list) -> pa.RecordBatch:
         h = np.concatenate(hashes)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         again = np.zeros(len(h), dtype=bool)
         again[order[1:][same]] = again[order[:-1][same]] = True
@@ -117,7 +117,7 @@ def _count(group):
     if not parts_of:
         return meta.cast(kind)
     h = np.concatenate(parts_of)
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     s = h[order]
     same = s[1:] == s[:-1]
     again = np.zeros(len(h), dtype=bool)
