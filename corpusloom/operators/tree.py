@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.nodes import BLOCK_TYPES
+from ..sources.nodes import BLOCK_TYPES, per_document
 
 #: Which children each container may have; any block where a parent is not listed.
 CONTENT = {
@@ -58,26 +58,81 @@ def renumber(nodes: DataFrame) -> DataFrame:
     return out.withColumn("child_index", index.cast("int")).withColumn("ord", F.col("new").cast("int")).withColumn("last_ord", F.col("new_last").cast("int")).withColumn("parent_ord", F.coalesce("new_parent", F.lit(-1)).cast("int")).select(nodes.columns)
 
 
+def _body_text(rows: list[tuple]) -> str:
+    """Text of a document's rows (root_kind, ord, last_ord, type, value)."""
+    parts: dict[tuple, list[str]] = {}
+    kind = owner = closed = None
+    for root_kind, at, last, type_, value in rows:
+        if root_kind != kind:
+            kind, owner, closed = root_kind, None, -1
+        # A new part starts at each block, and after a block's subtree has ended.
+        if type_ in _TEXT_BLOCKS:
+            owner = at
+            if type_ in _CLOSING:
+                closed = max(closed, last)
+        if type_ in ("text", "inlineCode", "code", "break"):
+            parts.setdefault((kind, owner, at <= closed), []).append("\n" if type_ == "break" else value or "")
+    joined = ((k[0], "".join(v)) for k, v in parts.items())
+    return "\n\n".join(p for _, p in sorted(((k, p) for k, p in joined if p), key=lambda x: x[0]))
+
+
+_TEXT_BLOCKS = frozenset(BLOCK_TYPES) - {"html"}
+_CLOSING = frozenset(("paragraph", "heading", "code", "caption", "descriptionTerm"))
+
+
 def text_content(nodes: DataFrame) -> DataFrame:
     """doc_id, text: inline text in order, blocks apart by a blank line; html and math are no text."""
-    w = Window.partitionBy("doc_id", "root_kind").orderBy("ord")
-    block = F.col("type").isin(*(t for t in BLOCK_TYPES if t != "html"))
-    # A new part starts at each block, and after a block's subtree has ended.
-    owner = F.last(F.when(block, F.col("ord")), ignorenulls=True).over(w)
-    closed = F.max(F.when(block & F.col("type").isin("paragraph", "heading", "code", "caption", "descriptionTerm"), F.col("last_ord"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    piece = F.when(F.col("type").isin("text", "inlineCode", "code"), F.coalesce("value", F.lit(""))).when(F.col("type") == "break", F.lit("\n"))
-    rows = nodes.withColumn("owner", owner).withColumn("inside", F.col("ord") <= F.coalesce(closed, F.lit(-1))).withColumn("piece", piece).where("piece is not null")
-    parts = rows.groupBy("doc_id", "root_kind", "owner", "inside").agg(F.min("ord").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "piece"))), lambda x: x["piece"]), "").alias("part")).where("part <> ''")
-    return parts.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("root_kind", "at", "part"))), lambda x: x["part"]), "\n\n").alias("text"))
+    return per_document(nodes, lambda doc, rows: [(doc, text)] if (text := _body_text(rows)) else [], "doc_id string, text string", "last_ord", "type", "value")
+
+
+def body_texts(nodes: DataFrame) -> DataFrame:
+    """doc_id, n_blocks, text: text_content of the body and its number of paragraphs and headings."""
+
+    def run(doc, rows):
+        own = [r for r in rows if r[0] == "body"]
+        n, text = sum(r[3] in ("paragraph", "heading") for r in own), _body_text(own)
+        return [(doc, n, text)] if n and text else []
+
+    return per_document(nodes, run, "doc_id string, n_blocks long, text string", "last_ord", "type", "value")
+
+
+def _held(rows: list[tuple], heads: frozenset, pieces: frozenset) -> list[tuple[tuple, list[str]]]:
+    """The rows of heads' types, each with the pieces of its subtree, in one walk: rows begin root_kind, ord,
+    last_ord, type, value; they come in order."""
+    out: list[tuple[tuple, list[str]]] = []
+    texts: list[str] = []
+    open_: list[tuple[int, int, int]] = []  # last_ord, place in out, number of pieces before
+
+    def close(until: tuple | None) -> None:
+        while open_ and (until is None or open_[-1][0] < until[1]):
+            _, i, n = open_.pop()
+            out[i] = (out[i][0], texts[n:])
+        if not open_:
+            texts.clear()
+
+    kind = None
+    for r in rows:
+        close(None if r[0] != kind else r)
+        kind = r[0]
+        if r[3] in heads:
+            open_.append((r[2], len(out), len(texts)))
+            out.append((r, []))
+        if open_ and r[3] in pieces:
+            texts.append("\n" if r[3] == "break" else r[4] or "")
+    close(None)
+    return out
 
 
 def blocks_in_order(nodes: DataFrame) -> DataFrame:
     """doc_id, ord, type, text, lang of headings, paragraphs, list items and code, in order. The text is
     the subtree's inline text; a list item's own paragraph comes again as a paragraph."""
-    texts = nodes.where("type in ('text', 'inlineCode', 'break', 'code')").select("doc_id", "root_kind", F.col("ord").alias("o"), F.when(F.col("type") == "break", "\n").otherwise(F.coalesce("value", F.lit(""))).alias("piece"))
-    heads = nodes.where("type in ('heading', 'paragraph', 'listItem', 'code')").select("doc_id", "root_kind", "ord", "last_ord", "type", "lang", "level")
-    inside = heads.join(texts, ["doc_id", "root_kind"]).where((F.col("o") >= F.col("ord")) & (F.col("o") <= F.col("last_ord")))
-    return inside.groupBy("doc_id", "root_kind", "ord", "type", "lang", "level").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "piece"))), lambda x: x["piece"]), "").alias("text")).where("root_kind = 'body'").drop("root_kind")
+    heads, pieces = frozenset(("heading", "paragraph", "listItem", "code")), frozenset(("text", "inlineCode", "break", "code"))
+
+    def run(doc, rows):
+        found = _held([r for r in rows if r[0] == "body"], heads, pieces)
+        return [(doc, r[1], r[3], r[5], r[6], "".join(own)) for r, own in found if own]
+
+    return per_document(nodes, run, "doc_id string, ord int, type string, lang string, level int, text string", "last_ord", "type", "value", "lang", "level")
 
 
 def misplaced(nodes: DataFrame) -> DataFrame:
@@ -105,42 +160,47 @@ def audit(nodes: DataFrame, diagnostics: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def inline_spans(nodes: DataFrame) -> DataFrame:
-    """doc_id, mark, start, end: inline marks as ranges of the document's running text."""
-    w = Window.partitionBy("doc_id").orderBy("ord")
-    leaf = F.when(F.col("type").isin("text", "inlineCode", "code"), F.length(F.coalesce("value", F.lit(""))))
-    run = nodes.where("root_kind = 'body'").withColumn("before", F.coalesce(F.sum(leaf).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("after", F.coalesce(F.sum(leaf).over(w), F.lit(0)))
-    marks = run.where("type in ('emphasis', 'strong', 'delete', 'underline', 'subscript', 'superscript', 'inlineCode', 'link', 'smallCaps', 'highlight')")
-    ends = run.select("doc_id", F.col("ord").alias("last_ord"), F.col("after").alias("end"))
-    return marks.join(ends, ["doc_id", "last_ord"]).select("doc_id", F.col("type").alias("mark"), F.col("before").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+_MARK_TYPES = frozenset("emphasis strong delete underline subscript superscript inlineCode link smallCaps highlight".split())
 
 
-def table_cells(nodes: DataFrame) -> DataFrame:
-    """doc_id, table_ord, row, col, row_span, col_span, text of every cell, on the grid that spans leave."""
-    import pyarrow as pa
+def spans_of(rows: list[tuple]) -> list[tuple[str, int, int]]:
+    """mark, start, end of a body's rows (root_kind, ord, last_ord, type, value)."""
+    at, after, marks = 0, {}, []
+    for _, ord_, last, type_, value in rows:
+        if type_ in _MARK_TYPES:
+            marks.append((type_, at, last))
+        if type_ in ("text", "inlineCode", "code"):
+            at += len(value or "")
+        after[ord_] = at
+    return [(mark, start, after[last]) for mark, start, last in marks if last in after]
 
-    from .fidelity import grid
 
-    cells = blocks_text(nodes)
-    schema = "doc_id string, table_ord int, row int, col int, row_span int, col_span int, text string"
+def inline_spans(nodes: DataFrame) -> DataFrame:
+    """doc_id, mark, start, end: inline marks as ranges of the document's running text."""
+    run = lambda doc, rows: [(doc, *s) for s in spans_of([r for r in rows if r[0] == "body"])]
+    return per_document(nodes, run, "doc_id string, mark string, start long, end long", "last_ord", "type", "value")
 
-    def place(key, group):
-        rows = sorted(group.to_pylist(), key=lambda r: r["ord"])
-        order = {o: i for i, o in enumerate(sorted({r["row_ord"] for r in rows}))}
-        spans = [(order[r["row_ord"]], i, r["row_span"] or 1, r["col_span"] or 1) for i, r in enumerate(rows)]
-        at = grid(spans)
-        return pa.table({"doc_id": [r["doc_id"] for r in rows], "table_ord": pa.array([r["table_ord"] for r in rows], pa.int32()), "row": pa.array([a for a, _ in at], pa.int32()), "col": pa.array([b for _, b in at], pa.int32()), "row_span": pa.array([s[2] for s in spans], pa.int32()), "col_span": pa.array([s[3] for s in spans], pa.int32()), "text": [r["text"] for r in rows]})
 
-    return cells.groupBy("doc_id", "table_ord").applyInArrow(place, schema)
+def cells_of(rows: list[tuple]) -> list[tuple]:
+    """table_ord, row, col, row_span, col_span, text of the cells of a document's rows (root_kind, ord, last_ord, type,
+    value, parent_ord, row_span, col_span)."""
+    from .fidelity import grid
 
+    own_table = {(r[0], r[1]): (r[0], r[5]) for r in rows if r[3] == "tableRow"}
+    tables: dict[tuple, list] = {(r[0], r[1]): [] for r in rows if r[3] == "table"}
+    for r, own in _held(rows, frozenset(("tableCell",)), frozenset(("text", "inlineCode", "code"))):
+        table = own_table.get((r[0], r[5]))
+        if table in tables:
+            tables[table].append((r[5], r[6] or 1, r[7] or 1, "".join(own)))
+    out = []
+    for (_, table), cells in tables.items():
+        order = {o: i for i, o in enumerate(sorted({c[0] for c in cells}))}
+        spans = [(order[o], i, down, across) for i, (o, down, across, _) in enumerate(cells)]
+        out += [(table, row, col, s[2], s[3], c[3]) for (row, col), s, c in zip(grid(spans), spans, cells)]
+    return out
 
-def blocks_text(nodes: DataFrame) -> DataFrame:
-    """Cells with their table's and row's ord, and text."""
-    by = ["doc_id", "root_kind"]
-    tables = nodes.where("type = 'table'").select(*by, F.col("ord").alias("table_ord"))
-    rows = nodes.where("type = 'tableRow'").select(*by, F.col("ord").alias("row_ord"), F.col("parent_ord").alias("table_ord")).join(tables, [*by, "table_ord"])
-    cells = nodes.where("type = 'tableCell'").select(*by, "ord", "last_ord", "row_span", "col_span", F.col("parent_ord").alias("row_ord")).join(rows, [*by, "row_ord"])
-    texts = nodes.where("type in ('text', 'inlineCode', 'code')").select(*by, F.col("ord").alias("o"), "value")
-    inside = cells.join(texts, (cells["doc_id"] == texts["doc_id"]) & (cells["root_kind"] == texts["root_kind"]) & (texts["o"] > cells["ord"]) & (texts["o"] <= cells["last_ord"]), "left").select(cells["*"], "o", "value")
-    keys = [*by, "table_ord", "row_ord", "ord", "row_span", "col_span"]
-    return inside.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]), "").alias("text"))
+
+def table_cells(nodes: DataFrame) -> DataFrame:
+    """doc_id, table_ord, row, col, row_span, col_span, text of every cell, on the grid that spans leave."""
+    schema = "doc_id string, table_ord int, row int, col int, row_span int, col_span int, text string"
+    return per_document(nodes, lambda doc, rows: [(doc, *c) for c in cells_of(rows)], schema, "last_ord", "type", "value", "parent_ord", "row_span", "col_span")

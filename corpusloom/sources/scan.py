@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import html, markdown, office
-from .nodes import NODE, Node, reader
+from .nodes import Node, read
 
 FORMATS = {"md": "md", "markdown": "md", "html": "html", "htm": "html", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx", "pdf": "pdf"}
 OUTPUTS = ("md", "html", "json", "docx", "typst")
@@ -66,7 +66,7 @@ def read_documents(files: DataFrame) -> DataFrame:
     """The node table of a folder's files; formats without a reader (pdf) are left out, their text
     runs come as a table (operators.layout)."""
     rows = files.where(F.col("format").isin(*PARSERS)).select("doc_id", F.struct("format", "bytes").alias("file"))
-    return rows.mapInArrow(reader(lambda f: parse_bytes(f["bytes"], f["format"]) if f else Node("root")), NODE)
+    return read(rows, lambda f: parse_bytes(f["bytes"], f["format"]) if f else Node("root"))
 
 
 def unreadable(nodes: DataFrame) -> DataFrame:
