@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import fidelity, profiles, tree
+from .operators import fidelity, profiles
 from .sinks import docx, html as html_sink, json as json_sink, markdown as md_sink, typst
 from .sources import html, markdown, scan
 
@@ -49,15 +49,12 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     without tables (or marks) on either side agrees in them."""
     from .functions.text import grapheme_similarity
 
-    left, right = fidelity.post_order(a), fidelity.post_order(b).select("doc_id", F.col("labels").alias("lb"), F.col("parents").alias("pb"))
-    shape = left.join(right, "doc_id").select("doc_id", fidelity.structural_similarity("labels", "parents", "lb", "pb").alias("structural"))
-    texts = tree.text_content(a).join(tree.text_content(b).withColumnRenamed("text", "other"), "doc_id", "full_outer")
-    text = texts.select("doc_id", grapheme_similarity(F.coalesce("text", F.lit("")), F.coalesce("other", F.lit(""))).alias("text"))
-    by = lambda rows: rows.withColumnRenamed("doc_id", "pair_id")
-    tables = fidelity.table_scores(by(tree.table_cells(a)), by(tree.table_cells(b))).select(F.col("pair_id").alias("doc_id"), F.col("f1").alias("table_f1"))
-    spans = fidelity.span_scores(by(tree.inline_spans(a)), by(tree.inline_spans(b))).select(F.col("pair_id").alias("doc_id"), F.col("f1").alias("span_f1"))
-    out = shape.join(text, "doc_id", "left").join(tables, "doc_id", "left").join(spans, "doc_id", "left")
-    return out.select("doc_id", *(F.coalesce(m, F.lit(1.0)).alias(m) for m in METRICS))
+    left, right = (fidelity.features(x) for x in (a, b))
+    both = left.join(right.select("doc_id", *(F.col(c).alias(f"{c}_b") for c in right.columns[1:])), "doc_id")
+    return both.select(
+        "doc_id", fidelity.structural_similarity("labels", "parents", "labels_b", "parents_b").alias("structural"), grapheme_similarity("text", "text_b").alias("text"),
+        fidelity.bag_f1("cells", "cells_b").alias("table_f1"), fidelity.bag_f1("spans", "spans_b").alias("span_f1"),
+    )
 
 
 def check(docs: DataFrame, source: str, through: str, baseline: DataFrame, tolerance: float = fidelity.TOLERANCE) -> DataFrame:
