@@ -54,6 +54,23 @@ def files(found: DataFrame) -> DataFrame:
     return found.groupBy("file").agg(text.alias("text")).withColumn("tokens", T.count_tokens(F.col("text")))
 
 
+def cuts(files_: DataFrame, spans: DataFrame, width: int = 4096) -> DataFrame:
+    """spans (file, start, end and others) with text: what stands there in the files (file, text). A file is cut into
+    blocks, by two steps so that its head is not read again for each, and a span reads its own blocks alone."""
+
+    def blocks(df: DataFrame, size: int) -> DataFrame:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / size).cast("int")), lambda i: F.struct((F.col("at") + i * size).alias("at"), F.substring(F.col("text"), i * size + 1, F.lit(size)).alias("text")))
+        return df.where("text <> ''").select("file", F.explode(parts).alias("p")).select("file", "p.*")
+
+    large = blocks(files_.select("file", F.lit(0).cast("long").alias("at"), "text"), width * 1024).repartition("file", "at")
+    small = blocks(large, width).select("file", F.expr(f"at div {width}").alias("block"), F.col("text").alias("own"))
+    kept = spans.where("end > start").select("*", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}"))).alias("block"))
+    first = F.greatest(F.col("start") - F.col("block") * width, F.lit(0))
+    piece = F.substring("own", (first + 1).cast("int"), (F.least(F.col("end") - F.col("block") * width, F.lit(width)) - first).cast("int"))
+    held = kept.join(small, ["file", "block"]).select(*spans.columns, F.struct("block", piece.alias("piece")).alias("p"))
+    return held.groupBy(*spans.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["piece"]), "").alias("text"))
+
+
 def drop_unsupported(found: DataFrame, checked: DataFrame) -> DataFrame:
     """Fragments without the owned ones that failed verification, with offsets computed anew."""
     bad = checked.where("status <> 'contained'").select("fragment_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ BLOCK = 4096
 def merge_restatements(units: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Units with equal keys become one: the first keeps its place; in order, a unit replaces text
     and confidence's owner if it has more authority, or as much and more confidence; authority and
-    confidence then become the greater of both, each by itself, which is why this is a fold."""
-    unit = F.struct(*order, "text", "rationale", "authority", "confidence", "source")
+    confidence then become the greater of both, each by itself, which is why this is a fold.
+
+    A unit with the authority and confidence of an earlier one replaces nothing, so that the fold
+    needs the first unit of each pair of them alone (and the first with a rationale)."""
+    unit = F.struct(*order, "text", "rationale", "authority", "confidence")
     state = lambda e: F.struct(e["text"].alias("text"), e["rationale"].alias("rationale"), e["authority"].alias("authority"), e["confidence"].alias("confidence"))
 
     def step(s, e):
@@ -33,10 +37,14 @@ def merge_restatements(units: DataFrame, key: list[str], order: list[str]) -> Da
             F.greatest(s["confidence"], e["confidence"]).alias("confidence"),
         )
 
-    grouped = units.groupBy(*key).agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    firsts = units.groupBy(*key, "authority", "confidence", F.col("rationale").isNull().alias("bare")).agg(F.min(unit).alias("unit"), F.count("*").alias("n"))
+    grouped = firsts.groupBy(*key).agg(F.array_sort(F.collect_list("unit")).alias("units"), F.sum("n").cast("int").alias("n_units"))
     folded = grouped.withColumn("m", F.aggregate(F.slice("units", F.lit(2), F.size("units")), state(F.element_at("units", 1)), step))
-    sources = F.array_sort(F.array_distinct(F.transform("units", lambda e: e["source"])))
-    return folded.select(*key, F.element_at("units", 1).getField(order[0]).alias(order[0]), "m.*", F.size("units").alias("n_units"), sources.alias("sources"))
+    # Distinct by hash: array_distinct compares each struct with all others.
+    sources = units.groupBy(*key).agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    same = reduce(lambda x, y: x & y, (F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in key))
+    both = folded.alias("l").join(sources.alias("r"), same)
+    return both.select(*(F.col(f"l.{c}").alias(c) for c in key), F.element_at("units", 1).getField(order[0]).alias(order[0]), "m.*", "n_units", "sources")
 
 
 def fold_restatements(units: DataFrame, key: list[str], order: list[str]) -> DataFrame:

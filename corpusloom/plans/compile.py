@@ -4,6 +4,7 @@ verify."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,23 +19,66 @@ from .store import written
 class Compiled:
     """What a run made, as tables. pairs: the shortlist with what became of each; violations: scaffold that
     its profile does not allow; traced: the emitted lines and whether each rests on units; manifest: sources, units,
-    files and spans; extracted: what a later run takes as its previous units."""
+    files and spans; extracted: what a later run takes as its previous units. What is emitted (placed and all
+    after it) is made when it is first asked for."""
 
+    docs: DataFrame
+    profile: dict
     roles: DataFrame
     units: DataFrame
     conflicts: DataFrame
     conflict_sides: DataFrame
     conflict_report: DataFrame
-    placed: DataFrame
-    fragments: DataFrame
-    checked: DataFrame
-    files: DataFrame
     pairs: DataFrame | None
-    violations: DataFrame
-    traced: DataFrame
-    manifest: dict[str, DataFrame]
     extracted: DataFrame
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        profile, limits = self.profile, self.profile["budget"]
+        routed = budget.unit_order(budget.route(self.units, profiles.sections(self.docs.sparkSession, profile)), ["section"], "path", "unit_order", "unit_id")
+        priced = routed.withColumn("tokens", T.count_tokens(F.concat_ws(" ", "text", "rationale"), limits["chars_per_token"])).withColumn("target", F.lit(profile["id"])).withColumn(
+            "value", budget.value_of(F.coalesce("weight", F.lit(1.0)), F.col("authority"), F.col("confidence"), F.size("sources"))
+        )
+        return written(budget.fill(priced, "target", [F.desc("value"), "section_idx", "position"], limits["primary"], limits["secondary"], limits["overflow"]), "placed")
+
+    def _check(self, pieces: DataFrame) -> DataFrame:
+        claim = self.units.select("unit_id", F.concat_ws(" ", "text", "rationale").alias("text"))
+        return verify.check_fragments(pieces.where("size(unit_ids) > 0"), claim)
+
+    @cached_property
+    def fragments(self) -> DataFrame:
+        several = self.profile["kind"] in ("skills", "commands")
+        found = written((assemble.partitioned if several else assemble.fragments)(self.placed, self.profile), "fragments")
+        return written(assemble.drop_unsupported(found, self._check(found)), "kept")
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        return self._check(self.fragments)  # once more, on what will be written
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return assemble.files(self.fragments)
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        return verify.scaffold_violations(self.fragments, self.profile)
+
+    @cached_property
+    def traced(self) -> DataFrame:
+        return verify.coverage(self.fragments, self.checked, self.files)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return manifest.source_rows(self.docs, self.roles, self.units)
+
+    @cached_property
+    def spans(self) -> DataFrame:
+        return manifest.provenance(self.fragments, self.units)
+
+    @cached_property
+    def manifest(self) -> dict[str, DataFrame]:
+        return {"sources": self.sources, "units": self.units, "files": manifest.file_rows(self.files, self.profile["id"]), "spans": self.spans}
+
     def passed(self, required: float = 1.0) -> bool:
         """The gate: enough of the lines are traced, and no scaffold is out of place."""
         share = self.traced.agg(F.avg((F.col("state") == "supported").cast("double"))).first()[0]
@@ -108,25 +152,5 @@ def compile_corpus(
     groups = conflicts.entity_groups(sided, entity, "entity_value", "path")
     against = conflicts.conflicts_with(sided.dropDuplicates(["unit_id"]), entity, "entity_value", "path")
     merged = written(merged.join(against, "unit_id", "left"), "resolved")
-    routed = budget.unit_order(budget.route(merged, profiles.sections(spark, profile)), ["section"], "path", "unit_order", "unit_id")
-    limits = profile["budget"]
-    priced = routed.withColumn("tokens", T.count_tokens(F.concat_ws(" ", "text", "rationale"), limits["chars_per_token"])).withColumn("target", F.lit(profile["id"])).withColumn(
-        "value", budget.value_of(F.coalesce("weight", F.lit(1.0)), F.col("authority"), F.col("confidence"), F.size("sources"))
-    )
-    placed = budget.fill(priced, "target", [F.desc("value"), "section_idx", "position"], limits["primary"], limits["secondary"], limits["overflow"])
-    placed = written(placed, "placed")
-    found = assemble.partitioned(placed, profile) if profile["kind"] in ("skills", "commands") else assemble.fragments(placed, profile)
-    claim = merged.select("unit_id", F.concat_ws(" ", "text", "rationale").alias("text"))
-    check = lambda pieces: verify.check_fragments(pieces.where("size(unit_ids) > 0"), claim)
-    found = written(found, "fragments")
-    kept = written(assemble.drop_unsupported(found, check(found)), "kept")
-    checked = check(kept)  # once more, on what will be written
-    files = assemble.files(kept)
-    about = {
-        "sources": manifest.source_rows(docs, roles, merged), "units": merged, "files": manifest.file_rows(files, profile["id"]),
-        "spans": manifest.provenance(kept, merged),
-    }
-    return Compiled(
-        roles, merged, groups, conflicts.sides(sided, entity, "entity_value", "path"), conflicts.report(groups), placed, kept, checked, files, pairs,
-        verify.scaffold_violations(kept, profile), verify.coverage(kept, checked, files), about, extracted,
-    )
+    report = conflicts.report(groups)
+    return Compiled(docs, profile, roles, merged, groups, conflicts.sides(sided, entity, "entity_value", "path"), report, pairs, extracted)
