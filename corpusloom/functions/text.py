@@ -150,13 +150,25 @@ def stem(c: Column) -> Column:
 def salient_tokens(c: Column) -> Column:
     """What two wordings must agree on to state one fact: identifiers and numbers, scope words, units."""
     raw = F.split(F.regexp_replace(F.lower(c), r"[^a-z0-9_.\- ]", " "), " +")
-    bare = F.transform(raw, lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", ""))
+    worth = [*NUMBERS, *_stemming_to({*SCOPE_WORDS, *map(_stem_plain, SCOPE_WORDS), *UNITS})]
+    telling = lambda w: w.rlike("[0-9_]") | w.isin(*worth)
+    # Few words tell anything: only they are named and stemmed.
+    bare = F.filter(F.transform(raw, lambda w: F.btrim(w, F.lit(".-"))), telling)
     table = F.create_map(*(F.lit(x) for pair in NUMBERS.items() for x in pair))
     named = F.transform(bare, lambda w: F.coalesce(table[w], F.when(w.rlike("^[0-9]+$"), F.regexp_replace(w, r"^0+(?=[0-9])", "")).otherwise(w)))
     kept = F.filter(named, lambda w: w.rlike("[0-9_]") | stem(w).isin(*SCOPE_WORDS, *(_stem_plain(x) for x in SCOPE_WORDS)) | stem(w).isin(*UNITS))
     return F.array_sort(F.array_distinct(F.transform(kept, lambda w: F.when(w.rlike("[0-9_]"), w).otherwise(stem(w)))))
 
 
+def _stemming_to(stems: set[str]) -> list[str]:
+    """All words whose stem is one of stems: each of stem's four steps undone, or not."""
+    found = set()
+    for s in stems:
+        for plain in (s + c + b + a for c in ("", "ing", "ed") for b in ("", "s") for a in ("", "es")):
+            found |= {plain, *([plain[:-1] + "ies"] if plain.endswith("y") else [])}
+    return sorted(w for w in found if _stem_plain(w) in stems)
+
+
 def _stem_plain(w: str) -> str:
     for end, instead in ((r"ies$", "y"), (r"(ss|x|ch|sh)es$", r"\1"), (r"([^s])s$", r"\1"), (r"([a-z]{3})(ing|ed)$", r"\1")):
         w = re.sub(end, instead, w)

@@ -175,10 +175,10 @@ def _salient_sql(c: str) -> str:
     SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN x <> y THEN 'block' WHEN len(x) = 0 THEN 'abstain' ELSE 'allow' END AS verdict FROM p WHERE y IS NOT NULL""",
 )
 def merge_verdicts(spark, d):
-    """Of a document's lines each with the next: both stand in one row, so that nothing is shuffled
-    and each line's tokens are found once."""
+    """Of a document's lines each with the next: both stand in one row, so that each line's tokens are found
+    once. Documents are dealt out first: else as many tasks as the file has row groups do all the work."""
     numbered = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("line_no"), x.alias("line")))
-    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.filter(numbered, lambda e: F.trim(e["line"]) != "").alias("lines"))
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").select("doc_id", F.filter(numbered, lambda e: F.trim(e["line"]) != "").alias("lines"))
     own = lines.select("doc_id", F.transform("lines", lambda e: F.struct(e["line_no"].alias("line_no"), T.salient_tokens(e["line"]).alias("t"))).alias("own"))
     pairs = own.select("doc_id", F.explode(F.arrays_zip(F.col("own").alias("x"), F.slice("own", F.lit(2), F.greatest(F.size("own"), F.lit(1))).alias("y"))).alias("p")).where("p.y is not null")
     return pairs.select("doc_id", "p.x.line_no", T.token_verdict(F.col("p.x.t"), F.col("p.y.t")).alias("verdict"))
