@@ -4,9 +4,11 @@ import io
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import assemble, dedup, fidelity, tree
+from corpusloom.functions import text as T
+from corpusloom.operators import assemble, dedup, fidelity, gates, tree
 from corpusloom.sources import html, markdown, office
 
 
@@ -133,3 +135,24 @@ def test_spans_are_cut_from_blocks_of_the_file(spark):
     files = spark.createDataFrame([("f", text), ("g", "other")], "file string, text string")
     found = assemble.cuts(files, spark.createDataFrame(spans, "file string, start long, end long"), 32)
     assert {(x["start"], x["end"]): x["text"] for x in found.collect()} == {(a, b): text[a:b] for _, a, b in spans}
+
+
+def test_every_word_of_a_stem_is_known():
+    stems = {*T.SCOPE_WORDS, *map(T._stem_plain, T.SCOPE_WORDS), *T.UNITS}
+    known = set(T._stemming_to(stems))
+    ends = ("", "s", "es", "ies", "ing", "ed", "ings", "inges", "eds", "edes", "ses", "ingies", "ys")
+    for s in stems:
+        for w in {x + e for x in (s, s[:-1], s[:-2]) for e in ends}:
+            assert (T._stem_plain(w) in stems) == (w in known), w
+
+
+@pytest.mark.parametrize("grid", [3, 1024])
+def test_sets_of_all_sizes_in_a_block(spark, monkeypatch, grid):
+    monkeypatch.setattr(gates, "GRID", grid)
+    r = random.Random(11)
+    sets = {i: {f"w{r.randrange(40)}" for _ in range(r.choice((1, 2, 5, 20, 60)))} for i in range(60)}
+    df = spark.createDataFrame([(i, i % 2, sorted(s)) for i, s in sets.items()], "doc_id long, block int, words array<string>")
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b): round(share(a, b), 6) for a in sets for b in sets if a < b and a % 2 == b % 2 and share(a, b) >= 0.3}
+    got = gates.similar_in_block(df, "block", "words", 0.3)
+    assert {(x["a"], x["b"]): round(x["jaccard"], 6) for x in got.collect()} == want and got.count() == len(want)
